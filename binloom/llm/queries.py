@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import chat_format, mixing, quality_rules, secret_scan, url_filter
+from binloom.llm import chat_format, decontaminate, mixing, ngram_join, quality_rules, secret_scan, url_filter
 from binloom.llm.shared import shared_dir, table, word_count
 
 # The host and path rules of the query on pages.
@@ -22,6 +22,10 @@ URL_RULES = [
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, threshold=(90, 100))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -43,6 +47,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("__said").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("__learned").cast("long").alias("loss_chars"), F.sha2("__learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_source_mixing, op6_chat_format, op8_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_url_filter, op4_source_mixing, op6_chat_format, op7_decontamination, op8_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
