@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import chat_format, decontaminate, mixing, ngram_join, quality_rules, secret_scan, url_filter
+from binloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filter
 from binloom.llm.shared import shared_dir, table, word_count
 
 # The host and path rules of the query on pages.
@@ -38,6 +38,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("size")).cast("long").alias("taken"), F.col("__rate").alias("rate"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document by the checksum of its id is held out of learning."""
+
+    def remainder(col: str) -> Column:
+        return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5
+
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id") != 0)
+    return out.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
@@ -63,13 +73,56 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op3_url_filter, op4_source_mixing, op6_chat_format, op7_decontamination, op8_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_url_filter, op4_source_mixing, op5_toxicity, op6_chat_format, op7_decontamination, op8_secret_scan, op9_license_scan, op10_quality_rules)}
+
+
+def _terms(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))::INT" for t in terms)
+
+
+def _rules() -> str:
+    rows = sorted(URL_RULES, key=lambda r: (-len(r.name), r.action != "block"))
+    cases = [(f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in rows]
+    return "CASE " + " ".join(f"WHEN {c} THEN '{r.name}'" for c, r in cases) + " END AS rule, CASE " + " ".join(f"WHEN {c} THEN '{r.action}'" for c, r in cases) + " END AS act"
+
+
+_UPPER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+_URLS = f"""
+WITH p AS (
+    SELECT page_id, translate(coalesce(url, ''), {_UPPER}) AS u,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), h AS (SELECT page_id, host, path, {_rules()}, ({_terms(url_filter.STRICT)})::INT AS strict_hits, ({_terms(url_filter.SOFT)})::INT AS soft_hits FROM p)
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits FROM h
+"""
+
+_CHATS = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
+), e AS (
+    SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS n FROM t
+), g AS (
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+        sum(n + 12 + 1 + 11)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express on whole tables; the others are tested against brute force."""
+    return {"op3_url_filter": _URLS, "op6_chat_format": _CHATS, "op9_license_scan": license_scan.oracle_sql()}
