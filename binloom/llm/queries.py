@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filter
+from binloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
 from binloom.llm.shared import shared_dir, table, word_count
 
 # The host and path rules of the query on pages.
@@ -22,6 +22,10 @@ URL_RULES = [
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, threshold=(90, 100))
 
@@ -82,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op3_url_filter, op4_source_mixing, op5_toxicity, op6_chat_format, op7_decontamination, op8_secret_scan, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_source_mixing, op5_toxicity, op6_chat_format, op7_decontamination, op8_secret_scan, op9_license_scan, op10_quality_rules)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
