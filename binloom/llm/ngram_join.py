@@ -8,7 +8,7 @@ A document's set is its distinct word n-grams, hashed to 64 bits. Hash groups do
   which bounds every set below.
 * **Shards.** A tree over all documents would not scale: near a threshold, count vectors alone leave a
   constant share of all pairs. So trees are sharded. Sets that link differ in at most K elements, K
-  following from their sizes; hashed to K + 1 groups, one group at least is equal in both. Each
+  following from their sizes; hashed to more than K groups, some groups are equal in both. Each
   set therefore goes to one shard per group, named by the group's content, for its own size class and
   the next smaller one. No link is lost, and only sets that share a whole group meet.
 
@@ -24,6 +24,7 @@ text are members of one class; a null id is nobody's least id unless all ids of
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -75,30 +76,55 @@ def needed_overlap(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
+def _spare_groups(most: int, size: int) -> int:
+    """Groups beyond most + 1, so many that sets of the size or more seldom leave more groups empty."""
+    spare = 2
+    while spare < 2 + most // 4:
+        n = most + 1 + spare
+        empty = n * math.exp(-size / n)
+        if spare >= empty + 4 * math.sqrt(empty):
+            break
+        spare += 1
+    return spare
+
+
 @lru_cache(maxsize=8)
-def size_classes(num: int, den: int) -> tuple[list[int], list[int]]:
-    """First size of each class, and the groups for links whose smaller set is in it. A link spans two adjacent classes at most."""
-    first, groups = [1], []
+def size_classes(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
+    """First size of each class; for links whose smaller set is in it, the groups and how many are spare. A link spans two adjacent classes at most."""
+    first, groups, spares = [1], [], []
     while first[-1] < 1 << 40:
-        first.append(first[-1] * den // num + 1)
+        least = first[-1]
+        first.append(least * den // num + 1)
         largest = first[-1] - 1
-        groups.append((largest + largest * den // num) * (den - num) // (den + num) + 1)
-    return first, groups
+        most = (largest + largest * den // num) * (den - num) // (den + num)
+        spares.append(_spare_groups(most, least))
+        groups.append(most + 1 + spares[-1])
+    return first, groups, spares
 
 
 def shard_names(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One name per hash group of the set's own size class and of the class below."""
-    first, groups = size_classes(num, den)
+    """Names of the shards in which a set meets all that it links to, for its own size class and the class below.
+
+    Of K + 1 + s groups, s + 1 at least are equal in linked sets. One that is not empty names a shard. If all of them are
+    empty, both sets leave s + 1 groups empty, which is rare, and meet in a shard named by two groups that both leave empty.
+    """
+    first, groups, spares = size_classes(num, den)
     own = bisect_right(first, len(hashes)) - 1
     mixed, out = _mix(hashes ^ _A), []
     for level in {own, max(own - 1, 0)}:
-        n = groups[level]
+        n, salt = groups[level], np.uint64(level * int(_B) % 2**64)
         group = (hashes % np.uint64(n)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
         ends = np.searchsorted(group[order], np.arange(n + 1))
+        held = np.diff(ends)
         content = sums[ends[1:]] - sums[ends[:-1]]
-        out.append(_mix(_mix(content + np.uint64(level * int(_B) % 2**64)) + np.arange(n, dtype=np.uint64) * _A + np.diff(ends).astype(np.uint64)))
+        names = _mix(_mix(content + salt) + np.arange(n, dtype=np.uint64) * _A + held.astype(np.uint64))
+        out.append(names[held > 0])
+        empty = np.flatnonzero(held == 0).astype(np.uint64)
+        if len(empty) > spares[level]:
+            i, j = np.triu_indices(len(empty), 1)
+            out.append(_mix(_mix(_mix(empty[i] + salt) + empty[j]) ^ _A))
     return np.concatenate(out)
 
 

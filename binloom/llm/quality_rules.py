@@ -155,8 +155,13 @@ def quality_report(docs: DataFrame, rules: Rules | None = None, id_col: str = "d
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    return _judged(docs, rules or Rules(), text, lang).where("__kept").select("__row.*")
+    """The documents that the rules keep, with all their columns.
+
+    The row number keeps the filter above the measures. Pushed below them, it would be written out in terms of the
+    text, each measure many times over.
+    """
+    frame = _judged(docs, rules or Rules(), text, lang).withColumn("__at", F.monotonically_increasing_id())
+    return frame.where(F.col("__kept") & (F.col("__at") >= 0)).select("__row.*")
 
 
 def fit_references(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
