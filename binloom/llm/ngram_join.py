@@ -78,13 +78,14 @@ def needed_overlap(a, b, num: int, den: int):
 
 def _spare_groups(most: int, size: int) -> int:
     """Groups beyond most + 1, so many that sets of the size or more seldom leave more groups empty."""
-    spare = 2
-    while spare < 2 + most // 4:
+    spare, cap = 2, 2 + most // 4
+    while spare < cap:
         n = most + 1 + spare
         empty = n * math.exp(-size / n)
-        if spare >= empty + 4 * math.sqrt(empty):
+        wanted = math.ceil(empty + 4 * math.sqrt(empty))
+        if spare >= wanted:
             break
-        spare += 1
+        spare = min(wanted, cap)
     return spare
 
 
