@@ -1 +1,426 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""The queries on the driver's tables, one per operator, each beside its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from binloom.functions import numbers, text
+from binloom.operators import blocking, evaluate, minhash, sets, staged
+from binloom.plans.params import BIN_PRIME, MODULUS, LinkageParams, SetParams
+from binloom.sources import records
+
+DOCS = LinkageParams(1024, 2, 8)
+GRID = [LinkageParams(bins, 2, bands) for bins in (1024, 2048) for bands in (8, 16, 32)]
+LONGEST = LinkageParams(1024, 2, 32)
+SETS = SetParams(8, 16)
+POINTS = [float(x) for x in range(-1000, 10001, 1000)]
+#: Spreads part keys over all 16-bit numbers; odd, so that different keys stay different.
+SPREAD = 40503
+RUN_LINES = ["total_time: 12.5 seconds", "cpu_time: 3.25 seconds", "number_comparison: 126852", "Total Sent / Rcv 1024 / 64", "Total Sent / Rcv 512 / 32"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- documents by shingles -------------------------------------------------------------------------------
+
+_GRAMS = "SELECT DISTINCT rec_id, substr(t, i::INT, 4) AS g FROM (SELECT rec_id, t, unnest(range(1, greatest(length(t) - 2, 1))) AS i FROM rec)"
+
+
+def _signature_sql(rec: str, p: LinkageParams) -> str:
+    """CTEs rec and sig of a SELECT of (rec_id, t)."""
+    least = ", ".join(f"coalesce(min((h * {a} + {b}) % {MODULUS}), {MODULUS - 1}) AS p{k}" for k, (a, b) in enumerate(p.coefficients))
+    return f"rec AS ({rec}), gram AS ({_GRAMS}), hashed AS (SELECT rec_id, ('0x' || substr(md5(g), 1, 7))::BIGINT AS h FROM gram), sig AS (SELECT rec_id, {least} FROM (SELECT DISTINCT rec_id FROM rec) LEFT JOIN hashed USING (rec_id) GROUP BY rec_id)"
+
+
+def _bins_sql(p: LinkageParams, sig: str = "sig") -> str:
+    def band(i: int) -> str:
+        total = " + ".join(f"p{i * p.per_band + k}" for k in range(p.per_band))
+        return f"SELECT rec_id, {i} AS band, (({total}) % {p.bins_per_band}) * {BIN_PRIME % p.bins_per_band} % {p.bins_per_band} + {i * p.bins_per_band} AS bin FROM {sig}"
+
+    return " UNION ALL ".join(map(band, range(p.bands)))
+
+
+_DOCS_SQL = "SELECT doc_id AS rec_id, coalesce(text, '') AS t FROM documents"
+_DOC_BINS = f"WITH {_signature_sql(_DOCS_SQL, DOCS)}, bins AS ({_bins_sql(DOCS)}), l AS (SELECT * FROM bins WHERE rec_id % 2 = 0), r AS (SELECT * FROM bins WHERE rec_id % 2 <> 0) "
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), "text"))
+
+
+def _doc_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_bins(_documents(spark, sf_dir), DOCS)
+
+
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("rec_id") % 2 == 0), df.where(F.col("rec_id") % 2 != 0)
+
+
+@query(f"WITH rec AS (SELECT doc_id AS rec_id, coalesce(text, '') AS t FROM documents), gram AS ({_GRAMS}), n AS (SELECT rec_id, count(*) AS n_distinct FROM gram GROUP BY rec_id) SELECT doc_id, greatest(length(coalesce(text, '')) - 3, 0)::BIGINT AS n_grams, coalesce(n_distinct, 0) AS n_distinct FROM documents LEFT JOIN n ON doc_id = rec_id")
+def ngram_counts(spark, sf_dir):
+    grams = _documents(spark, sf_dir).select("rec_id", text.ngrams(F.col("text"), 4).alias("g"))
+    return grams.select(F.col("rec_id").alias("doc_id"), F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+
+
+@query(_DOC_BINS + "SELECT * FROM sig")
+def minhash_signature(spark, sf_dir):
+    return minhash.signature(_documents(spark, sf_dir), DOCS)
+
+
+@query(_DOC_BINS + "SELECT * FROM bins")
+def minhash_bins(spark, sf_dir):
+    return _doc_bins(spark, sf_dir)
+
+
+@query(_DOC_BINS + "SELECT bin, count(*) AS n FROM bins GROUP BY bin")
+def bin_histogram(spark, sf_dir):
+    return blocking.histogram(_doc_bins(spark, sf_dir))
+
+
+@query(_DOC_BINS + "SELECT count(DISTINCT bin) AS n_bins, count(*) AS n_insertions, count(*) // count(DISTINCT bin) AS mean_size FROM bins")
+def bin_stats(spark, sf_dir):
+    return blocking.stats(_doc_bins(spark, sf_dir))
+
+
+@query(_DOC_BINS + "SELECT coalesce(sum(a.n * b.n), 0)::BIGINT AS comparisons FROM (SELECT bin, count(*) AS n FROM l GROUP BY bin) a JOIN (SELECT bin, count(*) AS n FROM r GROUP BY bin) b USING (bin)")
+def comparison_count(spark, sf_dir):
+    """One signature pass: both sides' histograms are one aggregation, so nothing is joined."""
+    side = F.col("rec_id") % 2 == 0
+    both = _doc_bins(spark, sf_dir).groupBy("bin").agg(F.count_if(side).alias("na"), F.count_if(~side).alias("nb"))
+    return both.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("comparisons"))
+
+
+_PAIRS = "SELECT l.rec_id AS left_id, r.rec_id AS right_id FROM l JOIN r USING (bin)"
+
+
+@query(_DOC_BINS + _PAIRS)
+def candidate_pairs_bag(spark, sf_dir):
+    return blocking.candidates(*_halves(_doc_bins(spark, sf_dir)))
+
+
+@query(_DOC_BINS + "SELECT DISTINCT * FROM (" + _PAIRS + ")")
+def candidate_pairs(spark, sf_dir):
+    return candidate_pairs_bag(spark, sf_dir).distinct()
+
+
+# ---- two snapshots of the customers ----------------------------------------------------------------------
+
+_SNAP = "SELECT c_custkey AS rec_id, c_name AS name, c_nationkey AS nation, {seg} AS seg, round(c_acctbal * 100)::BIGINT + {more} AS cents FROM customer WHERE {keep}"
+_LEFT = _SNAP.format(seg="c_mktsegment", more="0", keep="true")
+_RIGHT = _SNAP.format(seg="CASE WHEN c_custkey % 5 = 0 THEN 'MACHINERY' ELSE c_mktsegment END", more="CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END", keep="c_custkey % 11 <> 0")
+_KEY = "'(' || concat_ws('|', coalesce(seg, ''), coalesce(nation::VARCHAR, ''), coalesce(cents::VARCHAR, '')) || ')'"
+_KEY_ID = "'(' || concat_ws('|', coalesce(name, ''), coalesce(seg, ''), coalesce(nation::VARCHAR, '')) || ')'"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and customers of whom some changed and some are gone; `text` says nothing of the identity."""
+    c = _table(spark, sf_dir, "customer")
+    left = c.select(F.col("c_custkey").alias("rec_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    right = left.where(F.col("rec_id") % 11 != 0).withColumns({"seg": F.when(F.col("rec_id") % 5 == 0, "MACHINERY").otherwise(F.col("seg")), "cents": F.col("cents") + F.when(F.col("rec_id") % 7 == 0, 1).otherwise(0)})
+    keyed = lambda d: d.withColumn("text", text.key_text(F.col("seg"), F.col("nation"), F.col("cents")))
+    return keyed(left), keyed(right)
+
+
+def _snap_sql(p: LinkageParams) -> str:
+    """rec holds both snapshots, those of the right with ids of their own: minus the id and one."""
+    rec = f"SELECT rec_id, {_KEY} AS t FROM ({_LEFT}) UNION ALL SELECT -1 - rec_id, {_KEY} FROM ({_RIGHT})"
+    return f"WITH {_signature_sql(rec, p)}, bins AS ({_bins_sql(p)}), l AS (SELECT rec_id, bin FROM bins WHERE rec_id >= 0), r AS (SELECT -1 - rec_id AS rec_id, bin FROM bins WHERE rec_id < 0), pairs AS (SELECT DISTINCT l.rec_id AS left_id, r.rec_id AS right_id FROM l JOIN r USING (bin)), known AS (SELECT rec_id AS left_id, rec_id AS right_id FROM ({_RIGHT})), linked AS (SELECT left_id, right_id FROM pairs JOIN rec a ON a.rec_id = left_id JOIN rec b ON b.rec_id = -1 - right_id WHERE levenshtein(a.t, b.t) * 10 <= least(length(a.t), length(b.t)) * 3) "
+
+
+_SNAP_SQL = _snap_sql(DOCS)
+
+
+def _snap_pairs(spark: SparkSession, sf_dir: str):
+    left, right = _snapshots(spark, sf_dir)
+    a, b = minhash.minhash_bins(left, DOCS), minhash.minhash_bins(right, DOCS)
+    return left, right, a, b, evaluate.truth(left, right)
+
+
+def _fuzzy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left, right, a, b, known = _snap_pairs(spark, sf_dir)
+    return blocking.linked(blocking.candidates(a, b), left, right, text.close), known
+
+
+@query(f"SELECT rec_id, {_KEY_ID} AS key_text FROM ({_LEFT})")
+def key_text(spark, sf_dir):
+    left, _ = _snapshots(spark, sf_dir)
+    return left.select("rec_id", text.key_text(F.col("name"), F.col("seg"), F.col("nation")).alias("key_text"))
+
+
+@query(f"SELECT rec_id, {_KEY} AS key_text FROM ({_LEFT})")
+def key_text_no_id(spark, sf_dir):
+    return _snapshots(spark, sf_dir)[0].select("rec_id", F.col("text").alias("key_text"))
+
+
+@query(f"SELECT rec_id AS left_id, rec_id AS right_id FROM ({_RIGHT})")
+def ground_truth_pairs(spark, sf_dir):
+    return evaluate.truth(*_snapshots(spark, sf_dir))
+
+
+@query(_SNAP_SQL + "SELECT * FROM pairs SEMI JOIN known USING (left_id, right_id)")
+def linkage_exact(spark, sf_dir):
+    _, _, a, b, known = _snap_pairs(spark, sf_dir)
+    return blocking.in_pairs(blocking.candidates(a, b), known)
+
+
+@query(_SNAP_SQL + "SELECT * FROM linked")
+def linkage_fuzzy(spark, sf_dir):
+    return _fuzzy(spark, sf_dir)[0]
+
+
+@query(_SNAP_SQL + "SELECT count(p.left_id) AS found, count(*) AS known, count(p.left_id) / count(*) AS recall FROM known LEFT JOIN pairs p USING (left_id, right_id)")
+def recall(spark, sf_dir):
+    _, _, a, b, known = _snap_pairs(spark, sf_dir)
+    return evaluate.recall(a, b, known)
+
+
+@query(_SNAP_SQL + "SELECT i AS both, u AS either, i / u AS jaccard FROM (SELECT (SELECT count(*) FROM (SELECT * FROM linked INTERSECT SELECT * FROM known)) AS i, (SELECT count(*) FROM (SELECT * FROM linked UNION SELECT * FROM known)) AS u)")
+def jaccard(spark, sf_dir):
+    return evaluate.jaccard(*_fuzzy(spark, sf_dir))
+
+
+@query(_SNAP_SQL + "SELECT * FROM linked EXCEPT SELECT * FROM known")
+def false_positives(spark, sf_dir):
+    return evaluate.false_positives(*_fuzzy(spark, sf_dir))
+
+
+@query(_SNAP_SQL + "SELECT * FROM known EXCEPT SELECT * FROM linked")
+def false_negatives(spark, sf_dir):
+    return evaluate.false_negatives(*_fuzzy(spark, sf_dir))
+
+
+def _grid_sql() -> str:
+    parts, rows = [], []
+    for i, p in enumerate(GRID):
+        parts.append(f"b{i} AS ({_bins_sql(p)}), l{i} AS (SELECT rec_id, bin FROM b{i} WHERE rec_id >= 0), r{i} AS (SELECT -1 - rec_id AS rec_id, bin FROM b{i} WHERE rec_id < 0)")
+        found = f"(SELECT count(DISTINCT l.rec_id) FROM l{i} l JOIN r{i} r USING (rec_id, bin))"
+        cost = f"(SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l{i} GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r{i} GROUP BY bin) y USING (bin))"
+        rows.append(f"SELECT NULL::BIGINT AS number_of_samples, (SELECT count(*) FROM known) AS ground_truth_records, {p.bins_per_band} AS num_bins_per_duplicate, {p.per_band} AS num_permutations_per_hash, {p.bands} AS num_duplicates, {cost} AS num_comparisons, {found} / (SELECT count(*) FROM known) AS accuracy")
+    return _snap_sql(LONGEST).rstrip() + ", " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query(_grid_sql())
+def param_grid_sweep(spark, sf_dir):
+    """Signatures of the longest family once; every parameter set reads its slice."""
+    left, right = _snapshots(spark, sf_dir)
+    return evaluate.sweep(minhash.signature(left, LONGEST), minhash.signature(right, LONGEST), GRID)
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS t FROM part) SELECT a.t AS left_text, b.t AS right_text FROM n a, n b WHERE levenshtein(a.t, b.t) * 10 <= least(length(a.t), length(b.t)) * 3")
+def fuzzy_crossjoin_gt(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
+    return blocking.every_pair(names, names, text.close)
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def three_way_merge(spark, sf_dir):
+    o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT c_name, c_custkey FROM customer ORDER BY c_name LIMIT 100")
+def topn_by_key(spark, sf_dir):
+    return sets.top_n(_table(spark, sf_dir, "customer").select("c_name", "c_custkey"), "c_name", 100)
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY digest")
+def dedup_first(spark, sf_dir):
+    """Texts are told apart by digest, so that only digests move."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return sets.first_of_each(docs, ["digest"], "doc_id")
+
+
+@query("SELECT DISTINCT lang, source, n_chars FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL ORDER BY n_chars, lang, source LIMIT 100")
+def dropna_dedup_topn(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").na.drop(subset=["text", "lang", "source"])
+    return docs.select("lang", "source", "n_chars").dropDuplicates().orderBy("n_chars", "lang", "source").limit(100)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def identity_intersection(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return sets.by_identity(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
+
+
+@query("SELECT x AS at, (SELECT count_if(c_acctbal < x) / count(c_acctbal) FROM customer) AS share FROM (SELECT unnest(range(-1000, 10001, 1000))::DOUBLE AS x)")
+def ecdf(spark, sf_dir):
+    return sets.ecdf(_table(spark, sf_dir, "customer"), "c_acctbal", POINTS)
+
+
+# ---- two sets of integers --------------------------------------------------------------------------------
+
+_BAGS = f"x AS (SELECT l_partkey * {SPREAD} % 65536 AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), y AS (SELECT l_partkey * {SPREAD} % 65536 AS v FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 5 = 0)"
+_INTS = f"WITH {_BAGS}, a AS (SELECT DISTINCT v FROM x), b AS (SELECT DISTINCT v FROM y)"
+_TAG = f"least(v // {SETS.width}, {SETS.blocks - 1})"
+_BLOCKS = f"{_INTS}, ta AS (SELECT v, {_TAG} AS tag FROM a), tb AS (SELECT v, {_TAG} AS tag FROM b) "
+_STAGED = (
+    f"{_BLOCKS}, s AS (SELECT greatest(1, greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)) // {SETS.blocks})::BIGINT AS chunk_size), "
+    "sides AS (SELECT 1 AS tid, * FROM ta UNION ALL SELECT 2, * FROM tb), "
+    "ranked AS (SELECT *, (row_number() OVER (PARTITION BY tid, tag ORDER BY v) - 1) // (SELECT chunk_size FROM s) AS section FROM sides), "
+    "full_ AS (SELECT tid, tag, section, list(v ORDER BY v) AS data FROM ranked GROUP BY ALL), "
+    f"grid AS (SELECT t::INT AS tid, g AS tag FROM range(1, 3) a(t), range({SETS.blocks}) b(g)), "
+    "chunk AS (SELECT tid, tag, coalesce(section, 0) AS section, coalesce(data, []) AS data FROM grid LEFT JOIN full_ USING (tid, tag)), "
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY tag, section) - 1 AS bin_number FROM chunk), "
+    f"slot AS (SELECT t::INT AS tid, g AS bin_number FROM range(1, 3) a(t), range({SETS.slots}) b(g)), "
+    f"padded AS (SELECT tid, coalesce(tag, {SETS.blocks}) AS tag, bin_number, coalesce(data, []) AS data FROM slot FULL JOIN numbered USING (tid, bin_number)), "
+    "dims AS (SELECT *, count(*) FILTER (tid = 1) OVER w AS a1, count(*) FILTER (tid = 2) OVER w AS a2, count(*) FILTER (tid = 1) OVER f AS r1, count(*) FILTER (tid = 2) OVER f AS r2 FROM padded WINDOW w AS (PARTITION BY tag), f AS (PARTITION BY tag ORDER BY tid, bin_number ROWS UNBOUNDED PRECEDING)), "
+    "expanded AS (SELECT tid, tag, bin_number, unnest(range(CASE WHEN tid = 1 THEN a2 ELSE a1 END)) AS copy FROM dims) "
+)
+
+
+def _bag(spark: SparkSession, sf_dir: str, line: int, every: int) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == line) & (F.col("l_orderkey") % every == 0))
+    return rows.select((F.col("l_partkey") * SPREAD % 65536).alias("v"))
+
+
+def _bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _bag(spark, sf_dir, 1, 7), _bag(spark, sf_dir, 2, 5)
+
+
+def _ints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = _bags(spark, sf_dir)
+    return a.distinct(), b.distinct()
+
+
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged.padded(staged.chunks(*_ints(spark, sf_dir), SETS), SETS)
+
+
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged.expanded(staged.group_dims(_padded(spark, sf_dir))).select("tid", "tag", "bin_number", "copy")
+
+
+@query(_INTS + "SELECT v FROM a INTERSECT SELECT v FROM b")
+def int_intersect(spark, sf_dir):
+    return sets.intersection(*_ints(spark, sf_dir))
+
+
+@query(f"WITH {_BAGS} SELECT v FROM x JOIN y USING (v)")
+def psi_true_bag(spark, sf_dir):
+    return sets.matches(*_bags(spark, sf_dir))
+
+
+@query(f"WITH {_BAGS} SELECT DISTINCT v FROM x JOIN y USING (v)")
+def psi_distinct(spark, sf_dir):
+    return sets.intersection(*_bags(spark, sf_dir))
+
+
+@query(_BLOCKS + "SELECT v, tag FROM ta")
+def range_blocks(spark, sf_dir):
+    return sets.range_blocks(_ints(spark, sf_dir)[0], SETS)
+
+
+@query(_BLOCKS + "SELECT tag, v FROM ta JOIN tb USING (tag, v)")
+def range_block_join(spark, sf_dir):
+    return sets.range_join(*_ints(spark, sf_dir), SETS)
+
+
+@query(_BLOCKS + "SELECT sum(n * m)::BIGINT AS comparisons FROM (SELECT tag, count(*) AS n FROM ta GROUP BY tag) JOIN (SELECT tag, count(*) AS m FROM tb GROUP BY tag) USING (tag)")
+def range_block_comparisons(spark, sf_dir):
+    return sets.range_comparisons(*_ints(spark, sf_dir), SETS)
+
+
+@query(_STAGED + "SELECT tid, tag, section, chunk_size, len(data)::BIGINT AS n, coalesce(list_sum(data), 0)::BIGINT AS total FROM chunk, s")
+def smooth_chunks(spark, sf_dir):
+    out = staged.chunks(*_ints(spark, sf_dir), SETS)
+    return out.select("tid", "tag", "section", "chunk_size", F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(_STAGED + f"SELECT tid, tag, bin_number, greatest(chunk_size, len(data))::BIGINT AS n, (coalesce(list_sum(data), 0) + (chunk_size - len(data)) * ({SETS.mask} + tid))::BIGINT AS total FROM padded, s")
+def pad_chunks(spark, sf_dir):
+    return _padded(spark, sf_dir).select("tid", "tag", "bin_number", F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(_STAGED + "SELECT tid, tag, bin_number, a1, a2 FROM dims")
+def group_dims(spark, sf_dir):
+    return staged.group_dims(_padded(spark, sf_dir)).drop("data")
+
+
+@query(_STAGED + "SELECT tid, tag, bin_number, r1 AS a1, r2 AS a2 FROM dims")
+def running_dims(spark, sf_dir):
+    return staged.running_dims(_padded(spark, sf_dir)).drop("data")
+
+
+@query(_STAGED + "SELECT * FROM expanded")
+def expand_rows(spark, sf_dir):
+    return _expanded(spark, sf_dir)
+
+
+@query(_STAGED + "SELECT tid, tag, bin_number, copies, upto::BIGINT AS upto, (upto - copies + 1)::BIGINT AS first FROM (SELECT tid, tag, bin_number, copies, sum(copies) OVER (PARTITION BY tid ORDER BY tag, bin_number ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, CASE WHEN tid = 1 THEN a2 ELSE a1 END AS copies FROM dims))")
+def expand_offsets(spark, sf_dir):
+    return staged.offsets(staged.group_dims(_padded(spark, sf_dir)))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(last_value(CASE WHEN l_returnflag = 'A' THEN l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 0) AS filled FROM lineitem")
+def fill_forward(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("v"))
+    return sets.fill_forward(rows, "l_orderkey", "l_linenumber", "v").select("l_orderkey", "l_linenumber", F.coalesce("filled", F.lit(0)).alias("filled"))
+
+
+@query(_STAGED + "SELECT tid, tag, bin_number, copy, row_number() OVER (PARTITION BY tid, bin_number ORDER BY copy) - 1 AS p FROM expanded")
+def copy_ordinals(spark, sf_dir):
+    return staged.copy_ordinals(_expanded(spark, sf_dir))
+
+
+@query(_STAGED + "SELECT tid, tag, bin_number, copy, row_number() OVER (PARTITION BY tid, tag ORDER BY bin_number, copy) - 1 AS q FROM expanded")
+def group_ordinals(spark, sf_dir):
+    return staged.group_ordinals(_expanded(spark, sf_dir))
+
+
+@query(_STAGED + f"SELECT tid, tag, bin_number, copy, copy AS p, copy * {SETS.slots} + bin_number AS ii, row_number() OVER (PARTITION BY tid, tag ORDER BY CASE WHEN tid = 1 THEN bin_number ELSE copy END, CASE WHEN tid = 1 THEN copy ELSE bin_number END) - 1 AS pos FROM expanded")
+def align_rows(spark, sf_dir):
+    return staged.aligned(_expanded(spark, sf_dir), SETS)
+
+
+@query(_INTS + "SELECT v FROM a INTERSECT SELECT v FROM b")
+def psi_staged(spark, sf_dir):
+    return staged.compare(staged.stages(*_ints(spark, sf_dir), SETS))
+
+
+@query(_STAGED + "SELECT n AS expanded_rows, chunk_size, n * chunk_size * chunk_size AS comparisons FROM (SELECT count(*) AS n FROM expanded WHERE tid = 1), s")
+def psi_comparisons(spark, sf_dir):
+    return staged.cost(staged.stages(*_ints(spark, sf_dir), SETS))
+
+
+@query(_INTS + "SELECT v, bit_count(v)::BIGINT AS ones, v AS back FROM a")
+def bit_roundtrip(spark, sf_dir):
+    bits = numbers.to_bits(F.col("v"))
+    ones = F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x)
+    return _ints(spark, sf_dir)[0].select("v", ones.alias("ones"), numbers.from_bits(bits).alias("back"))
+
+
+@query(_INTS + "SELECT v, v * 48271 % 65536 AS one, xor(v, v * 48271 % 65536) AS other, v AS back FROM a")
+def xor_share_roundtrip(spark, sf_dir):
+    one, other = numbers.xor_shares(F.col("v"), F.col("v") * 48271 % 65536)
+    return _ints(spark, sf_dir)[0].select("v", one.alias("one"), other.alias("other"), one.bitwiseXOR(other).alias("back"))
+
+
+@query("SELECT n, (SELECT sum(ceil(log2(i)))::BIGINT FROM range(1, n + 1) r(i)) AS gates FROM (SELECT unnest(range(1, 65)) AS n)")
+def swap_gate_cost(spark, sf_dir):
+    return spark.createDataFrame([(n, numbers.swap_gates(n)) for n in range(1, 65)], "n long, gates long")
+
+
+@query("SELECT unnest(['total_time', 'cpu_time', 'number_comparison']) AS metric, unnest([12.5, 3.25, 126852.0])::DOUBLE AS number")
+def metrics_parse(spark, sf_dir):
+    return records.parse_metrics(spark.createDataFrame([(x,) for x in RUN_LINES], "value string"))
+
+
+@query("SELECT 1536::BIGINT AS bytes")
+def sent_bytes(spark, sf_dir):
+    return records.sent_bytes(spark.createDataFrame([(x,) for x in RUN_LINES], "value string"))
