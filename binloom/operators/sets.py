@@ -56,7 +56,7 @@ def ecdf(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     return found.select(F.inline(rows))
 
 
-def fill_forward(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """The value, or where it is null the nearest one before it in its group."""
-    frame = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def fill_forward(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """The value, or where it is null the nearest one before it in its group; `order` should tell all rows apart."""
+    frame = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("filled", F.last(value, ignorenulls=True).over(frame))

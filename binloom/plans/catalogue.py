@@ -367,10 +367,10 @@ def expand_offsets(spark, sf_dir):
     return staged.offsets(staged.group_dims(_padded(spark, sf_dir)))
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(last_value(CASE WHEN l_returnflag = 'A' THEN l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 0) AS filled FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, coalesce(last_value(CASE WHEN l_returnflag = 'A' THEN l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING), 0) AS filled FROM lineitem")
 def fill_forward(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("v"))
-    return sets.fill_forward(rows, "l_orderkey", "l_linenumber", "v").select("l_orderkey", "l_linenumber", F.coalesce("filled", F.lit(0)).alias("filled"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("v"))
+    return sets.fill_forward(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"], "v").select("l_orderkey", "l_linenumber", F.coalesce("filled", F.lit(0)).alias("filled"))
 
 
 @query(_STAGED + "SELECT tid, tag, bin_number, copy, row_number() OVER (PARTITION BY tid, bin_number ORDER BY copy) - 1 AS p FROM expanded")
