@@ -348,9 +348,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
 
     spread = source.select("text").mapInArrow(_sharded(shingle_words, num, den), "shard long, c long")
     met = stored(spark, spread.repartition("shard").sortWithinPartitions("shard", "c").mapInArrow(_meetings, "shard long, head long, c long"), "met")
-    # each class with the least of its heads at first; its other heads only where that leaves a shard in parts
-    first = stored(spark, met.groupBy("c").agg(F.min("head").alias("x")).select("x", F.col("c").alias("y")), "pairs")
-    wanted = met.select("c").union(met.select("head")).distinct()
+    heads = stored(spark, met.select("head", "c").distinct(), "heads")
+    # each class with the least of its heads at first; its other heads only where those leave the two apart
+    first = stored(spark, heads.groupBy("c").agg(F.min("head").alias("x")).select("x", F.col("c").alias("y")), "pairs")
+    wanted = heads.select("c").union(heads.select("head")).distinct()
     short = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
     keys = classes.withColumn("c", short).join(wanted, "c", "left_semi").select(F.col("least").alias("__key")).distinct()
     keys = stored(spark, keys, "keys")
@@ -363,22 +364,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     def labelled() -> DataFrame:
         return sets.select("cls", "c", "n", "vec").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("c", "n", "vec", F.coalesce("label", "cls").alias("label"))
 
-    def in_parts(members: DataFrame) -> DataFrame:
-        """Shards whose members are in different components."""
-        return members.join(light.select("c", "label"), "c").groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
+    def apart() -> DataFrame:
+        """Heads and classes of a shard that are in different components. Joined as distinct pairs, which are few: in most of its shards a class has the same head."""
+        light = labelled().select("c", "label")
+        return heads.join(light, "c").join(light.select(F.col("c").alias("head"), F.col("label").alias("other")), "head").where("label <> other").select("head", "c")
 
-    light = labelled()
-    open_ = met.join(in_parts(met.select("shard", "c").union(met.select("shard", "head").distinct())), "shard", "left_semi").select("head", "c").distinct()
-    open_ = open_.join(light.select("c", "label"), "c").join(light.select(F.col("c").alias("head"), F.col("label").alias("other")), "head").where("label <> other")
-    further = stored(spark, _links(spark, open_.select(F.col("head").alias("x"), F.col("c").alias("y")), sets, num, den), "links")
+    further = stored(spark, _links(spark, apart().select(F.col("head").alias("x"), F.col("c").alias("y")), sets, num, den), "links")
     if further.limit(1).count():
         links = links.unionAll(further)
         labels = stored(spark, connected(spark, links), "labels")
 
-    # what is left of each shard: members in different components of which neither is the head
+    # what is left of each shard: members in different components of which neither is the head, so one at least is apart from it
     light = labelled()
-    parted = in_parts(met.select("shard", "c"))
-    members = met.select("shard", "c").join(parted, "shard", "left_semi").distinct()
+    held = met.join(stored(spark, apart(), "apart"), ["head", "c"], "left_semi").select("shard").distinct()
+    members = stored(spark, met.join(held, "shard", "left_semi").select("shard", "c").distinct(), "members")
+    parted = members.join(light.select("c", "label"), "c").groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
+    members = members.join(parted, "shard", "left_semi")
     order = Window.partitionBy("shard").orderBy("c")
     members = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     blocks = members.groupBy("shard").agg((F.max("block") + 1).alias("blocks"))
