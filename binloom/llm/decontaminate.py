@@ -1,42 +1,47 @@
 """Benchmark decontamination: passages of a benchmark found in documents in spite of edits.
 
-Texts are compared in lower case with single spaces. A window is as long as the item that it is held
-against and starts where words that the two share put it:
-
-* word trigrams of the items are looked up in the documents; items of MIN_TWO_SEEDS words or more need
-  two seeds on nearby diagonals, which any passage keeps that has a run or two of whole words;
-* the CGK random walk maps window and item to strings in which edits cost few Hamming differences:
-  step t writes the symbol under the cursor, and a random bit of (t, symbol) says whether it moves on;
-* bit-sampling LSH compares a few positions of the walks at a time, in as many tables as the wanted
-  recall asks for at the largest edit rate; windows that agree in a table are candidates;
+Texts are compared in lower case with single spaces. A document holds an item if some part of it is
+within max_edit_rate edits per character of the item, wherever the edits fall. The search loses none of these:
+
+* an item of L characters that may take k edits is cut into L // q pieces of q characters. An edit
+  spoils one piece at most, so need = L // q - k pieces stand unchanged in any match;
+* insertions and deletions, at most k together, shift those pieces against each other by no more than
+  k. Places where need pieces lie on diagonals within k of each other are candidates, at every size of
+  item and every place in a word; q is the largest that leaves LEAST_PIECES pieces, if any does;
+* each edit spoils at most GRAM of the item's strings of GRAM characters; a candidate without the
+  others is left;
 * a candidate is verified exactly: the least edit distance of the item to any part of the document
-  around the window, by bit-parallel dynamic programming.
+  around it, by bit-parallel dynamic programming.
 
-Items go to the executors in blocks of bounded size, one pass each; documents are never shuffled.
+Pieces are compared by hash, which may add candidates but loses none. Items go to the executors in
+blocks of bounded size, one pass each; documents are never shuffled, long ones are read in parts that
+overlap by more than a match.
 
 Defined results: null, empty and wordless documents or items match nothing; an item of fewer than
-three words is its own seed; repeated rows match alike; of matches of one item in one document the
-nearest is reported, ties by the first end.
+three words, or too short for an edit, matches whole words only; repeated rows match alike; of matches
+of one item in one document the nearest is reported, ties by the first end.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.ngram_join import _mix
-
 ITEM_BLOCK = 5_000
-MIN_TWO_SEEDS = 8
-SLICE_BYTES = 2 << 20
-FILTER_BITS = 22
+#: Characters that are searched at a time.
+SLICE_CHARS = 1 << 18
+LONGEST_PIECE, LEAST_PIECES = 6, 4
+#: Length of the strings that a candidate is counted by.
+GRAM = 4
+SLOT_BITS = 20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -63,17 +68,27 @@ def normal(found: list[bytes]) -> str:
     return b" ".join(found).decode("utf-8", "surrogatepass")
 
 
-def _hashes(found) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
-    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64)
+def _slots(points: np.ndarray, wanted: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each wanted length, rising: the slots of all strings of that length."""
+    value = code = (points.astype(np.uint64) + np.uint64(1)) * FACTOR
+    for q in range(1, wanted[-1] + 1):
+        if q > len(points):
+            return
+        if q > 1:
+            value = value[:-1] * FACTOR + code[q - 1 :]
+        if q in wanted:
+            yield q, (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(max(len(h) - n + 1, 0), n, np.uint64)
-    for k in range(n):
-        out = _mix(out) + h[k : len(h) - n + 1 + k]
-    return out
+def piece_length(length: int, most: int) -> int:
+    """The longest pieces of which LEAST_PIECES survive `most` edits; else those of which most survive."""
+    if not most:
+        return min(length, LONGEST_PIECE)
+    return max(range(1, min(length, LONGEST_PIECE) + 1), key=lambda q: (min(length // q - most, LEAST_PIECES), q))
 
 
 def best_match(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
@@ -110,133 +125,140 @@ def best_match(pattern: str, text: str, most: int) -> tuple[int, int, int] | Non
     return distance, end - max(i + 1 for i, d in enumerate(starts) if d == distance), end
 
 
+def best_words(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
+    """Like best_match, of parts that begin and end with whole words of text."""
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == " ")]
+    ends = [*(i for i, c in enumerate(text) if c == " "), len(text)]
+    found = []
+    for a in starts:
+        for b in ends[bisect_left(ends, max(a + 1, a + len(pattern) - most)) : bisect_right(ends, a + len(pattern) + most)]:
+            row = list(range(b - a + 1))
+            for i, x in enumerate(pattern, 1):
+                new = [i]
+                for j, y in enumerate(text[a:b], 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            if row[-1] <= most:
+                found.append((row[-1], b, a))
+    if not found:
+        return None
+    distance, end, start = min(found)
+    return distance, start, end
+
+
 class Index:
-    """A block of items: seeds, walks and tables."""
+    """A block of items and the slots of their pieces."""
 
     def __init__(self, items: list[tuple[object, str]], search: Search) -> None:
-        self.search = search
         kept = [(i, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _ in kept]
         self.texts = [normal(w) for _, w in kept]
-        self.n_words = np.array([len(w) for _, w in kept], np.int64)
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.most = np.floor(self.lengths * search.max_edit_rate).astype(np.int64)
-        self.word_at = [np.concatenate([[0], np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in w])]) for _, w in kept]
-        self.widths = sorted({min(3, int(n)) for n in self.n_words})
-        self.seeds = {n: self._seeds([(k, w) for k, (_, w) in enumerate(kept) if min(3, len(w)) == n], n) for n in self.widths}
-        rng = np.random.default_rng(search.seed)
-        self.steps = int(2 * self.lengths.max()) if len(kept) else 0
-        walks = math.ceil(search.tables / search.tables_per_walk)
-        self.moves = rng.integers(0, 2, (walks, self.steps, 256), dtype=np.uint8)
-        self.places = rng.random((walks, search.tables_per_walk, search.positions))
-        self.walks = self._walked([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in self.texts], self.lengths) if len(kept) else None
-
-    def _seeds(self, kept: list[tuple[int, list[bytes]]], n: int):
-        g = [_grams(_hashes(w), n) for _, w in kept]
-        value = np.concatenate(g)
-        item = np.concatenate([np.full(len(x), k) for x, (k, _) in zip(g, kept, strict=True)])
-        offset = np.concatenate([np.arange(len(x)) for x in g])
-        order = np.argsort(value, kind="stable")
-        table = np.zeros(1 << FILTER_BITS, bool)
-        table[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return value[order], item[order], offset[order], table
-
-    def _walked(self, windows: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
-        """(walks, tables, windows) keys: the sampled positions of each window's walks, hashed. lengths: of the items, whose double the positions span."""
-        width = int(lengths.max())
-        x = np.zeros((len(windows), width + 1), np.uint8)
-        for k, w in enumerate(windows):
-            w = w[:width]
-            x[k, : len(w)] = ((w * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8) | np.uint8(1)
-        flat, base, steps = x.reshape(-1), np.arange(len(windows)) * (width + 1), 2 * width
-        out = np.empty((len(self.moves), self.places.shape[1], len(windows)), np.uint64)
-        for v, moves in enumerate(self.moves):
-            cursor, trace = np.zeros(len(windows), np.int64), np.empty((steps, len(windows)), np.uint8)
-            for t in range(steps):
-                symbol = flat[base + cursor]
-                trace[t] = symbol
-                cursor += moves[t][symbol]
-                np.minimum(cursor, width, out=cursor)
-            for b in range(self.places.shape[1]):
-                at = (self.places[v, b][:, None] * (2 * lengths)[None, :]).astype(np.int64)
-                symbols = trace[at, np.arange(len(windows))[None, :]].astype(np.uint64)
-                key = np.zeros(len(windows), np.uint64)
-                for row in symbols:
-                    key = (key << np.uint64(8)) | row
-                out[v, b] = key
-        return out
-
-    def _seeded(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Sorted rows (document, item, first word of the window) that seeds ask for."""
-        rows = []
-        for n, (value, item, offset, table) in self.seeds.items():
-            if len(h) < n:
-                continue
-            g = _grams(h, n)
-            where = np.flatnonzero(table[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (doc[: len(g)] == doc[n - 1 :]))
-            lo, hi = np.searchsorted(value, g[where], "left"), np.searchsorted(value, g[where], "right")
-            count = hi - lo
-            where, lo, count = where[count > 0], lo[count > 0], count[count > 0]
+        self.most = np.minimum(np.floor(self.lengths * search.max_edit_rate).astype(np.int64), self.lengths - 1)
+        self.whole = np.array([len(w) < 3 for _, w in kept], bool) | (self.most == 0)
+        sizes = [piece_length(int(n), int(k)) for n, k in zip(self.lengths, self.most, strict=True)]
+        self.need = np.array([int(n) // q - int(k) if k else 1 for n, k, q in zip(self.lengths, self.most, sizes, strict=True)], np.int64)
+        self.grams: dict[int, set[str]] = {}
+        #: More than any match or shift of pieces reaches.
+        self.reach = int((self.lengths + self.most).max()) + 1 if kept else 0
+        self.sizes = sorted(set(sizes))
+        self.pieces = {q: self._pieces([k for k, size in enumerate(sizes) if size == q], q) for q in self.sizes}
+
+    def _pieces(self, of: list[int], q: int):
+        """First row and number of rows by slot; item and offset by row."""
+        slots = [next(s for size, s in _slots(_points(self.texts[k]), [q]) if size == q)[::q] for k in of]
+        slot = np.concatenate(slots)
+        order = np.argsort(slot, kind="stable")
+        item = np.concatenate([np.full(len(s), k) for s, k in zip(slots, of, strict=True)])[order]
+        offset = np.concatenate([np.arange(len(s)) * q for s in slots])[order]
+        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        return (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), item, offset
+
+    def _shares_grams(self, item: int, text: str) -> bool:
+        """Whether some part of text, as long as a match can be, has as many strings of the item as a match must leave."""
+        least = int(self.lengths[item]) - GRAM + 1 - GRAM * int(self.most[item])
+        if least <= 0:
+            return True
+        if (grams := self.grams.get(item)) is None:
+            pattern = self.texts[item]
+            grams = self.grams[item] = {pattern[i : i + GRAM] for i in range(len(pattern) - GRAM + 1)}
+        at = [i for i in range(len(text) - GRAM + 1) if text[i : i + GRAM] in grams]
+        most = int(self.lengths[item] + self.most[item]) - GRAM
+        return any(b - a <= most for a, b in zip(at, at[least - 1 :], strict=False))
+
+    def candidates(self, parts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(part, item, first, last diagonal): all matches' pieces lie on one of those diagonals or at most `most` above."""
+        length = np.array([len(p) for p in parts], np.int64)
+        first = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
+        # between parts lies more than diagonals can be apart that are near each other
+        base = first + np.arange(len(parts)) * 2 * self.reach + self.reach
+        span = int(base[-1] + length[-1]) + self.reach
+        part_of = np.repeat(np.arange(len(parts)), length + 1)
+        keys = []
+        for q, slot in _slots(_points("\n".join(parts)), self.sizes):
+            start, number, item, offset = self.pieces[q]
+            count = number[slot]
+            where = np.flatnonzero(count)
             if not len(where):
                 continue
-            each = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(where, count)
-            rows.append(np.stack([doc[at], item[each], at - offset[each]], axis=1))
-        if not rows:
-            return np.empty((0, 3), np.int64)
-        r = np.concatenate(rows)
-        r = r[np.lexsort((r[:, 2], r[:, 1], r[:, 0]))]
-        near = np.concatenate([(r[1:, :2] == r[:-1, :2]).all(axis=1) & (r[1:, 2] - r[:-1, 2] <= np.maximum(1, self.n_words[r[1:, 1]] // 5)), [False]])
-        enough = near | np.concatenate([[False], near[:-1]]) | (self.n_words[r[:, 1]] < MIN_TWO_SEEDS)
-        return np.unique(r[enough], axis=0)
+            count, lo = count[where].astype(np.int64), start[slot[where]].astype(np.int64)
+            row = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            place = where + (base - first)[part_of[where]]
+            keys.append(item[row] * span + np.repeat(place, count) - offset[row])
+        if not keys:
+            return
+        key = np.sort(np.concatenate(keys))
+        item = key // span
+        last = np.arange(len(key)) + self.need[item] - 1
+        fits = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        # keys of other items are at least 2 * reach away
+        good = key[fits & (key[last] - key <= self.most[item])]
+        if not len(good):
+            return
+        item = good // span
+        apart = np.flatnonzero(good[1:] - good[:-1] > self.most[item[1:]]) + 1
+        begin, end = np.concatenate([[0], apart]), np.concatenate([apart, [len(good)]]) - 1
+        low, high, item = good[begin] % span, good[end] % span, item[begin]
+        part = np.maximum(np.searchsorted(base - self.reach, low, "right") - 1, 0)
+        yield from zip(part.tolist(), item.tolist(), (low - base[part]).tolist(), (high - base[part]).tolist(), strict=True)
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document's place, item's place, start, end, distance), one for each document and item that match."""
         if not self.ids:
             return
-        found = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in found])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        rows = self._seeded(_hashes(chain.from_iterable(found)), np.repeat(np.arange(len(found)), sizes))
-        windows, kept, line, at = [], [], "", None
-        for k, (d, item, word) in enumerate(rows):
-            if k == 0 or d != rows[k - 1][0]:
-                line = normal(found[d])
-                at = np.concatenate([[0], np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in found[d]])])
-                points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-            start = int(at[max(int(word - first[d]), 0)])
-            if kept and kept[-1][:3] == (d, item, start):
-                continue
-            windows.append(points[start : start + self.lengths[item]])
-            kept.append((d, item, start, line))
-        if not kept:
-            return
-        item_of = np.array([k[1] for k in kept])
-        agree = np.zeros(len(kept), bool)
-        for part in np.array_split(np.arange(len(kept)), max(1, len(kept) // 4096)):
-            keys = self._walked([windows[k] for k in part], self.lengths[item_of[part]])
-            agree[part] = (keys == self.walks[:, :, item_of[part]]).any(axis=(0, 1))
+        lines = [normal(words_of(t)) for t in texts]
+        parts = [(d, a) for d, line in enumerate(lines) for a in range(0, max(len(line) - self.reach, 1), SLICE_CHARS) if line]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in np.flatnonzero(agree):
-            d, item, start, line = kept[k]
-            slack = int(self.most[item]) + 1
-            low = max(0, start - slack)
-            if (m := best_match(self.texts[item], line[low : start + int(self.lengths[item]) + slack], int(self.most[item]))) is not None:
-                m = (m[0], m[2] + low, m[1] + low)
-                best[d, item] = min(m, best.get((d, item), m))
+        for some in _slices(parts, [min(len(lines[d]) - a, SLICE_CHARS + self.reach) for d, a in parts]):
+            for part, item, low, high in self.candidates([lines[d][a : a + SLICE_CHARS + self.reach] for d, a in some]):
+                d, a = some[part]
+                line, length, most = lines[d], int(self.lengths[item]), int(self.most[item])
+                begin, end = max(0, a + low - most), min(len(line), a + high + length + most)
+                if self.whole[item]:
+                    # out to whole words, with one more character than a word within reach has
+                    begin = line.rfind(" ", 0, begin + 1) + 1
+                    end = len(line) if (at := line.find(" ", end)) < 0 else at
+                    m = best_words(self.texts[item], line[begin:end], most)
+                else:
+                    m = best_match(self.texts[item], line[begin:end], most) if self._shares_grams(item, line[begin:end]) else None
+                if m is not None:
+                    m = (m[0], m[2] + begin, m[1] + begin)
+                    best[d, item] = min(m, best.get((d, item), m))
         for (d, item), (distance, end, start) in sorted(best.items()):
-            yield int(d), int(item), start, end, distance
+            yield d, item, start, end, distance
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(rows: list, sizes: list[int]) -> Iterator[list]:
+    """Rows in turn, in lists of SLICE_CHARS or one row more."""
     begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_BYTES:
-            yield begin, k + 1
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= SLICE_CHARS:
+            yield rows[begin : k + 1]
             begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(rows):
+        yield rows[begin:]
 
 
 def _blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[object, str]]]:
@@ -259,9 +281,7 @@ def find_passages(docs: DataFrame, items: DataFrame, search: Search | None = Non
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, search)
             for batch in batches:
-                texts, rows = batch.column(1).to_pylist(), []
-                for a, b in _slices(texts):
-                    rows += [(d + a, index.ids[i], s, e, x) for d, i, s, e, x in index.matches(texts[a:b])]
+                rows = [(d, index.ids[i], s, e, x) for d, i, s, e, x in index.matches(batch.column(1).to_pylist())]
                 if rows:
                     ids = batch.column(0).take(pa.array([r[0] for r in rows]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.from_numpy_dtype("int64") if isinstance(rows[0][1], int) else None), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]], ["d", "i", "start", "end", "distance"])
@@ -281,9 +301,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, search: Search | None =
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, search)
             for batch in batches:
-                texts = batch.column(place).to_pylist()
-                bad = {d + a for a, b in _slices(texts) for d, *_ in index.matches(texts[a:b])}
-                yield batch.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_())) if bad else batch
+                bad = {d for d, *_ in index.matches(batch.column(place).to_pylist())}
+                yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_())) if bad else batch
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

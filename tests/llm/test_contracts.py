@@ -1,6 +1,7 @@
 """The operators against plain versions, on whole small tables and on odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -139,6 +140,27 @@ def test_decontamination_finds_exact_and_edited_passages(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {3, 4, 5}
 
 
+def _spoiled(text, edits, rng, step=None):
+    """text after random letter edits; with step, one substitution in every step-th word instead."""
+    if step:
+        return " ".join(w[: len(w) // 2] + "@" + w[len(w) // 2 + 1 :] if k % step == step - 1 else w for k, w in enumerate(text.split(" ")))
+    for _ in range(edits):
+        at, kind = rng.randrange(len(text)), rng.randrange(3)
+        text = text[:at] + (rng.choice("abcdefgh") if kind else "") + text[at + (kind != 2) :]
+    return text
+
+
+def test_decontamination_finds_passages_without_a_whole_trigram():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5, 9)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((8, 16, 40, 60))]
+    index = decontaminate.Index(items, decontaminate.Search())
+    for k, item in items:
+        clean = " ".join(word() for _ in range(50))
+        rows = [f"{clean} {_spoiled(item, 0, rng, 3)} {clean}", " ".join(w + "," if n % 3 == 0 else w for n, w in enumerate(item.split(" "))), clean]
+        assert {(d, i) for d, i, *_ in index.matches(rows)} == {(0, k), (1, k)}
+
+
 def test_url_hits_match_plain_search():
     for url in (None, "", "http://a.com/porn/", "http://a.com/pornx", "http://cheap.pills.example", "http://x/cheap-CHEAP"):
         low = (url or "").lower()
