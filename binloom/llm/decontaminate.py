@@ -9,7 +9,7 @@ within max_edit_rate edits per character of the item, wherever the edits fall. T
   k. Places where need pieces lie on diagonals within k of each other are candidates, at every size of
   item and every place in a word; q is the largest that leaves LEAST_PIECES pieces, if any does;
 * each edit spoils at most GRAM of the item's strings of GRAM characters; a candidate without the
-  others is left;
+  others, counted with and without repeats, is left;
 * a candidate is verified exactly: the least edit distance of the item to any part of the document
   around it, by bit-parallel dynamic programming.
 
@@ -24,7 +24,6 @@ of one item in one document the nearest is reported, ties by the first end.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,18 +45,9 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Search:
-    """Largest edits per character of an item; wanted recall; share of walk positions that such edits change; positions per table."""
+    """Largest edits per character of an item."""
 
     max_edit_rate: float = 0.15
-    recall: float = 0.98
-    changed_share: float = 0.4
-    positions: int = 4
-    tables_per_walk: int = 4
-    seed: int = 7
-
-    @property
-    def tables(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.changed_share) ** self.positions))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -183,6 +173,8 @@ class Index:
             pattern = self.texts[item]
             grams = self.grams[item] = {pattern[i : i + GRAM] for i in range(len(pattern) - GRAM + 1)}
         at = [i for i in range(len(text) - GRAM + 1) if text[i : i + GRAM] in grams]
+        if len({text[i : i + GRAM] for i in at}) < len(grams) - GRAM * int(self.most[item]):
+            return False
         most = int(self.lengths[item] + self.most[item]) - GRAM
         return any(b - a <= most for a, b in zip(at, at[least - 1 :], strict=False))
 

@@ -150,6 +150,16 @@ def _spoiled(text, edits, rng, step=None):
     return text
 
 
+def _whole(text, items, search):
+    """Least distance to each item that some part of the text is near enough to, by plain dynamic programming."""
+    out = {}
+    for i, item in items:
+        distance = _distance(item, text)
+        if distance <= int(len(item) * search.max_edit_rate):
+            out[i] = distance
+    return out
+
+
 def test_decontamination_finds_passages_without_a_whole_trigram():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5, 9)))
@@ -160,6 +170,34 @@ def test_decontamination_finds_passages_without_a_whole_trigram():
         rows = [f"{clean} {_spoiled(item, 0, rng, 3)} {clean}", " ".join(w + "," if n % 3 == 0 else w for n, w in enumerate(item.split(" "))), clean]
         assert {(d, i) for d, i, *_ in index.matches(rows)} == {(0, k), (1, k)}
 
+def test_decontamination_equals_brute_force_up_to_the_largest_edit_rate():
+    rng, search = random.Random(5), decontaminate.Search()
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 8)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((3, 5, 8, 12, 20, 30))]
+    items = [(k, t) for k, t in items if int(len(t) * search.max_edit_rate)]
+    index, texts = decontaminate.Index(items, search), []
+    for rate in (0.05, 0.08, 0.1, 0.13, 0.15, 0.18):
+        for _, item in items * 3:
+            around = [" ".join(word() for _ in range(10)) for _ in range(2)]
+            texts.append(f"{around[0]} {_spoiled(item, int(len(item) * rate), rng)} {around[1]}")
+    lines = [decontaminate.normal(decontaminate.words_of(t)) for t in texts]
+    want = {(d, items[i][0]): n for d, line in enumerate(lines) for i, n in _whole(line, list(enumerate(t for _, t in items)), search).items()}
+    assert {(d, items[i][0]): n for d, i, _, _, n in index.matches(texts)} == want
+    assert len(want) > 80
+    for d, i, start, end, n in index.matches(texts):
+        assert _distance(items[i][1], lines[d][start:end]) == n
+
+
+def test_decontamination_finds_passages_across_parts_of_a_long_document(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 50)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    items = [(k, " ".join(word() for _ in range(12))) for k in range(4)]
+    index = decontaminate.Index(items, decontaminate.Search())
+    text = " ".join(" ".join(word() for _ in range(rng.randrange(30))) + " " + _spoiled(t, len(t) // 8, rng) for _, t in items)
+    assert {i for _, i, *_ in index.matches([None, "", text])} == {0, 1, 2, 3}
+    assert [(d, i) for d, i, *_ in index.matches(["", "a", text[:40]])] == []
+
 
 def test_url_hits_match_plain_search():
     for url in (None, "", "http://a.com/porn/", "http://a.com/pornx", "http://cheap.pills.example", "http://x/cheap-CHEAP"):
