@@ -4,7 +4,8 @@ Base kinds are found by pattern. The entropy kind takes every long run of token
 candidate, slides a window over it, and keeps the counts of the window's characters: each step adds
 one character and removes one, so the Shannon entropy follows from the counts that change. A
 candidate whose best window passes its class's limit is a secret unless an allow-list entry fits
-or a base span covers it already.
+or base spans cover all of it already. If they cover it in part, the parts outside are judged as well
+as the whole, and the span is the whole.
 
 Positions are code points, ends exclusive. Null or empty texts have no spans. Every row is judged
 alone: no shuffle, ties and repeated rows get equal results, other columns are left alone.
@@ -105,17 +106,34 @@ def _spanned(docs: DataFrame, text: str, entropy: Entropy) -> DataFrame:
     )
     frame = frame.withColumn("__base", F.sort_array(F.concat("__assign", "__access", "__hex")))
 
-    def secret(x: Column) -> Column:
-        hit = x["hit"]
+    def judged(hit: Column) -> Column:
         fits = F.lit(False)
         for pattern in entropy.allowed:
             fits = fits | F.rlike(hit, F.lit(pattern))
-        covered = F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         is_hex = F.rlike(hit, F.lit("^[0-9a-fA-F]+$"))
         low = window_entropy(F.split(F.lower(hit), ""), HEX_ALPHABET, entropy.window) >= entropy.hex_bits
         high = window_entropy(F.split(hit, ""), TOKEN_ALPHABET, entropy.window) >= entropy.token_bits
-        return F.when(fits | covered, F.lit(False)).when(is_hex, low).otherwise(high)
+        return F.when(fits, F.lit(False)).when(is_hex, low).otherwise(high)
+
+    def uncovered(x: Column) -> Column:
+        """The parts of a candidate outside all base spans."""
+
+        def step(acc: Column, b: Column) -> Column:
+            part = F.substring(x["hit"], acc["at"] - x["start"] + 1, b["start"] - acc["at"])
+            parts = F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), parts.alias("parts"))
+
+        start = F.struct(x["start"].alias("at"), F.array().cast("array<string>").alias("parts"))
+        near = F.filter("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        rest = lambda acc: F.when(acc["at"] < x["end"], F.concat(acc["parts"], F.array(F.substring(x["hit"], acc["at"] - x["start"] + 1, x["end"] - acc["at"])))).otherwise(acc["parts"])
+        return F.aggregate(near, start, step, rest)
+
+    def secret(x: Column) -> Column:
+        # nothing is left of a candidate that base spans cover
+        texts = F.filter(F.array_distinct(F.concat(F.array(x["hit"]), x["parts"])), lambda t: F.length(t) >= entropy.window)
+        return (F.size(x["parts"]) > 0) & F.exists(texts, judged)
 
+    frame = frame.withColumn("__runs", F.transform("__runs", lambda x: x.withField("parts", uncovered(x))))
     frame = frame.withColumn("__entropy", F.coalesce(_bare(F.filter("__runs", secret)), none))
     return frame.withColumn("__spans", F.when(F.size("__entropy") > 0, F.sort_array(F.concat("__base", "__entropy"))).otherwise(F.col("__base")))
 

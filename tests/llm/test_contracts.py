@@ -93,6 +93,18 @@ def test_secret_scan(spark, docs):
         assert set(base) <= set(found[i].spans.split(","))
 
 
+def test_secrets_that_base_spans_cover_in_part(spark):
+    key = "q7Zt2LmX9vBc4RwK8sJd3HfN6yPg1TuE5aViSoQx"
+    tokens = [f"1234567890123456789-{key}", key[:20] + "0a1b2c3d4e5f60718" + key[20:], f"{key[:12]}/AKIAQZ7RTX2MPLW9SD/{key[12:24]}", "0123456789abcdef0123456789abcdef", "hello-hello-hello-1111111111111111"]
+    rows = [(k, f"é {t} end") for k, t in enumerate(tokens)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+    for k, t in enumerate(tokens[:3]):
+        assert ("entropy", 2, 2 + len(t)) in found[k] and len(found[k]) == 2
+    assert [[s[0] for s in found[k]] for k in (3, 4)] == [["hex"], ["hex"]]
+    assert [r.text for r in secret_scan.redact_secrets(docs).orderBy("doc_id").collect()] == ["é [SECRET] end"] * 4 + ["é hello-hello-hello-[SECRET] end"]
+
+
 def test_source_mixing(spark, docs):
     rows = queries.op4_source_mixing(spark, SF).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op4_source_mixing(spark, SF).collect()))
