@@ -8,15 +8,17 @@ its solution tilts each document by exp(multiplier of its source). Newton steps
 each constraint has its own multiplier, they need each source's words only, which one aggregation with
 partial sums gives, and no further pass over documents.
 
-A rate's whole part becomes copies. Its fraction is settled for cells of documents of similar size
-(binary order of magnitude, hash): from the largest sizes to the smallest, a cell gets one more
-copy or not, and what is missing or too much is carried on. A source has 24 x 64 cells at most,
-however many documents, so no group grows with the input, and the words taken differ from the target
-by about half the last cell.
+A rate's whole part becomes copies. Its fraction is settled in each size band (binary order of magnitude)
+of each source: documents get one more copy in the order of a hash, up to the one at which the fraction
+of the band's words is reached. That document is found without sorting: words are summed by the leading bits
+of the hash, then by the next bits within the one range that holds it, until a single hash is left. From the
+largest sizes to the smallest, it gets the copy or not, and what is missing or too much is carried on. So
+the words taken differ from the target by about one document, however large the source, and no group
+grows with the input: a pass has 2 ** LEVEL_BITS ranges a band at most.
 
 Defined results: null and empty texts have size 0 and are taken 0 times or as their rate says, which
 takes no words; null sources are a source of their own, the last; sources without words have the
-target 0; repeated rows share a cell and are treated alike; results depend on ids and sizes alone, so
+target 0; repeated rows share a hash and are treated alike; results depend on ids and sizes alone, so
 reruns agree.
 """
 
@@ -25,7 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS, HASHES = 24, 64
+from binloom.llm.shared import stored
+
+BANDS = 24
+HASH_BITS, LEVEL_BITS = 63, 12
 NEWTON_STEPS = 60
 #: Sources with rows of no more than this in all go to each executor whole; more are joined by shuffle.
 BROADCAST_SOURCES = 2_000
@@ -65,40 +70,69 @@ def balanced_rates(targets: DataFrame, cap: float) -> DataFrame:
     return out.withColumn("rate", F.coalesce(F.least(F.lit(float(cap)), F.round(F.exp("multiplier"), 12)), F.lit(0.0)))
 
 
-def _cell(id_col: Column, size: Column) -> Column:
-    """From 1; the largest sizes first."""
-    band = F.least(F.lit(BANDS - 1), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
-    return ((BANDS - 1 - band) * HASHES + F.pmod(F.xxhash64(id_col, size), F.lit(HASHES)) + 1).cast("int")
+def _band(size: Column) -> Column:
+    return F.least(F.lit(BANDS - 1), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
+
+
+def _hash(id_col: Column, size: Column) -> Column:
+    return F.xxhash64(id_col, size).bitwiseAND(F.lit(2**HASH_BITS - 1))
 
 
-def _rounding(sizes: DataFrame, rates: DataFrame, id_col: str, source: str, size: str) -> DataFrame:
-    """Per source: rate, target and a string with 1 at each cell that gets one more copy."""
-    cells = sizes.groupBy(F.col(source).alias("__source"), _cell(F.col(id_col), F.col(size)).alias("cell")).agg(F.sum(size).alias("n"))
-    lists = cells.groupBy("__source").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    table = rates.join(lists, rates["__source"].eqNullSafe(lists["__source"]), "left").drop(lists["__source"])
+def _last_taken(sizes: DataFrame, rates: DataFrame) -> DataFrame:
+    """Of (__source, band, h, n) rows, per source and band: the hash at which the fraction is reached, its words, and the words still owed before it."""
+    spark = sizes.sparkSession
     part = F.col("rate") - F.floor("rate")
-    start = F.struct(F.lit(0.0).alias("owed"), F.lit(0).alias("at"), F.lit("").alias("flags"))
+    sums = sizes.groupBy(F.col("__source").alias("s"), F.col("band").alias("b")).agg(F.sum("n").alias("n"))
+    state = sums.join(rates, sums["s"].eqNullSafe(rates["__source"])).where((part > 1e-9) & (F.col("n") > 0))
+    state = stored(spark, state.select("s", "b", (part * F.col("n")).alias("owed"), "n", F.lit(0).cast("long").alias("h"), F.lit(False).alias("single")), "mix-state")
+    place = Window.partitionBy("s", "b").orderBy("range")
+    for left in [*range(HASH_BITS - LEVEL_BITS, 0, -LEVEL_BITS), 0]:
+        if not state.where("not single").limit(1).count():
+            break
+        above = left + LEVEL_BITS
+        near = sizes["__source"].eqNullSafe(state["s"]) & (sizes["band"] == state["b"]) & ~state["single"]
+        if above < HASH_BITS:
+            near = near & (F.shiftright(sizes["h"], above) == F.shiftright(state["h"], above))
+        small = F.broadcast(state) if state.limit(BANDS * BROADCAST_SOURCES + 1).count() <= BANDS * BROADCAST_SOURCES else state
+        found = sizes.join(small, near).groupBy("s", "b", F.shiftright(sizes["h"], left).alias("range"))
+        found = found.agg(F.sum(sizes["n"]).alias("n"), F.min(sizes["h"]).alias("h"), F.max(sizes["h"]).alias("last"), F.first("owed").alias("owed"))
+        found = found.withColumn("upto", F.sum("n").over(place)).withColumn("total", F.sum("n").over(Window.partitionBy("s", "b")))
+        # sums of floats may leave as much owed as there is: then it is the last range
+        found = found.where((F.col("upto") - F.col("n") <= F.col("owed")) & ((F.col("owed") < F.col("upto")) | (F.col("upto") == F.col("total"))) & (F.col("n") > 0))
+        found = found.select("s", "b", (F.col("owed") - F.col("upto") + F.col("n")).alias("owed"), "n", "h", (F.col("h") == F.col("last")).alias("single"))
+        state = stored(spark, state.where("single").unionByName(found), "mix-state")
+    return state
+
+
+def _rounding(sizes: DataFrame, rates: DataFrame) -> DataFrame:
+    """Per source: words, target, rate and the largest hash of each band that gets one more copy."""
+    bands = F.sort_array(F.collect_list(F.struct((-F.col("b")).alias("order"), "b", "owed", "n", "h")))
+    lists = _last_taken(sizes, rates).groupBy("s").agg(bands.alias("bands"))
+    table = rates.join(lists, rates["__source"].eqNullSafe(lists["s"]), "left")
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<b:int,h:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        owed = acc["owed"] + part * x["n"]
+        owed = acc["owed"] + x["owed"]
         more = owed * 2 >= x["n"]
-        flags = F.concat(acc["flags"], F.repeat(F.lit("0"), x["cell"] - acc["at"] - 1), F.when(more, F.lit("1")).otherwise(F.lit("0")))
-        return F.struct((owed - F.when(more, x["n"]).otherwise(F.lit(0))).alias("owed"), x["cell"].alias("at"), flags.alias("flags"))
+        bound = F.struct(x["b"].alias("b"), (x["h"] - F.when(more, 0).otherwise(1)).alias("h"))
+        return F.struct((owed - F.when(more, x["n"]).otherwise(F.lit(0))).alias("owed"), F.concat(acc["out"], F.array(bound)).alias("out"))
 
-    flags = F.when(part > 1e-9, F.aggregate("cells", start, step, lambda acc: acc["flags"])).otherwise(F.lit(""))
-    return table.select("__source", F.col("words").alias("__words"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), flags.alias("__flags"))
+    bounds = F.map_from_entries(F.aggregate("bands", start, step, lambda acc: acc["out"]))
+    return table.select("__source", F.col("words").alias("__words"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), bounds.alias("__bounds"))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
     """docs, which need a column of sizes, with __words and __target of their source, __rate, and __copies, at most cap rounded down."""
-    rates = balanced_rates(source_targets(docs, weights, source, size, cap), cap)
-    table = _rounding(docs, rates, id_col, source, size)
-    extra = (F.substring(F.col("__flags"), _cell(F.col(id_col), F.col(size)), F.lit(1)) == "1").cast("int")
+    spark, band, place = docs.sparkSession, _band(F.col(size)), _hash(F.col(id_col), F.col(size))
+    sizes = stored(spark, docs.select(F.col(source).alias("__source"), band.alias("band"), place.alias("h"), F.col(size).cast("long").alias("n")), "mix-sizes")
+    rates = stored(spark, balanced_rates(source_targets(sizes, weights, "__source", "n", cap), cap), "mix-rates")
+    table = stored(spark, _rounding(sizes, rates), "mix-table")
+    extra = (place <= F.element_at("__bounds", band)).cast("int")
     copies = F.least(F.lit(int(cap)), F.floor("__rate").cast("int") + F.coalesce(extra, F.lit(0)))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     out = docs.join(table, docs[source].eqNullSafe(table["__source"]), "left").drop("__source")
-    return out.withColumn("__copies", copies).drop("__flags")
+    return out.withColumn("__copies", copies).drop("__bounds")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", source: str = "source", text_size: Column | None = None, copy_col: str | None = None) -> DataFrame:

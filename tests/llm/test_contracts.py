@@ -128,6 +128,14 @@ def test_source_mixing(spark, docs):
         assert abs(taken[s] - want[s]) <= max(0.02 * want[s], max(size[i] for i in size if sources[i] == s))
 
 
+def test_source_mixing_meets_low_rates_of_like_documents(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, "a").otherwise(F.format_string("s%03d", F.col("id") % 200)).alias("source"), F.lit(200).cast("long").alias("size"))
+    out = mixing.plan_mix(rows, tuple([0.05] + [1.0] * 200)).groupBy("source").agg(F.max("__target").alias("target"), F.sum(F.col("__copies") * F.col("size")).alias("taken"), F.max("__rate").alias("rate")).collect()
+    assert 0 < min(r.rate for r in out if r.source == "a") < 1 / 128
+    for r in out:
+        assert abs(r.taken - r.target) <= 200
+
+
 def _distance(a, b):
     """Least edits that turn a into some part of b."""
     row = [0] * (len(b) + 1)
