@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.shared import stored
+from binloom.llm.shared import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,7 +19,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) for every node of an edge (a, b): label is the least node of its component. Any orderable type."""
+    """(node, label) for every node of an edge (a, b), as a stored table: label is the least node of its component. Any orderable type."""
     edges = stored(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     for _ in range(rounds):
@@ -32,11 +32,14 @@ def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFr
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(least.select("a", F.col("m").alias("b")))
-        edges = stored(spark, small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        older, edges = edges, stored(spark, small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         before, state = state, _state(edges)
+        dropped(older)
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
-    return labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    labels = stored(spark, labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")
+    dropped(edges)
+    return labels

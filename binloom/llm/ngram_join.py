@@ -2,9 +2,10 @@
 
 A document's set is its distinct word n-grams, hashed to 64 bits. Hash groups do two things:
 
-* **Points.** 64 groups give each set a vector of group counts. Two sets share at most the sum of the
-  coordinate minima of their vectors; under the overlap that the threshold asks for, a pair is out.
-  `CountTree` is an R-tree over such points: inner nodes hold the largest count of each coordinate,
+* **Points.** Groups named by the leading bits of the hashes give each set a vector of group counts, as long as the
+  set is large (64 coordinates at least, MOST_DIMENSIONS at most); a longer vector folds to a shorter one. Two sets
+  share at most the sum of the coordinate minima of their vectors; under the overlap that the threshold asks for, a
+  pair is out. `CountTree` is an R-tree over such points: inner nodes hold the largest count of each coordinate,
   which bounds every set below.
 * **Shards.** A tree over all documents would not scale: near a threshold, count vectors alone leave a
   constant share of all pairs. So trees are sharded. Sets that link differ in at most K elements, K
@@ -12,10 +13,12 @@ A document's set is its distinct word n-grams, hashed to 64 bits. Hash groups do
   set therefore goes to one shard per group, named by the group's content, for its own size class and
   the next smaller one. No link is lost, and only sets that share a whole group meet.
 
-Equal sets are one class throughout, so exact copies, however many, cost one member. In a shard the
-least member is verified with all others first. Members that link to it are done; only pairs of
-members in different components go on to a tree join, in blocks, so a shard of many near copies costs
-its size and not its square. Verification compares the hashed sets whole.
+Equal sets are one class throughout, so exact copies, however many, cost one member. Each class is first
+verified with one member that it meets, the least of all it could be; those links make components. Only shards
+whose members are still in different components go to trees, in blocks, twice: at first the most
+alike pair of each two components in a block is verified, and with the components that these links leave, all
+pairs that the trees still allow. Nodes whose members are all in one component are not searched, so a shard of many near copies
+costs its size and not its square, and no step gives out pairs of one component. Verification compares the hashed sets whole.
 
 Defined results: null, empty or wordless texts have no set, link with nothing, and are their own
 component; texts shorter than n words are one shingle of all their words; rows that repeat an id or a
@@ -30,16 +33,17 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binloom.llm.components import connected
-from binloom.llm.shared import shared_dir, stored
+from binloom.llm.shared import dropped, shared_dir, stored
 
-DIMENSIONS = 64
+DIMENSIONS, MOST_DIMENSIONS = 64, 4096
 BLOCK = 1024
+#: Rows of an open shard that are held back to see whether its members are those of another one.
+HELD_ROWS = 1 << 16
 #: Ids up to this many go to each executor whole (at 24 bytes a row, 24 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,8 +71,28 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def dimensions(size: int) -> int:
+    """Coordinates of the vector of a set: a power of two that is no less than its size, within limits."""
+    return min(MOST_DIMENSIONS, max(DIMENSIONS, 1 << max(size - 1, 0).bit_length()))
+
+
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+    n = dimensions(len(hashes))
+    counts = np.bincount((hashes >> np.uint64(65 - n.bit_length())).astype(np.int64), minlength=n)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32)
+
+
+def folded(vector: bytes, size: int, n: int) -> np.ndarray:
+    """n coordinates of a stored vector of a set of that size."""
+    own = dimensions(size)
+    counts = np.frombuffer(vector, np.uint8 if len(vector) == own else np.int32)
+    return counts if own == n else counts.reshape(n, own // n).sum(axis=1, dtype=np.int32)
+
+
+def overlap_bound(va: bytes, na: int, vb: bytes, nb: int) -> int:
+    """What two sets share at most, by their vectors."""
+    n = min(dimensions(na), dimensions(nb))
+    return int(np.minimum(folded(va, na, n), folded(vb, nb, n)).sum(dtype=np.int64))
 
 
 def needed_overlap(a, b, num: int, den: int):
@@ -130,40 +154,52 @@ def shard_names(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 class CountTree:
-    """R-tree over count vectors, packed by recursive halving along the coordinate of the largest spread."""
+    """R-tree over count vectors, packed by recursive halving along the coordinate of the largest spread.
+
+    A node: largest count of each coordinate, least size, the label of all rows below or -1, rows of a leaf, children.
+    """
 
     LEAF = 32
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.points, self.sizes = points, sizes
-        self.nodes: list[tuple[np.ndarray, int, np.ndarray | None, tuple[int, int] | None]] = []
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        self.points, self.sizes, self.labels = points, sizes, labels
+        self.nodes: list[tuple[np.ndarray, int, int, np.ndarray | None, tuple[int, ...]]] = []
         self.root = self._pack(np.arange(len(points))) if len(points) else -1
 
     def _pack(self, rows: np.ndarray) -> int:
-        top, least = self.points[rows].max(axis=0), int(self.sizes[rows].min())
-        if len(rows) <= self.LEAF:
-            self.nodes.append((top, least, rows, None))
-        else:
-            p = self.points[rows]
-            rows = rows[np.argsort(p[:, int(np.argmax(p.max(axis=0) - p.min(axis=0)))], kind="stable")]
-            half = len(rows) // 2
-            below = self._pack(rows[:half]), self._pack(rows[half:])
-            self.nodes.append((top, least, None, below))
+        p, labels = self.points[rows], self.labels[rows]
+        top, below = p.max(axis=0), ()
+        if len(rows) > self.LEAF:
+            order = rows[np.argsort(p[:, int(np.argmax(top - p.min(axis=0)))], kind="stable")]
+            below = self._pack(order[: len(rows) // 2]), self._pack(order[len(rows) // 2 :])
+        same = int(labels[0]) if (labels == labels[0]).all() else -1
+        self.nodes.append((top, int(self.sizes[rows].min()), same, None if below else rows, below))
         return len(self.nodes) - 1
 
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Rows whose overlap bound with the point allows the threshold."""
-        found, open_ = [], [self.root] if self.root >= 0 else []
+    def join(self, other: CountTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, rows of other, overlap bounds) of all pairs of unlike labels that the bound allows. With itself, each pair once."""
+        alone = other is self
+        open_ = [(self.root, other.root)] if self.root >= 0 and other.root >= 0 else []
         while open_:
-            top, least, rows, below = self.nodes[open_.pop()]
-            if int(np.minimum(top, point).sum()) < needed_overlap(size, least, num, den):
+            x, y = open_.pop()
+            top, least, label, rows, below = self.nodes[x]
+            top_y, least_y, label_y, rows_y, below_y = other.nodes[y]
+            if label == label_y >= 0 or int(np.minimum(top, top_y).sum(dtype=np.int64)) < needed_overlap(least, least_y, num, den):
                 continue
-            if rows is None:
-                open_ += below
+            if alone and x == y and below:
+                open_ += [(below[0], below[0]), (below[1], below[1]), below]
+            elif below and (rows_y is not None or len(self.nodes) >= len(other.nodes)):
+                open_ += [(k, y) for k in below]
+            elif below_y:
+                open_ += [(x, k) for k in below_y]
             else:
-                bound = np.minimum(self.points[rows], point).sum(axis=1)
-                found.append(rows[bound >= needed_overlap(size, self.sizes[rows], num, den)])
-        return np.concatenate(found) if found else np.empty(0, np.int64)
+                bound = np.minimum(self.points[rows][:, None, :], other.points[rows_y][None, :, :]).sum(axis=2, dtype=np.int64)
+                fits = (bound >= needed_overlap(self.sizes[rows][:, None], other.sizes[rows_y][None, :], num, den)) & (self.labels[rows][:, None] != other.labels[rows_y][None, :])
+                if alone and x == y:
+                    fits = np.triu(fits, 1)
+                i, j = np.nonzero(fits)
+                if len(i):
+                    yield rows[i], rows_y[j], bound[i, j]
 
 
 def _class_of(hashes: np.ndarray) -> bytes:
@@ -208,35 +244,54 @@ def _sharded(n: int, num: int, den: int):
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (shard, c), the shards of two classes or more: (shard, least class, other class).
 
-    Shards with the same members as one already seen nearby say nothing new and are left out.
+    Shards with the same members as one already seen nearby say nothing new and are left out, unless they are so large
+    that their rows cannot wait for the last of them.
     """
+
+    def rows(s: np.ndarray, heads: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(heads), pa.array(m)], ["shard", "head", "c"])
+
     seen: set[int] = set()
     shard, c = np.empty(0, np.int64), np.empty(0, np.int64)
+    flowing: tuple[int, int, int] | None = None  # of a large shard: its name, head and last class
     for batch in _with_end(batches):
         if batch is not None:
             shard, c = np.concatenate([shard, batch.column(0).to_numpy()]), np.concatenate([c, batch.column(1).to_numpy()])
-            if not len(shard):
+        if not len(shard):
+            continue
+        if flowing:
+            own = int(np.searchsorted(shard != flowing[0], True))
+            m, shard, c = c[:own], shard[own:], c[own:]
+            m = m[np.concatenate([[flowing[2]], m[:-1]]) != m] if own else m
+            if len(m):
+                yield rows(np.full(len(m), flowing[0]), np.full(len(m), flowing[1]), m)
+                flowing = (flowing[0], flowing[1], int(m[-1]))
+            if len(shard):
+                flowing = None
+            else:
                 continue
-            cut = int(np.searchsorted(shard == shard[-1], True)) if len(shard) else 0
-        else:
-            cut = len(shard)
+        cut = len(shard) if batch is None else int(np.searchsorted(shard == shard[-1], True))
         s, m = shard[:cut], c[:cut]
         shard, c = shard[cut:], c[cut:]
-        if not len(s):
-            continue
-        keep = np.concatenate([[True], (s[1:] != s[:-1]) | (m[1:] != m[:-1])])
-        s, m = s[keep], m[keep]
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        lengths = np.diff(np.append(starts, len(s)))
-        lists = np.add.reduceat(_mix(m.view(np.uint64)), starts)
-        many = np.flatnonzero(lengths > 1)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        new = [i for i in many if (key := int(lists[i])) not in seen and not seen.add(key)]
-        if new:
-            rows = np.concatenate([np.arange(starts[i] + 1, starts[i] + lengths[i]) for i in new])
-            heads = np.repeat(m[starts[new]], lengths[new] - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.array(heads), pa.array(m[rows])], ["shard", "head", "c"])
+        if len(s):
+            keep = np.concatenate([[True], (s[1:] != s[:-1]) | (m[1:] != m[:-1])])
+            s, m = s[keep], m[keep]
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            lengths = np.diff(np.append(starts, len(s)))
+            lists = np.add.reduceat(_mix(m.view(np.uint64)), starts)
+            many = np.flatnonzero(lengths > 1)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = [i for i in many if (key := int(lists[i])) not in seen and not seen.add(key)]
+            if new:
+                at = np.concatenate([np.arange(starts[i] + 1, starts[i] + lengths[i]) for i in new])
+                yield rows(s[at], np.repeat(m[starts[new]], lengths[new] - 1), m[at])
+        if len(shard) > HELD_ROWS:
+            m = c[np.concatenate([[True], c[1:] != c[:-1]])]
+            if len(m) > 1:
+                yield rows(np.full(len(m) - 1, shard[0]), np.full(len(m) - 1, m[0]), m[1:])
+            flowing = (int(shard[0]), int(m[0]), int(m[-1]))
+            shard, c = shard[:0], c[:0]
 
 
 def _with_end(batches: Iterable) -> Iterator:
@@ -257,20 +312,28 @@ def _sets(n: int):
     return run
 
 
+def _bounded(num: int, den: int):
+    """Of pairs with both vectors and sizes, those whose overlap may do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("vec_a", "n_a", "vec_b", "n_b")]
+            fits = [overlap_bound(va, na, vb, nb) >= needed_overlap(na, nb, num, den) for va, na, vb, nb in zip(*cols, strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
+
+
 def _verified(num: int, den: int):
-    """Of pairs with both vectors and sets, the classes that link."""
+    """Of pairs with both sets, the classes that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, va, vb, sa, sb in zip(*(batch.column(k).to_pylist() for k in ("cls_a", "cls_b", "vec_a", "vec_b", "set_a", "set_b")), strict=True):
-                need = needed_overlap(len(sa) // 8, len(sb) // 8, num, den)
-                if int(np.minimum(np.frombuffer(va, np.int32), np.frombuffer(vb, np.int32)).sum()) < need:
-                    continue
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                both = np.concatenate([x, y])
+            for a, b, sa, sb in zip(*(batch.column(k).to_pylist() for k in ("cls_a", "cls_b", "set_a", "set_b")), strict=True):
+                both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
                 both.sort(kind="stable")
-                if int((both[1:] == both[:-1]).sum()) >= need:
+                if int((both[1:] == both[:-1]).sum()) >= needed_overlap(len(sa) // 8, len(sb) // 8, num, den):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
@@ -278,41 +341,56 @@ def _verified(num: int, den: int):
     return run
 
 
-def _tree_pairs(num: int, den: int):
-    """Of members sorted by (shard, i, j), pairs in different components that the trees of the blocks allow.
+def block_pairs(c: np.ndarray, n: np.ndarray, vec: list[bytes], label: list[bytes], part: np.ndarray, num: int, den: int, one_each: bool) -> np.ndarray:
+    """Of the members of a block, or of part 0 and part 1, the pairs (x, y) in different components that the trees allow, x < y.
 
-    Rows with part 0 are block i, those with part 1 block j; where i = j there is part 0 only.
+    one_each: of each two components only the pair that is the most alike by the bound.
     """
+    width = min(map(dimensions, n.tolist()))
+    points = np.stack([folded(v, k, width) for v, k in zip(vec, n.tolist(), strict=True)])
+    code: dict[bytes, int] = {}
+    labels = np.array([code.setdefault(x, len(code)) for x in label])
+    none = np.empty((0, 2), np.int64)
+    if len(code) < 2:
+        return none
+    left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    tree = CountTree(points[left], n[left], labels[left])
+    other, right = (CountTree(points[right], n[right], labels[right]), right) if len(right) else (tree, left)
+    found = list(tree.join(other, num, den))
+    if not found:
+        return none
+    i, j, bound = left[np.concatenate([f[0] for f in found])], right[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found])
+    if one_each:
+        both = np.minimum(labels[i], labels[j]).astype(np.int64) * len(code) + np.maximum(labels[i], labels[j])
+        order = np.lexsort((np.maximum(c[i], c[j]), np.minimum(c[i], c[j]), -(bound / (n[i] + n[j] - bound)), both))
+        first = order[np.concatenate([[True], both[order][1:] != both[order][:-1]])]
+        i, j = i[first], j[first]
+    return np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1), axis=0)
 
-    def join(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        points = np.stack([np.frombuffer(v, np.int32) for v in g["vec"]])
-        sizes, c, label, part = g["n"].to_numpy(), g["c"].to_numpy(), g["label"].to_numpy(), g["part"].to_numpy()
-        left = np.flatnonzero(part == 0)
-        tree = CountTree(points[left], sizes[left])
-        alone = not (part == 1).any()
-        for q in left if alone else np.flatnonzero(part == 1):
-            for r in left[tree.search(points[q], int(sizes[q]), num, den)]:
-                if label[r] != label[q] and (not alone or c[r] < c[q]):
-                    yield (c[r], c[q]) if c[r] < c[q] else (c[q], c[r])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in _with_end(batches):
-            last = frame is None
-            if not last:
-                rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-                if not len(rest):
-                    continue
-            if rest is None or not len(rest):
+
+def _tree_pairs(num: int, den: int, one_each: bool):
+    """block_pairs of members sorted by (shard, i, j): rows with part 0 are block i, those with part 1 block j; where i = j there is part 0 only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in _with_end(batches):
+            if batch is not None and not batch.num_rows:
                 continue
-            keys = rest[["shard", "i", "j"]].to_numpy()
+            rest += [batch] if batch is not None else []
+            if not rest:
+                continue
+            rows = pa.Table.from_batches(rest)
+            keys = np.stack([rows.column(k).to_numpy() for k in ("shard", "i", "j")], axis=1)
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-            ends = np.append(starts[1:], len(rest))
-            upto = len(starts) if last else len(starts) - 1
-            pairs = {p for s, e in zip(starts[:upto], ends[:upto], strict=True) for p in join(rest.iloc[s:e])}
-            rest = None if last else rest.iloc[starts[-1] :]
-            if pairs:
-                yield pd.DataFrame(sorted(pairs), columns=["x", "y"])
+            upto = len(rows) if batch is None else int(starts[-1])
+            now, rest = rows.slice(0, upto), rows.slice(upto).to_batches()
+            c, n, part = (now.column(k).to_numpy() for k in ("c", "n", "part"))
+            vec, label = now.column("vec").to_pylist(), now.column("label").to_pylist()
+            ends = [*starts[1:].tolist(), len(rows)]
+            found = [block_pairs(c[s:e], n[s:e], vec[s:e], label[s:e], part[s:e], num, den, one_each) for s, e in zip(starts.tolist(), ends, strict=True) if e <= upto]
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
     return run
 
@@ -324,20 +402,41 @@ def _semi(frame: DataFrame, ids: DataFrame, how: str, col: str) -> DataFrame:
     return frame.join(ids, frame[col].eqNullSafe(ids["__key"]), how)
 
 
-def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of short classes that pass verification, as whole classes (a, b)."""
+def _sides(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (x, y) of short classes with columns of both."""
 
     def side(name: str, key: str) -> DataFrame:
-        return sets.select(F.col("c").alias(key), *[F.col(k).alias(f"{k}_{name}") for k in ("cls", "vec", "set")])
+        return sets.select(F.col("c").alias(key), *[F.col(k).alias(f"{k}_{name}") for k in columns])
 
-    joined = pairs.join(side("b", "y"), "y").join(side("a", "x"), "x").drop("x", "y")
-    return joined.mapInArrow(_verified(num, den), "a binary, b binary")
+    return pairs.join(side("b", "y"), "y").join(side("a", "x"), "x")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of short classes that pass verification, as whole classes (a, b)."""
+    return _sides(pairs, sets, ("cls", "set")).drop("x", "y").mapInArrow(_verified(num, den), "a binary, b binary")
+
+
+def _members(met: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, c, n, vec, label) of the shards whose members are in different components."""
+    light = sets.select("cls", "c", "n", "vec").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("c", "n", "vec", F.coalesce("label", "cls").alias("label"))
+    members = met.select("shard", "c").union(met.select("shard", F.col("head").alias("c")).distinct()).join(light.select("c", "label"), "c")
+    apart = members.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
+    return members.drop("label").join(apart.select("shard", "held"), "shard").join(light, "c")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members dealt into blocks of about BLOCK by a hash, each block with each other one of its shard: keys (shard, i, j) and the part."""
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    grid = members.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    grid = grid.select("shard", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("part"), "c", "n", "vec", "label")
+    return grid.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles and component_id, the least id that links reach from it.
 
-    Links join sets whose Jaccard similarity is threshold[0] / threshold[1] or more.
+    Links join sets whose Jaccard similarity is threshold[0] / threshold[1] or more. What is stored on the way is removed,
+    but for two tables that the result reads.
     """
     spark, (num, den) = docs.sparkSession, threshold
     shared_dir(spark)
@@ -348,49 +447,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
 
     spread = source.select("text").mapInArrow(_sharded(shingle_words, num, den), "shard long, c long")
     met = stored(spark, spread.repartition("shard").sortWithinPartitions("shard", "c").mapInArrow(_meetings, "shard long, head long, c long"), "met")
-    heads = stored(spark, met.select("head", "c").distinct(), "heads")
-    # each class with the least of its heads at first; its other heads only where those leave the two apart
-    first = stored(spark, heads.groupBy("c").agg(F.min("head").alias("x")).select("x", F.col("c").alias("y")), "pairs")
-    wanted = heads.select("c").union(heads.select("head")).distinct()
+    wanted = met.select("c").union(met.select("head")).distinct()
     short = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    keys = classes.withColumn("c", short).join(wanted, "c", "left_semi").select(F.col("least").alias("__key")).distinct()
-    keys = stored(spark, keys, "keys")
+    keys = stored(spark, classes.withColumn("c", short).join(wanted, "c", "left_semi").select(F.col("least").alias("__key")).distinct(), "keys")
     sets = _semi(source, keys, "left_semi", "id").select("text").mapInArrow(_sets(shingle_words), "cls binary, c long, n long, vec binary, set binary")
     sets = stored(spark, sets.dropDuplicates(["cls"]), "sets")
 
-    links = stored(spark, _links(spark, first, sets, num, den), "links")
-    labels = stored(spark, connected(spark, links), "labels")
-
-    def labelled() -> DataFrame:
-        return sets.select("cls", "c", "n", "vec").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("c", "n", "vec", F.coalesce("label", "cls").alias("label"))
-
-    def apart() -> DataFrame:
-        """Heads and classes of a shard that are in different components. Joined as distinct pairs, which are few: in most of its shards a class has the same head."""
-        light = labelled().select("c", "label")
-        return heads.join(light, "c").join(light.select(F.col("c").alias("head"), F.col("label").alias("other")), "head").where("label <> other").select("head", "c")
-
-    further = stored(spark, _links(spark, apart().select(F.col("head").alias("x"), F.col("c").alias("y")), sets, num, den), "links")
-    if further.limit(1).count():
-        links = links.unionAll(further)
-        labels = stored(spark, connected(spark, links), "labels")
-
-    # what is left of each shard: members in different components of which neither is the head, so one at least is apart from it
-    light = labelled()
-    held = met.join(stored(spark, apart(), "apart"), ["head", "c"], "left_semi").select("shard").distinct()
-    members = stored(spark, met.join(held, "shard", "left_semi").select("shard", "c").distinct(), "members")
-    parted = members.join(light.select("c", "label"), "c").groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
-    members = members.join(parted, "shard", "left_semi")
-    order = Window.partitionBy("shard").orderBy("c")
-    members = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = members.groupBy("shard").agg((F.max("block") + 1).alias("blocks"))
-    members = members.join(blocks, "shard").join(light, "c")
-    grid = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = grid.select("shard", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("part"), "c", "n", "vec", "label")
-    grid = grid.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    second = grid.mapInPandas(_tree_pairs(num, den), "x long, y long").distinct()
-    more = stored(spark, _links(spark, second, sets, num, den), "links")
-    if more.limit(1).count():
-        labels = stored(spark, connected(spark, links.unionAll(more)), "labels")
+    first = met.groupBy("c").agg(F.min("head").alias("x")).select("x", F.col("c").alias("y"))
+    first = stored(spark, _sides(first, sets, ("vec", "n")).mapInArrow(_bounded(num, den), "x long, y long"), "pairs")
+    links = stored(spark, _links(first, sets, num, den), "links")
+    labels = connected(spark, links)
+    dropped(keys, first, links)
+    for one_each in (True, False):
+        members = stored(spark, _members(met, sets, labels), "members")
+        pairs = stored(spark, _blocks(members).mapInArrow(_tree_pairs(num, den, one_each), "x long, y long").distinct(), "pairs")
+        links = stored(spark, _links(pairs, sets, num, den), "links")
+        dropped(members, pairs)
+        if links.limit(1).count():
+            # what a component is so far, as edges of a star
+            older, labels = labels, connected(spark, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
+            dropped(older)
+        dropped(links)
+    dropped(met, sets)
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls")
     lowest = joined.groupBy("label").agg(F.min("least").alias("low"))
@@ -413,7 +491,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int]
     again = stored(spark, again, "repeated")
     if not again.limit(1).count():
         return kept
-    sortable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*sortable))
-    once = _semi(kept, again, "left_semi", id_col).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    row = F.col("__row")
+    order = [row[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rank = F.row_number().over(Window.partitionBy(row[id_col]).orderBy(*order))
+    once = _semi(kept, again, "left_semi", id_col).select(F.struct("*").alias("__row")).withColumn("__rank", rank).where("__rank = 1").select("__row.*")
     return _semi(kept, again, "left_anti", id_col).unionByName(once)

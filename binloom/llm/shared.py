@@ -54,14 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: a short lineage that outlives executors."""
+    """Writes df as a table in the shared folder and reads it back: a short lineage that outlives executors. dropped() removes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a folder that stored() wrote, through the file system that holds it."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(*frames: DataFrame) -> None:
+    """Removes tables that stored() wrote, through the file system that holds them. For tables that no plan to come reads."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
