@@ -13,12 +13,12 @@ A document's set is its distinct word n-grams, hashed to 64 bits. Hash groups do
   set therefore goes to one shard per group, named by the group's content, for its own size class and
   the next smaller one. No link is lost, and only sets that share a whole group meet.
 
-Equal sets are one class throughout, so exact copies, however many, cost one member. Each class is first
-verified with one member that it meets, the least of all it could be; those links make components. Only shards
-whose members are still in different components go to trees, in blocks, twice: at first the most
-alike pair of each two components in a block is verified, and with the components that these links leave, all
-pairs that the trees still allow. Nodes whose members are all in one component are not searched, so a shard of many near copies
-costs its size and not its square, and no step gives out pairs of one component. Verification compares the hashed sets whole.
+Equal sets are one class throughout, so exact copies, however many, cost one member. Shards whose members are in
+different components go to trees, in blocks, ROUNDS times. The first time a block gives a forest: of the pairs that
+its tree allows, the most alike ones that join its components, fewer than it has members. Verified, they make new
+components; if none has failed, that is all. Else the blocks give all pairs of different components that their trees
+still allow. Nodes whose members are all in one component are not searched, so a shard of many near copies costs its
+size and not its square. Verification compares the hashed sets whole.
 
 Defined results: null, empty or wordless texts have no set, link with nothing, and are their own
 component; texts shorter than n words are one shingle of all their words; rows that repeat an id or a
@@ -41,7 +41,7 @@ from binloom.llm.components import connected
 from binloom.llm.shared import dropped, shared_dir, stored
 
 DIMENSIONS, MOST_DIMENSIONS = 64, 4096
-BLOCK = 1024
+BLOCK, ROUNDS = 1024, 2
 #: Rows of an open shard that are held back to see whether its members are those of another one.
 HELD_ROWS = 1 << 16
 #: Ids up to this many go to each executor whole (at 24 bytes a row, 24 MB); more are joined by shuffle.
@@ -89,12 +89,6 @@ def folded(vector: bytes, size: int, n: int) -> np.ndarray:
     return counts if own == n else counts.reshape(n, own // n).sum(axis=1, dtype=np.int32)
 
 
-def overlap_bound(va: bytes, na: int, vb: bytes, nb: int) -> int:
-    """What two sets share at most, by their vectors."""
-    n = min(dimensions(na), dimensions(nb))
-    return int(np.minimum(folded(va, na, n), folded(vb, nb, n)).sum(dtype=np.int64))
-
-
 def needed_overlap(a, b, num: int, den: int):
     """Least overlap of sets of sizes a and b with Jaccard similarity num / den or more."""
     return -((-num * (a + b)) // (num + den))
@@ -312,18 +306,6 @@ def _sets(n: int):
     return run
 
 
-def _bounded(num: int, den: int):
-    """Of pairs with both vectors and sizes, those whose overlap may do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("vec_a", "n_a", "vec_b", "n_b")]
-            fits = [overlap_bound(va, na, vb, nb) >= needed_overlap(na, nb, num, den) for va, na, vb, nb in zip(*cols, strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
-
-    return run
-
-
 def _verified(num: int, den: int):
     """Of pairs with both sets, the classes that link."""
 
@@ -341,18 +323,41 @@ def _verified(num: int, den: int):
     return run
 
 
-def block_pairs(c: np.ndarray, n: np.ndarray, vec: list[bytes], label: list[bytes], part: np.ndarray, num: int, den: int, one_each: bool) -> np.ndarray:
-    """Of the members of a block, or of part 0 and part 1, the pairs (x, y) in different components that the trees allow, x < y.
-
-    one_each: of each two components only the pair that is the most alike by the bound.
-    """
-    width = min(map(dimensions, n.tolist()))
-    points = np.stack([folded(v, k, width) for v, k in zip(vec, n.tolist(), strict=True)])
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges (a, b) between numbered nodes, the best first: the places of those that make a spanning forest of the best ones."""
+    parent = np.arange(max(a.max(initial=-1), b.max(initial=-1)) + 1)
+    at, chosen = np.arange(len(a)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    while len(a):
+        best = np.full(len(parent), len(a))
+        np.minimum.at(best, a, np.arange(len(a)))
+        np.minimum.at(best, b, np.arange(len(b)))
+        for k in np.unique(best[best < len(a)]).tolist():
+            x, y = root(int(a[k])), root(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                chosen.append(int(at[k]))
+        roots = np.array([root(x) for x in range(len(parent))])
+        a, b = roots[a], roots[b]
+        apart = a != b
+        a, b, at = a[apart], b[apart], at[apart]
+    return np.array(chosen, np.int64)
+
+
+def block_pairs(c: np.ndarray, n: np.ndarray, vec: list[bytes], label: list[bytes], part: np.ndarray, num: int, den: int, sparse: bool) -> np.ndarray:
+    """Of the members of a block, or of part 0 and part 1, the pairs (x, y) in different components that the trees allow, x < y; sparse: a forest of them."""
+    none = np.empty((0, 2), np.int64)
     code: dict[bytes, int] = {}
     labels = np.array([code.setdefault(x, len(code)) for x in label])
-    none = np.empty((0, 2), np.int64)
     if len(code) < 2:
         return none
+    width = min(map(dimensions, n.tolist()))
+    points = np.stack([folded(v, k, width) for v, k in zip(vec, n.tolist(), strict=True)])
     left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
     tree = CountTree(points[left], n[left], labels[left])
     other, right = (CountTree(points[right], n[right], labels[right]), right) if len(right) else (tree, left)
@@ -360,15 +365,15 @@ def block_pairs(c: np.ndarray, n: np.ndarray, vec: list[bytes], label: list[byte
     if not found:
         return none
     i, j, bound = left[np.concatenate([f[0] for f in found])], right[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found])
-    if one_each:
-        both = np.minimum(labels[i], labels[j]).astype(np.int64) * len(code) + np.maximum(labels[i], labels[j])
-        order = np.lexsort((np.maximum(c[i], c[j]), np.minimum(c[i], c[j]), -(bound / (n[i] + n[j] - bound)), both))
-        first = order[np.concatenate([[True], both[order][1:] != both[order][:-1]])]
-        i, j = i[first], j[first]
-    return np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1), axis=0)
+    x, y = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+    if sparse:
+        order = np.lexsort((y, x, -(bound / (n[i] + n[j] - bound))))
+        order = order[forest(labels[i][order], labels[j][order])]
+        x, y = x[order], y[order]
+    return np.unique(np.stack([x, y], axis=1), axis=0)
 
 
-def _tree_pairs(num: int, den: int, one_each: bool):
+def _tree_pairs(num: int, den: int, sparse: bool):
     """block_pairs of members sorted by (shard, i, j): rows with part 0 are block i, those with part 1 block j; where i = j there is part 0 only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +392,7 @@ def _tree_pairs(num: int, den: int, one_each: bool):
             c, n, part = (now.column(k).to_numpy() for k in ("c", "n", "part"))
             vec, label = now.column("vec").to_pylist(), now.column("label").to_pylist()
             ends = [*starts[1:].tolist(), len(rows)]
-            found = [block_pairs(c[s:e], n[s:e], vec[s:e], label[s:e], part[s:e], num, den, one_each) for s, e in zip(starts.tolist(), ends, strict=True) if e <= upto]
+            found = [block_pairs(c[s:e], n[s:e], vec[s:e], label[s:e], part[s:e], num, den, sparse) for s, e in zip(starts.tolist(), ends, strict=True) if e <= upto]
             pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
@@ -453,21 +458,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     sets = _semi(source, keys, "left_semi", "id").select("text").mapInArrow(_sets(shingle_words), "cls binary, c long, n long, vec binary, set binary")
     sets = stored(spark, sets.dropDuplicates(["cls"]), "sets")
 
-    first = met.groupBy("c").agg(F.min("head").alias("x")).select("x", F.col("c").alias("y"))
-    first = stored(spark, _sides(first, sets, ("vec", "n")).mapInArrow(_bounded(num, den), "x long, y long"), "pairs")
-    links = stored(spark, _links(first, sets, num, den), "links")
-    labels = connected(spark, links)
-    dropped(keys, first, links)
-    for one_each in (True, False):
+    dropped(keys)
+    labels = connected(spark, spark.createDataFrame([], "a binary, b binary"))
+    for k in range(ROUNDS):
         members = stored(spark, _members(met, sets, labels), "members")
-        pairs = stored(spark, _blocks(members).mapInArrow(_tree_pairs(num, den, one_each), "x long, y long").distinct(), "pairs")
+        pairs = stored(spark, _blocks(members).mapInArrow(_tree_pairs(num, den, k < ROUNDS - 1), "x long, y long").distinct(), "pairs")
         links = stored(spark, _links(pairs, sets, num, den), "links")
-        dropped(members, pairs)
-        if links.limit(1).count():
+        asked, linked = pairs.count(), links.count()
+        if linked:
             # what a component is so far, as edges of a star
             older, labels = labels, connected(spark, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
             dropped(older)
-        dropped(links)
+        dropped(members, pairs, links)
+        if asked == linked:
+            break
     dropped(met, sets)
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls")
