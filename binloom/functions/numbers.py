@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,10 +33,6 @@ def xor_shares(v: Column, mask: Column) -> tuple[Column, Column]:
     return mask, v.bitwiseXOR(mask)
 
 
-@cache
-def swap_gates(n: int) -> int:
-    """Conditional swaps of a recursive permutation network on n wires."""
-    if n < 1:
-        raise ValueError("a network has a wire or more")
-    half = n // 2
-    return 0 if n == 1 else half + (half - 1 if n % 2 == 0 else half) + swap_gates(half) + swap_gates(n - half)
+def swap_gates(n: Column) -> Column:
+    """Conditional swaps of a recursive permutation network on n wires: the sum of ceil(log2(i)) for i up to n."""
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0).cast("long"), lambda total, i: total + F.ceil(F.log2(i.cast("double"))))

@@ -7,7 +7,7 @@ the greatest value in every permutation and so meet each other, as records with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.functions.numbers import affine_bin
@@ -16,9 +16,9 @@ from binloom.plans.params import MODULUS, LinkageParams
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of few files to all cores before heavy work; larger tables are left as they are."""
+    """Deals a table of few splits to all cores before heavy work; larger tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def signature(records: DataFrame, p: LinkageParams, id_col: str = "rec_id", text: str = "text") -> DataFrame:
@@ -30,11 +30,24 @@ def signature(records: DataFrame, p: LinkageParams, id_col: str = "rec_id", text
     return each.groupBy(id_col).agg(*least)
 
 
+def _sums(p: LinkageParams, prefix: str = "") -> list[Column]:
+    return [sum((F.col(f"{prefix}p{i * p.per_band + k}") for k in range(1, p.per_band)), F.col(f"{prefix}p{i * p.per_band}")) for i in range(p.bands)]
+
+
+def bin_array(p: LinkageParams) -> Column:
+    """Array of (band, bin) of a signature's row."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), affine_bin(s, p.bins_per_band, i * p.bins_per_band).alias("bin")) for i, s in enumerate(_sums(p))])
+
+
+def shares_bin(p: LinkageParams, one: str, other: str) -> Column:
+    """Whether two signatures side by side, their columns told apart by a prefix, share a bin. A band's bins are a bijection of residues."""
+    same = [F.pmod(x, F.lit(p.bins_per_band)) == F.pmod(y, F.lit(p.bins_per_band)) for x, y in zip(_sums(p, one), _sums(p, other), strict=True)]
+    return F.greatest(*same) if len(same) > 1 else same[0]
+
+
 def bins_of(signatures: DataFrame, p: LinkageParams, id_col: str = "rec_id") -> DataFrame:
     """id, band, bin: one row per band. Signatures of a longer family serve shorter ones."""
-    sums = [sum((F.col(f"p{i * p.per_band + k}") for k in range(1, p.per_band)), F.col(f"p{i * p.per_band}")) for i in range(p.bands)]
-    rows = F.array(*[F.struct(F.lit(i).alias("band"), affine_bin(s, p.bins_per_band, i * p.bins_per_band).alias("bin")) for i, s in enumerate(sums)])
-    return signatures.select(id_col, F.inline(rows))
+    return signatures.select(id_col, F.inline(bin_array(p)))
 
 
 def minhash_bins(records: DataFrame, p: LinkageParams, id_col: str = "rec_id", text: str = "text") -> DataFrame:

@@ -37,8 +37,10 @@ def chunks(a: DataFrame, b: DataFrame, p: SetParams) -> DataFrame:
 def padded(chunked: DataFrame, p: SetParams) -> DataFrame:
     """Chunks with their number in the table's order, data padded by mask + tid; free slots are dummies of the block after the last."""
     spark = chunked.sparkSession
-    number = (F.row_number().over(Window.partitionBy("tid").orderBy("tag", "section")) - 1).cast("long")
-    real = chunked.withColumn("bin_number", number)
+    # numbers follow from how many chunks the blocks have, so no values are ordered; a side has one row per block here
+    before = Window.partitionBy("tid").orderBy("tag").rowsBetween(Window.unboundedPreceding, -1)
+    first = chunked.groupBy("tid", "tag").agg(F.count("*").alias("n")).select("tid", "tag", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    real = chunked.join(first, ["tid", "tag"]).withColumn("bin_number", F.col("first") + F.col("section")).drop("first")
     slots = spark.range(2 * p.slots).select((F.floor(F.col("id") / p.slots) + 1).cast("int").alias("tid"), (F.col("id") % p.slots).alias("bin_number"))
     size = F.broadcast(chunked.agg(F.max("chunk_size").alias("__size")))
     out = slots.join(real, ["tid", "bin_number"], "full").crossJoin(size)

@@ -15,10 +15,10 @@ from binloom.sources import records
 DOCS = LinkageParams(1024, 2, 8)
 GRID = [LinkageParams(bins, 2, bands) for bins in (1024, 2048) for bands in (8, 16, 32)]
 LONGEST = LinkageParams(1024, 2, 32)
-SETS = SetParams(8, 16)
+SETS = SetParams(64, 32)
 POINTS = [float(x) for x in range(-1000, 10001, 1000)]
-#: Spreads part keys over all 16-bit numbers; odd, so that different keys stay different.
-SPREAD = 40503
+#: Spreads part keys over all 32-bit numbers; odd, so that different keys stay different.
+SPREAD, SPAN = 2654435761, 2**32
 RUN_LINES = ["total_time: 12.5 seconds", "cpu_time: 3.25 seconds", "number_comparison: 126852", "Total Sent / Rcv 1024 / 64", "Total Sent / Rcv 512 / 32"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,7 +116,9 @@ def candidate_pairs_bag(spark, sf_dir):
 
 @query(_DOC_BINS + "SELECT DISTINCT * FROM (" + _PAIRS + ")")
 def candidate_pairs(spark, sf_dir):
-    return candidate_pairs_bag(spark, sf_dir).distinct()
+    left, right = _halves(_doc_bins(spark, sf_dir))
+    ids = lambda bins: bins.select("rec_id", F.lit("").alias("text")).distinct()
+    return blocking.met_once(left, right, ids(left), ids(right)).select("left_id", "right_id")
 
 
 # ---- two snapshots of the customers ----------------------------------------------------------------------
@@ -154,7 +156,7 @@ def _snap_pairs(spark: SparkSession, sf_dir: str):
 
 def _fuzzy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     left, right, a, b, known = _snap_pairs(spark, sf_dir)
-    return blocking.linked(blocking.candidates(a, b), left, right, text.close), known
+    return blocking.linked(a, b, left, right, text.close), known
 
 
 @query(f"SELECT rec_id, {_KEY_ID} AS key_text FROM ({_LEFT})")
@@ -176,7 +178,7 @@ def ground_truth_pairs(spark, sf_dir):
 @query(_SNAP_SQL + "SELECT * FROM pairs SEMI JOIN known USING (left_id, right_id)")
 def linkage_exact(spark, sf_dir):
     _, _, a, b, known = _snap_pairs(spark, sf_dir)
-    return blocking.in_pairs(blocking.candidates(a, b), known)
+    return blocking.in_bins(a, b, known)
 
 
 @query(_SNAP_SQL + "SELECT * FROM linked")
@@ -211,13 +213,13 @@ def _grid_sql() -> str:
         parts.append(f"b{i} AS ({_bins_sql(p)}), l{i} AS (SELECT rec_id, bin FROM b{i} WHERE rec_id >= 0), r{i} AS (SELECT -1 - rec_id AS rec_id, bin FROM b{i} WHERE rec_id < 0)")
         found = f"(SELECT count(DISTINCT l.rec_id) FROM l{i} l JOIN r{i} r USING (rec_id, bin))"
         cost = f"(SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l{i} GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r{i} GROUP BY bin) y USING (bin))"
-        rows.append(f"SELECT NULL::BIGINT AS number_of_samples, (SELECT count(*) FROM known) AS ground_truth_records, {p.bins_per_band} AS num_bins_per_duplicate, {p.per_band} AS num_permutations_per_hash, {p.bands} AS num_duplicates, {cost} AS num_comparisons, {found} / (SELECT count(*) FROM known) AS accuracy")
+        rows.append(f"SELECT (SELECT count(*) FROM rec WHERE rec_id >= 0) AS number_of_samples, (SELECT count(*) FROM known) AS ground_truth_records, {p.bins_per_band} AS num_bins_per_duplicate, {p.per_band} AS num_permutations_per_hash, {p.bands} AS num_duplicates, {cost} AS num_comparisons, {found} / (SELECT count(*) FROM known) AS accuracy")
     return _snap_sql(LONGEST).rstrip() + ", " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
 
 
 @query(_grid_sql())
 def param_grid_sweep(spark, sf_dir):
-    """Signatures of the longest family once; every parameter set reads its slice."""
+    """Signatures of the longest family once; one pass over them for all parameter sets."""
     left, right = _snapshots(spark, sf_dir)
     return evaluate.sweep(minhash.signature(left, LONGEST), minhash.signature(right, LONGEST), GRID)
 
@@ -225,7 +227,7 @@ def param_grid_sweep(spark, sf_dir):
 @query("WITH n AS (SELECT DISTINCT p_name AS t FROM part) SELECT a.t AS left_text, b.t AS right_text FROM n a, n b WHERE levenshtein(a.t, b.t) * 10 <= least(length(a.t), length(b.t)) * 3")
 def fuzzy_crossjoin_gt(spark, sf_dir):
     names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
-    return blocking.every_pair(names, names, text.close)
+    return blocking.every_close_pair(names, names)
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -265,7 +267,7 @@ def ecdf(spark, sf_dir):
 
 # ---- two sets of integers --------------------------------------------------------------------------------
 
-_BAGS = f"x AS (SELECT l_partkey * {SPREAD} % 65536 AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), y AS (SELECT l_partkey * {SPREAD} % 65536 AS v FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 5 = 0)"
+_BAGS = f"x AS (SELECT l_partkey * {SPREAD} % {SPAN} AS v FROM lineitem WHERE l_linenumber = 1), y AS (SELECT l_partkey * {SPREAD} % {SPAN} AS v FROM lineitem WHERE l_linenumber = 2)"
 _INTS = f"WITH {_BAGS}, a AS (SELECT DISTINCT v FROM x), b AS (SELECT DISTINCT v FROM y)"
 _TAG = f"least(v // {SETS.width}, {SETS.blocks - 1})"
 _BLOCKS = f"{_INTS}, ta AS (SELECT v, {_TAG} AS tag FROM a), tb AS (SELECT v, {_TAG} AS tag FROM b) "
@@ -284,13 +286,10 @@ _STAGED = (
 )
 
 
-def _bag(spark: SparkSession, sf_dir: str, line: int, every: int) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == line) & (F.col("l_orderkey") % every == 0))
-    return rows.select((F.col("l_partkey") * SPREAD % 65536).alias("v"))
-
-
 def _bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _bag(spark, sf_dir, 1, 7), _bag(spark, sf_dir, 2, 5)
+    """Part keys of first and of second lines, which are the two parties' lines."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_partkey") * SPREAD % SPAN).alias("v"))
+    return tuple(lines.where(F.col("l_linenumber") == line).select("v") for line in (1, 2))
 
 
 def _ints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -405,15 +404,15 @@ def bit_roundtrip(spark, sf_dir):
     return _ints(spark, sf_dir)[0].select("v", ones.alias("ones"), numbers.from_bits(bits).alias("back"))
 
 
-@query(_INTS + "SELECT v, v * 48271 % 65536 AS one, xor(v, v * 48271 % 65536) AS other, v AS back FROM a")
+@query(_INTS + f"SELECT v, v * 48271 % {SPAN} AS one, xor(v, v * 48271 % {SPAN}) AS other, v AS back FROM a")
 def xor_share_roundtrip(spark, sf_dir):
-    one, other = numbers.xor_shares(F.col("v"), F.col("v") * 48271 % 65536)
+    one, other = numbers.xor_shares(F.col("v"), F.col("v") * 48271 % SPAN)
     return _ints(spark, sf_dir)[0].select("v", one.alias("one"), other.alias("other"), one.bitwiseXOR(other).alias("back"))
 
 
 @query("SELECT n, (SELECT sum(ceil(log2(i)))::BIGINT FROM range(1, n + 1) r(i)) AS gates FROM (SELECT unnest(range(1, 65)) AS n)")
 def swap_gate_cost(spark, sf_dir):
-    return spark.createDataFrame([(n, numbers.swap_gates(n)) for n in range(1, 65)], "n long, gates long")
+    return spark.range(1, 65).select(F.col("id").alias("n"), numbers.swap_gates(F.col("id")).alias("gates"))
 
 
 @query("SELECT unnest(['total_time', 'cpu_time', 'number_comparison']) AS metric, unnest([12.5, 3.25, 126852.0])::DOUBLE AS number")

@@ -53,6 +53,11 @@ class SetParams:
         if self.blocks < 1 or not 1 <= self.bits <= 32:
             raise ValueError("blocks is 1 or more, bits 1 to 32")
 
+    @classmethod
+    def for_size(cls, n: int, bits: int = 32, per_block: int = 100_000) -> SetParams:
+        """Blocks in number to the larger side's values, so that a block stays what one task can hold."""
+        return cls(max(1, -(-n // per_block)), bits)
+
     @property
     def mask(self) -> int:
         return (1 << self.bits) - 1

@@ -51,8 +51,8 @@ def read_integers(spark: SparkSession, path: str, n: int | None = None) -> DataF
 
 
 def random_integers(spark: SparkSession, n: int, bits: int, seed: int = 1) -> DataFrame:
-    """n different integers under 2**bits - 1: a keyed walk over all residues, so that no draw repeats."""
-    most = (1 << bits) - 1
+    """n different integers of `bits` bits, 2**bits - 1 included: a keyed walk over all of them, so that no draw repeats."""
+    most = 1 << bits
     if n > most:
         raise ValueError(f"there are only {most} such integers")
     ranked = spark.range(most).select(F.col("id").alias("v"), F.xxhash64("id", F.lit(seed)).alias("h"))

@@ -63,9 +63,47 @@ def test_parameters_are_checked():
         SetParams(bits=33)
 
 
-def test_nested_loop_is_refused_beyond_its_bound(people):
-    with pytest.raises(ValueError):
-        blocking.every_pair(people, people, text.close, most=10)
+def test_close_pairs_are_those_of_a_nested_loop(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "b", "ab", "aaaaaaaa", "aaaaaaaab", "abababab", "aaaa", None] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    known = {t for t in texts if t is not None}
+    want = {(x, y) for x in known for y in known if 10 * distance(x, y) <= 3 * min(len(x), len(y))}
+    assert sorted((r.left_text, r.right_text) for r in blocking.every_close_pair(frame, frame).collect()) == sorted(want)
+
+
+def test_scores_agree_with_the_parts(people):
+    other = people.where("rec_id % 3 > 0").withColumn("text", F.concat("text", F.lit("a")))
+    lsh = lambda d: minhash.minhash_bins(d, P)
+    row = evaluate.scores(people, other, lsh, text.close).first()
+    pairs, known = blocking.linked(lsh(people), lsh(other), people, other, text.close), evaluate.truth(people, other)
+    assert row.jaccard == evaluate.jaccard(pairs, known).first().jaccard
+    assert (row.false_positives, row.false_negatives) == (evaluate.false_positives(pairs, known).count(), evaluate.false_negatives(pairs, known).count())
+    assert row.comparisons == blocking.comparisons(lsh(people), lsh(other)).first()[0]
+    by_identity = evaluate.scores(people, other, lsh).first()
+    assert by_identity.linked == by_identity.both == evaluate.recall(lsh(people), lsh(other), known).first().found
+
+
+def test_sweep_over_sizes_is_the_parts(people):
+    other = people.withColumn("text", F.concat("text", F.lit("ab")))
+    a, b = minhash.signature(people, P), minhash.signature(other, P)
+    rows = evaluate.sweep(a, b, [LinkageParams(64, 2, 2), P], [10, 40]).collect()
+    assert [(r.number_of_samples, r.num_duplicates) for r in sorted(rows, key=lambda r: (r.number_of_samples, r.num_duplicates))] == [(10, 2), (10, 4), (40, 2), (40, 4)]
+    for r in rows:
+        left, right = (minhash.bins_of(x.where(F.col("rec_id") < r.number_of_samples), LinkageParams(64, 2, r.num_duplicates)) for x in (a, b))
+        known = evaluate.truth(left.select("rec_id").distinct(), right.select("rec_id").distinct())
+        assert r.num_comparisons == blocking.comparisons(left, right).first()[0]
+        assert r.accuracy == evaluate.recall(left, right, known).first().recall
 
 
 @pytest.mark.parametrize(("n", "m", "blocks"), [(300, 200, 8), (3, 5, 8), (0, 4, 4), (400, 400, 3)])
@@ -79,9 +117,10 @@ def test_staged_intersection_is_the_intersection(spark, n, m, blocks):
     table.unpersist()
 
 
-@pytest.mark.parametrize(("n", "gates"), [(1, 0), (2, 1), (4, 5), (8, 17), (16, 49), (32, 129)])
-def test_swap_gates(n, gates):
-    assert numbers.swap_gates(n) == gates == sum(math.ceil(math.log2(i)) for i in range(1, n + 1))
+def test_swap_gates(spark):
+    found = spark.range(1, 33).select("id", numbers.swap_gates(F.col("id")).alias("g")).collect()
+    assert {r.id: r.g for r in found}.items() >= {1: 0, 2: 1, 4: 5, 8: 17, 16: 49, 32: 129}.items()
+    assert all(r.g == sum(math.ceil(math.log2(i)) for i in range(1, r.id + 1)) for r in found)
 
 
 def test_sources_read_back(spark, tmp_path):
@@ -94,6 +133,7 @@ def test_sources_read_back(spark, tmp_path):
     (tmp_path / "ints").write_text("5 7 9\n")
     assert [r.v for r in records.read_integers(spark, str(tmp_path / "ints"), 2).orderBy("pos").collect()] == [5, 7]
     assert records.random_integers(spark, 50, 8).distinct().count() == 50
+    assert sorted(r.v for r in records.random_integers(spark, 16, 4).collect()) == list(range(16))
 
 
 def test_stream_is_matched_with_a_table(spark, tmp_path):
