@@ -107,7 +107,7 @@ WITH p AS (
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
     FROM pages
 ), h AS (SELECT page_id, host, path, {_rules()}, ({_terms(url_filter.STRICT)})::INT AS strict_hits, ({_terms(url_filter.SOFT)})::INT AS soft_hits FROM p)
-SELECT page_id, host, path, rule, coalesce(act, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits FROM h
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, strict_hits + soft_hits / 2 AS weight FROM h
 """
 
 _CHATS = f"""

@@ -220,10 +220,23 @@ def test_decontamination_finds_passages_across_parts_of_a_long_document(monkeypa
 
 
 def test_url_hits_match_plain_search():
-    for url in (None, "", "http://a.com/porn/", "http://a.com/pornx", "http://cheap.pills.example", "http://x/cheap-CHEAP"):
+    vocabulary = tuple(sorted(url_filter.VOCABULARY.items()))
+    for url in (None, "", "http://a.com/porn/", "http://a.com/pornx", "http://cheap.pills.example", "http://x/cheap-CHEAP", "https://M.Free-Bets.example/win?ads", "x" * 100_000 + "/casino/"):
         low = (url or "").lower()
-        count = lambda terms: sum(bool(re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", low)) for t in terms)
-        assert url_filter.distinct_hits(url, url_filter.STRICT, url_filter.SOFT) == (count(url_filter.STRICT), count(url_filter.SOFT))
+        found = {t: w for t, w in vocabulary if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", low)}
+        strict = sum(w >= 1 for w in found.values())
+        assert url_filter.term_hits(url, vocabulary) == (strict, len(found) - strict, sum(found.values()))
+
+
+def test_urls_of_odd_tables(spark):
+    rows = [(1, None), (1, ""), (2, "nothing"), (None, "HTTP://A.Example.com/en/7?x"), (3, "http://free-bets.example.fr"), (3, "http://free-bets.example.fr"), (4, "://"), (5, "http://win.example.fr/#a://b/c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("z") for c in ("host", "path", "rule", "verdict", "__id", "__url", "__hits", "weight")})
+    found = url_filter.judge_urls(pages, queries.URL_RULES)
+    assert sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in found.collect()) == sorted([(1, "", "", None, "allow")] * 2 + [(2, "", "", None, "allow"), (0, "a.example.com", "/en/7", "example.com/en/7", "allow")] + [(3, "free-bets.example.fr", "", None, "block")] * 2 + [(4, "", "", None, "allow"), (5, "win.example.fr", "/", None, "allow")], key=lambda r: (r[0], r[1], r[2]))
+    assert url_filter.judge_urls(pages.where("false"), queries.URL_RULES).collect() == []
+    table_ = spark.createDataFrame([("Nothing", 1.0), ("nothing", 0.2), (None, 1.0), ("", 1.0)], "term string, weight double")
+    verdicts = url_filter.judge_urls(pages, queries.URL_RULES, vocabulary=url_filter.vocabulary_of(table_)).where("verdict = 'block'")
+    assert [r.page_id for r in verdicts.collect()] == [2]
 
 
 def test_toxicity_ranks_held_out_labels(spark):
