@@ -5,8 +5,9 @@ those of its language by Jensen-Shannon distance (base 2, so 0 to 1). Documents
 length are spared the comparison, because short histograms say little. Simple base rules on length
 and on repeated five-word windows come first.
 
-One pass over the documents, no shuffle: references are parameters. `fit_references` measures
-them on a corpus of one's own.
+References are parameters. `measured_rules` measures them, in one pass with partial sums and a row per language, on documents
+that are known to be good; so few that a language has only some thousand words, the built-in ones weigh in. Judging is
+one more pass, without a shuffle.
 
 Defined results: a null or empty text has no words and fails the base rules; a null or unknown
 language is compared with every reference and the nearest counts; repeated rows and ties are judged
@@ -15,7 +16,7 @@ alike; other columns, whatever their names, are left alone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ COMMON_WORDS = {
 }
 # Shares of lower-case and other letters, capitals, digits, punctuation, symbols, white space in edited prose.
 CHARACTER_SHARES = [0.79, 0.02, 0.005, 0.025, 0.001, 0.159]
-SYMBOLS = "#*$%&|<>"
-PUNCTUATION = ".,;:!?'\"()-"
+#: Labels up to this many go to each executor whole (8 bytes a row); more are joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def _default_words() -> dict[str, list[float]]:
@@ -165,7 +166,7 @@ def keep_good(docs: DataFrame, rules: Rules | None = None, text: str = "text", l
 
 
 def fit_references(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per language of the rules, the shares measured over all documents: (lang, character_shares, common_shares)."""
+    """Per language of the rules that docs have, what is counted over all of them: (lang, characters, character_shares, words, common_shares)."""
     rules = rules or Rules()
     frame = _measured(docs, rules, text, lang).where(F.col("__lang").isin(list(rules.common_words)))
     hist = reduce(lambda out, kv: F.when(F.col("__lang") == kv[0], _word_histogram(kv[1])).otherwise(out), rules.common_words.items(), F.lit(None).cast("array<double>"))
@@ -173,5 +174,39 @@ def fit_references(docs: DataFrame, rules: Rules | None = None, text: str = "tex
     size = 1 + max(map(len, rules.common_words.values()))
     sums = lambda col, n: F.array_compact(F.array(*[F.sum(F.get(col, F.lit(i))) for i in range(n)]))
     out = frame.groupBy(F.col("__lang").alias("lang")).agg(sums("__classes", 6).alias("c"), sums("__hist", size).alias("w"))
-    share = lambda col: F.transform(col, lambda x: x / F.aggregate(col, F.lit(0.0), lambda a, y: a + y))
-    return out.select("lang", share("c").alias("character_shares"), share("w").alias("common_shares"))
+    total = lambda col: F.aggregate(col, F.lit(0.0), lambda a, y: a + y)
+    share = lambda col: F.transform(col, lambda x: F.try_divide(x, total(F.col(col))))
+    return out.select("lang", total(F.col("c")).alias("characters"), share("c").alias("character_shares"), total(F.col("w")).alias("words"), share("w").alias("common_shares"))
+
+
+def measured_rules(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str = "lang", prior_words: float = 2_000.0, least_documents: int = 1_000) -> Rules:
+    """The rules with references measured on docs. The built-in ones count like so many words, and six times so many characters; a language without words keeps them.
+
+    With so many documents or more, the limits are measured as well: a twentieth over the distances that one document in a thousand exceeds.
+    """
+    rules = rules or Rules()
+    characters, common = dict(rules.character_shares), dict(rules.common_shares)
+
+    def mixed(measured: list[float], n: float, built_in: list[float], prior: float) -> list[float]:
+        return [(m * n + b * prior) / (n + prior) for m, b in zip(measured, built_in, strict=True)]
+
+    for r in fit_references(docs, rules, text, lang).collect():
+        if r.characters and r.words:
+            characters[r.lang] = mixed(r.character_shares, r.characters, characters[r.lang], 6 * prior_words)
+            common[r.lang] = mixed(r.common_shares, r.words, common[r.lang], prior_words)
+    rules = replace(rules, character_shares=characters, common_shares=common)
+    # no filter here: it would be pushed below the measures and written out in terms of the text
+    found = _judged(docs, rules, text, lang).select("__failed", "__char_distance", "__word_distance")
+    kept = lambda c: F.when(~F.col("__failed"), F.col(c))
+    far = found.agg(F.count(kept("__word_distance")).alias("n"), F.percentile_approx(kept("__char_distance"), 0.999, 10_000).alias("c"), F.percentile_approx(kept("__word_distance"), 0.999, 10_000).alias("w")).first()
+    if far.n < least_documents:
+        return rules
+    return replace(rules, max_character_distance=1.05 * far.c, max_common_distance=1.05 * far.w)
+
+
+def known_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The documents that a label calls good (1) and none calls bad. Few labels go to each executor, many are joined by shuffle."""
+    found = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__key")).agg(F.min(label).alias("__least")).where("__least = 1").select("__key")
+    if found.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        found = F.broadcast(found)
+    return docs.join(found, docs[id_col] == found["__key"], "left_semi")

@@ -82,7 +82,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+    """References come from the documents that are labelled good."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_report(docs, quality_rules.measured_rules(quality_rules.known_good(docs, table(spark, sf_dir, "labels"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

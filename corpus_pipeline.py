@@ -6,14 +6,13 @@ return the columns of their input; the last adds `copy`, the number of a documen
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import decontaminate, mixing, ngram_join, quality_rules, secret_scan
-from binloom.llm.shared import shared_dir, table, word_count
+from binloom.llm.shared import dropped, stored, table, word_count
 
 #: Words of a shingle, and the similarity in hundredths at which documents are near duplicates.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -22,8 +21,8 @@ WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
-    return quality_rules.keep_good(docs)
+    """Drops documents that the quality rules reject; their references come from the documents that are labelled good."""
+    return quality_rules.keep_good(docs, quality_rules.measured_rules(quality_rules.known_good(docs, table(spark, sf_dir, "labels"))))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents, each written to the shared folder and read again; a stage's input goes when its output is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

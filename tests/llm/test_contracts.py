@@ -1,6 +1,7 @@
 """The operators against plain versions, on whole small tables and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -81,6 +82,59 @@ def test_quality_rules(spark, docs):
         assert not (failed and r.kept)
 
 
+def _jensen_shannon(p, q):
+    p, q = ([x / sum(v) for x in v] for v in (p, q))
+    part = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    return math.sqrt(max(0, (part(p, m) + part(q, m)) / 2))
+
+
+def _histograms(text, listed):
+    w = WORD.findall(text)
+    inside = "".join(w)
+    kinds = [len(re.findall(p, inside)) for p in ("[A-ZÀ-ÖØ-Þ]", "[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]")]
+    return [len(inside) - sum(kinds), *kinds, len(text) - len(inside)], [*(w.count(x) for x in listed), sum(x not in listed for x in w)]
+
+
+def test_quality_distances_are_those_of_plain_histograms(spark):
+    docs = [r for r in table(spark, SF, "documents").collect()]
+    rules = quality_rules.Rules()
+    found = {r.doc_id: r for r in quality_rules.quality_report(table(spark, SF, "documents"), rules).collect()}
+    compared = 0
+    for d in docs:
+        n = len(WORD.findall(d.text or ""))
+        chars, common = _histograms(d.text or "", rules.common_words[d.lang])
+        r = found[d.doc_id]
+        assert (r.character_distance is None) == (n < rules.min_words_for_characters) and (r.common_word_distance is None) == (n < rules.min_words_for_common)
+        if r.character_distance is not None:
+            assert r.character_distance == pytest.approx(_jensen_shannon(chars, rules.character_shares[d.lang]), abs=1e-9)
+        if r.common_word_distance is not None:
+            compared += 1
+            assert r.common_word_distance == pytest.approx(_jensen_shannon(common, rules.common_shares[d.lang]), abs=1e-9)
+        near = (r.character_distance or 0) <= rules.max_character_distance and (r.common_word_distance or 0) <= rules.max_common_distance
+        assert r.kept == (near and not r.base_failed)
+    assert compared > 50
+
+
+def test_references_are_the_sums_over_known_good_documents(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    good = quality_rules.known_good(docs, labels)
+    rows = good.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in labels.collect() if r.quality == 1}
+    fitted = {r.lang: r for r in quality_rules.fit_references(good).collect()}
+    rules, built_in = quality_rules.measured_rules(good, least_documents=10), quality_rules.Rules()
+    for lang in built_in.common_words:
+        own = [_histograms(r.text or "", built_in.common_words[lang]) for r in rows if r.lang == lang]
+        if not own:
+            assert lang not in fitted and rules.common_shares[lang] == built_in.common_shares[lang]
+            continue
+        chars, common = ([sum(x) for x in zip(*(o[k] for o in own))] for k in (0, 1))
+        assert fitted[lang].character_shares == pytest.approx([x / sum(chars) for x in chars]) and fitted[lang].words == sum(common)
+        assert rules.common_shares[lang] == pytest.approx([(x + 2000 * b) / (sum(common) + 2000) for x, b in zip(common, built_in.common_shares[lang])])
+    assert 0 < rules.max_character_distance < 0.5 and 0 < rules.max_common_distance < 0.5
+    assert quality_rules.measured_rules(docs.where("false")) == built_in
+
+
 PATTERNS = [("assign", re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12), ("access", re.compile("(AKIA[A-Z0-9]+)"), 18), ("hex", re.compile("([0-9a-f]+)"), 16)]
 
 
