@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 ITEM_BLOCK = 5_000
 #: Characters that are searched at a time.
@@ -267,6 +268,7 @@ def find_passages(docs: DataFrame, items: DataFrame, search: Search | None = Non
     source = docs.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t"))
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"d {kinds[0]}, i {kinds[1]}, start long, end long, distance long"
+    item_kind = to_arrow_type(items.schema[item_id].dataType)
     out = None
     for block in _blocks(items, item_id, item_text):
 
@@ -276,7 +278,7 @@ def find_passages(docs: DataFrame, items: DataFrame, search: Search | None = Non
                 rows = [(d, index.ids[i], s, e, x) for d, i, s, e, x in index.matches(batch.column(1).to_pylist())]
                 if rows:
                     ids = batch.column(0).take(pa.array([r[0] for r in rows]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.from_numpy_dtype("int64") if isinstance(rows[0][1], int) else None), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]], ["d", "i", "start", "end", "distance"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], item_kind), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]], ["d", "i", "start", "end", "distance"])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)

@@ -214,6 +214,14 @@ def test_decontamination_finds_exact_and_edited_passages(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {3, 4, 5}
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_decontamination_takes_ids_of_any_type(spark, kind):
+    text = "one two three four five six seven eight nine ten"
+    docs, items = spark.createDataFrame([(1, text), (None, text)], "doc_id int, text string"), spark.createDataFrame([(7, text)], "item_id int, text string")
+    found = decontaminate.find_passages(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), items.withColumn("item_id", F.col("item_id").cast(kind))).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(None if i is None else str(i) if kind == "string" else i, "7" if kind == "string" else 7, 0) for i in (1, None)}
+
+
 def _spoiled(text, edits, rng, step=None):
     """text after random letter edits; with step, one substitution in every step-th word instead."""
     if step:
@@ -301,6 +309,59 @@ def test_toxicity_ranks_held_out_labels(spark):
     assert auc > 0.8
 
 
+def _plain_toxicity(train, texts, blend):
+    """Both log-likelihoods of each text by models that are computed for each word as the docstring says."""
+    counts = defaultdict(lambda: [0, 0])
+    for text, toxic in train:
+        for w in toxicity.distinct_words(text):
+            counts[w][toxic] += 1
+    have, kinds, after = defaultdict(lambda: [0, 0]), Counter(), defaultdict(set)
+    for w, n in counts.items():
+        chain = toxicity.expressions(w)
+        for e in chain:
+            kinds[e] += 1
+            have[e] = [x + y for x, y in zip(have[e], n)]
+        for e, h in zip(chain, chain[1:]):
+            after[h].add(e)
+    cut = [toxicity.discounts(*[sum(n[c] == j for n in counts.values()) for j in range(1, 5)]) for c in (0, 1)]
+    off = lambda n, c: cut[c][min(n, 3) - 1] if n else 0.0
+
+    def logs(word):
+        out, chain = [0.0, 0.0], toxicity.expressions(word)[::-1]
+        for h, e in zip(chain, chain[1:]):
+            known = e in kinds
+            share = (kinds[e] if known else 1) / (kinds[h] + 1)
+            for c in (0, 1):
+                n, own = have[h][c], have[e][c] if known else 0
+                held = sum(min(have[x][c], off(have[x][c], c)) for x in after[h])
+                out[c] += math.log(max(own - off(own, c), 0) / n + held / n * share if n else share)
+            if not known:
+                break
+        return out
+
+    found = []
+    for text in texts:
+        rows = [logs(w) for w in toxicity.distinct_words(text)]
+        mixed = [math.log((1 - blend) * math.exp(o) + blend * math.exp(t)) for o, t in rows]
+        found.append((sum(mixed) / len(rows), sum(o for o, _ in rows) / len(rows)) if rows else (0.0, 0.0))
+    return found
+
+
+def test_toxicity_is_that_of_plain_models_and_of_joins(spark):
+    rng = random.Random(2)
+    stems = ["ab", "abc", "abcdef", "xyz", "moron", "moronic", "a", "zz"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "s", "ing", "é"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    train = [(t, rng.randrange(2)) for t in texts[:40]]
+    model = toxicity.fit_model(spark.createDataFrame(train, "text string, toxic int"))
+    rows = [(r.e, r.lt, r.lo) for r in model.collect()]
+    asked = [*texts, None, "", "unknown Abcdefghij moronical zzz"]
+    found = toxicity.Model(rows, 0.01).likelihoods(asked)
+    assert [tuple(x) for x in found] == [pytest.approx(x, abs=1e-4) for x in _plain_toxicity(train, asked, 0.01)]
+    source = spark.createDataFrame(list(enumerate(asked)), "id long, text string")
+    joined = {r.id: (r.lt, r.lo) for r in toxicity._measure_by_join(source, model, "bigint", 0.01).collect()}
+    assert [joined[k] for k in range(len(asked))] == [pytest.approx(tuple(x), abs=1e-6) for x in found]
+
+
 OPERATORS = {
     "quality_classifier": quality_classifier.classify_quality,
     "ngram_join": ngram_join.near_duplicates,
