@@ -37,6 +37,16 @@ def sample_voters(voters: DataFrame, n: int) -> DataFrame:
     return voters.na.drop(subset=kept).dropDuplicates(kept).orderBy("ncid", *kept[1:]).limit(n)
 
 
+def write_voters(voters: DataFrame, path: str) -> None:
+    """Voters as tab-separated text with a header, the columns that they have, as read_sampled_voters reads them."""
+    voters.write.options(sep="\t", header=True, quote='"').csv(path)
+
+
+def read_sampled_voters(spark: SparkSession, path: str) -> DataFrame:
+    """What write_voters wrote, all columns as strings; empty values are null."""
+    return spark.read.options(sep="\t", header=True, quote='"').csv(path)
+
+
 def read_products(spark: SparkSession, path: str, id_col: str, name_col: str) -> DataFrame:
     """Id and description, which is name and description together; rows with a null go."""
     raw = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
