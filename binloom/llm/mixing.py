@@ -131,13 +131,14 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     copies = F.least(F.lit(int(cap)), F.floor("__rate").cast("int") + F.coalesce(extra, F.lit(0)))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    out = docs.join(table, docs[source].eqNullSafe(table["__source"]), "left").drop("__source")
+    out = docs.join(table, docs[source].eqNullSafe(table["__source"]), "left").drop(table["__source"])
     return out.withColumn("__copies", copies).drop("__bounds")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", source: str = "source", text_size: Column | None = None, copy_col: str | None = None) -> DataFrame:
-    """The mixed documents with all their columns: each as many times as it has copies. copy_col, if given, numbers a document's copies from 1."""
+    """The mixed documents with all their columns: each as many times as it has copies. copy_col, if given, numbers a document's copies from 1, in place of a column of that name."""
     packed = docs.select(F.struct("*").alias("__row"), docs[id_col].alias("__id"), docs[source].cast("string").alias("__src"), text_size.alias("__size"))
     planned = plan_mix(packed, weights, cap, "__id", "__src", "__size").where("__copies > 0")
     repeated = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select("__row.*", *([F.col("__copy").alias(copy_col)] if copy_col else []))
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c != copy_col]
+    return repeated.select(*kept, *([F.col("__copy").alias(copy_col)] if copy_col else []))

@@ -387,6 +387,39 @@ def test_odd_rows_and_no_rows(odd, name):
     assert len(OPERATORS[name](clashing).collect()) == n
 
 
+@pytest.mark.parametrize("name", ["keep_one", "redact", "keep_good", "mix", "decontaminate", "toxicity"])
+def test_columns_named_as_inner_ones(odd, name):
+    inner = ["__row", "__key", "__rank", "__source", "__id", "__t", "__w", "__text", "__n", "__copies", "__copy", "text_"]
+    clashing = odd.withColumns({c: F.lit(1) for c in inner})
+    assert len(OPERATORS[name](clashing).collect()) == len(OPERATORS[name](odd).collect())
+
+
+def test_mix_puts_its_number_in_place_of_a_column(odd):
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    out = mixing.mix(odd.withColumn("copy", F.lit("old")), text_size=size, copy_col="copy")
+    assert out.columns == [*odd.columns, "copy"] and {r.copy for r in out.collect()} <= {1, 2, 3}
+
+
+def test_typed_parts_become_placeholders_in_order(spark):
+    part = lambda kind, **k: {"type": kind, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | k
+    parts = [part("text", text="see <|image|>"), part("image", ref="a.png", width=28, height=15), part("audio", ref="b.wav", seconds=1.5), part("document", ref="c.pdf", pages=3), part("video", ref="d"), part("image"), part(None), part("text", text="end")]
+    rows = [(1, 0, "user", parts), (1, 1, "assistant", [part("text", text="ok"), part("image", ref="e", width=14, height=14), part("text", text="é")]), (2, 0, "user", None), (2, 1, None, [])]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat_format.PART}>"), content="content")
+    found = {r.conv_id: r for r in out.collect()}
+    assert found[1].formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|file|><|image|><|file|>end<|im_end|>\n<|im_start|>assistant\nok<|image|>é<|im_end|>\n"
+    assert [tuple(a) for a in found[1].attachments] == [(0, "image", "a.png", 4), (0, "audio", "b.wav", 38), (0, "document", "c.pdf", 768), (0, "video", "d", 0), (0, "image", None, 0), (0, None, None, 0), (1, "image", "e", 1)]
+    assert found[1].expanded_tokens == 811
+    assert [found[1].formatted[s.start : s.end] for s in found[1].loss_spans] == ["ok", "é"]
+    assert found[2].n_turns == 2 and found[2].attachments == [] and found[2].expanded_tokens == 0
+
+
+def test_chats_of_no_rows_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_conversations(rows.where("false")).collect() == []
+    clashing = rows.withColumns({c: F.lit(1) for c in ("formatted", "n_turns", "__turns", "__conv", "__turn", "attachments")})
+    assert sorted(map(repr, chat_format.format_conversations(clashing).collect())) == sorted(map(repr, chat_format.format_conversations(rows).collect()))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<|im_end|> \\ <\\|"), (1, 1, "assistant", ""), (1, None, None, None), (2, 0, "a\nb", "x")]
     out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
