@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8_000
+SAMPLE, SAMPLE_BITS = 8_000, 62
 WORD_BITS, SHAPE_BITS = 15, 12
 EPOCHS, RATE, PRIOR = 60, 0.5, 10
 # Frequent words of several languages.
@@ -185,9 +185,10 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             rows = [_words(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([features(*r).tobytes() for r in rows], pa.binary()), pa.array([posterior.get(sum(x * 3**k for k, x in enumerate(votes(*r))), 0.5) for r in rows])], ["f", "y"])
 
-    hashed = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
-    share = int(min(1_000_000, 1_000_000 * sample / counts.sum()))
-    rows = source.where(hashed < share).select("text").mapInArrow(drawn, "f binary, y double").collect()
+    # of 62 bits, so that a share is left however many documents there are
+    hashed = F.xxhash64("id", "text").bitwiseAND(F.lit(2**SAMPLE_BITS - 1))
+    share = 2**SAMPLE_BITS - 1 if sample >= counts.sum() else int(2**SAMPLE_BITS * (sample / counts.sum()))
+    rows = source.where(hashed <= F.lit(share)).select("text").mapInArrow(drawn, "f binary, y double").collect()
     weights, bias = train_scorer([(np.frombuffer(r.f, np.int32), r.y) for r in rows])
     kind = docs.schema[id_col].dataType.simpleString()
     out = source.mapInArrow(_scored(posterior, weights.astype(np.float32), bias), f"id {kind}, n_votes int, weak_posterior double, score double")

@@ -362,6 +362,36 @@ def test_toxicity_is_that_of_plain_models_and_of_joins(spark):
     assert [joined[k] for k in range(len(asked))] == [pytest.approx(tuple(x), abs=1e-6) for x in found]
 
 
+def test_vote_model_is_plain_expectation_maximisation():
+    rng = random.Random(6)
+    rows = Counter()
+    for _ in range(400):
+        good = rng.random() < 0.7
+        rows[tuple(2 if rng.random() < 0.2 else int(good == (rng.random() < 0.6 + 0.05 * k)) for k in range(quality_classifier.LABELLERS))] += 1
+    votes = sorted(rows)
+    p = {v: (v.count(1) + 1) / (v.count(1) + 4 * v.count(0) + 2) for v in votes}
+    for _ in range(200):
+        share = (sum(rows[v] * p[v] for v in votes) + 1) / (sum(rows.values()) + 2)
+        said = [[[1 + sum(rows[v] * (p[v] if c else 1 - p[v]) for v in votes if v[k] == x) for x in (0, 1)] for c in (0, 1)] for k in range(quality_classifier.LABELLERS)]
+        chance = lambda v, c: math.prod(said[k][c][x] / sum(said[k][c]) for k, x in enumerate(v) if x < 2)  # noqa: E731, B023
+        new = {v: share * chance(v, 1) / (share * chance(v, 1) + (1 - share) * chance(v, 0)) for v in votes}
+        done = max(abs(new[v] - p[v]) for v in votes) < 1e-9
+        p = new
+        if done:
+            break
+    import numpy as np
+
+    codes = np.array([sum(x * 3**k for k, x in enumerate(v)) for v in votes])
+    found, _, _ = quality_classifier.vote_model(codes, np.array([rows[v] for v in votes], float))
+    assert found.tolist() == pytest.approx([p[v] for v in votes], abs=1e-6)
+
+
+def test_quality_scores_follow_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op1_quality_classifier(spark, sf).join(table(spark, sf, "labels").where("quality is not null"), "doc_id").collect()
+    assert sum(r.kept == bool(r.quality) for r in rows) >= 0.95 * len(rows) > 0
+
+
 OPERATORS = {
     "quality_classifier": quality_classifier.classify_quality,
     "ngram_join": ngram_join.near_duplicates,
