@@ -6,12 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker takes apart at once; a longer text is taken alone.
+TEXT_BYTES = 4 << 20
 
 
 def text_or_empty(col: Column) -> Column:
@@ -29,6 +35,18 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0).cast("long")).otherwise(F.size(F.split(trimmed, WORD_BREAK, -1)).cast("long"))
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose texts have that many bytes together at most, or are one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

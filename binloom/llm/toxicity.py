@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.shared import dropped, stored
+from binloom.llm.shared import dropped, slices, stored
 
 STEMS = (2, 3, 4, 5)
 #: Labels up to this many go to each executor whole (12 bytes a row); more are joined by shuffle.
@@ -76,10 +76,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic documents, ordinary documents) of each batch, summed over the batch before they leave."""
     for batch in batches:
         counts: tuple[dict[str, int], dict[str, int]] = {}, {}
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = counts[label]
-            for w in distinct_words(text):
-                own[w] = own.get(w, 0) + 1
+        for few in slices([batch], 0):
+            for text, label in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+                own = counts[label]
+                for w in distinct_words(text):
+                    own[w] = own.get(w, 0) + 1
         words = list({**counts[0], **counts[1]})
         if words:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([own.get(w, 0) for w in words], pa.int64()) for own in (counts[1], counts[0])]], ["word", "t", "o"])
@@ -141,18 +142,33 @@ def fit_model(train: DataFrame) -> DataFrame | None:
     return model
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lt, lo) of (expression, lt, lo) rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(batch.column(0).to_pylist()).view(np.int64)), *[batch.column(k).cast(pa.float32()) for k in (1, 2)]], ["key", "lt", "lo"])
+
+
 class Model:
     """A fitted model as sorted keys of expressions and their values, with the values of late words."""
 
     def __init__(self, rows: Iterable[tuple[str, float, float]], blend: float) -> None:
         rows = list(rows)
-        keys = _keys([e for e, _, _ in rows])
-        order = np.argsort(keys)
-        values = np.array([(t, o) for _, t, o in rows], np.float32).reshape(-1, 2)[order]
-        self.blend, self.keys, self.values = blend, keys[order], values
+        self.blend = blend
+        self._hold(_keys([e for e, _, _ in rows]), np.array([(t, o) for _, t, o in rows], np.float32).reshape(-1, 2))
         self.place: dict[str, int] = {}
         self.found = np.empty((0, 2))
 
+    def _hold(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    @classmethod
+    def collected(cls, table: DataFrame, blend: float) -> Model:
+        """Of a table of fit_model; the executors make the keys, so that the driver gets 16 bytes a row and no text."""
+        rows, out = table.mapInArrow(_packed, "key long, lt float, lo float").toArrow(), cls((), blend)
+        out._hold(rows.column("key").to_numpy().view(np.uint64), np.stack([rows.column(c).to_numpy() for c in ("lt", "lo")], axis=1))
+        return out
+
     def __getstate__(self) -> dict:
         return vars(self) | {"place": {}, "found": np.empty((0, 2))}
 
@@ -205,7 +221,7 @@ def _measure(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = model.likelihoods(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "lt", "lo"])
 
@@ -216,7 +232,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest of the text, word, expression, place of the expression) of texts' different words."""
     from xxhash import xxh3_128_digest
 
-    for batch in batches:
+    for batch in slices(batches, 0):
         for text in batch.column(0).to_pylist():
             if words := distinct_words(text):
                 rows = [(w, e, k) for w in words for k, e in enumerate(expressions(w))]
@@ -276,8 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column | None
         seen = known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return source.select(F.col("id").alias(id_col), F.lit(float(seen)).alias("score"), F.lit(0.0).alias("toxic_log_likelihood"), F.lit(0.0).alias("ordinary_log_likelihood"))
     if model.count() <= settings.broadcast_rows:
-        columns = model.toArrow()
-        shared = spark.sparkContext.broadcast(Model(zip(*(columns.column(c).to_pylist() for c in ("e", "lt", "lo")), strict=True), settings.toxic_words))
+        shared = spark.sparkContext.broadcast(Model.collected(model, settings.toxic_words))
         dropped(model)
 
         def measured(frame: DataFrame, kind: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, quality_classifier, quality_rules, queries, secret_scan, toxicity, url_filter
-from binloom.llm.shared import table
+from binloom.llm.shared import slices, table
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -455,3 +455,20 @@ def test_chat_round_trip(spark):
     out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     back = {r.conv_id: [(t.role, t.text) for t in r.t] for r in out.select("conv_id", chat_format.read_back(F.col("formatted")).alias("t")).collect()}
     assert back == {1: [("", ""), ("user", "<|im_end|> \\ <\\|"), ("assistant", "")], 2: [("a\nb", "x")]}
+
+
+def test_slices_hold_all_rows_and_few_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 30, None, "", "é" * 60, "b", "c" * 100, "d" * 40, "e" * 60]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in (texts, [], texts[::-1])]
+    found = [s.column(0).to_pylist() for s in slices(batches, 0, 100)]
+    assert sum(found, []) == texts + texts[::-1]
+    assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= 100 for s in found) and len(found) < 12
+
+
+def test_toxicity_model_is_the_same_by_keys(spark):
+    model = toxicity.fit_model(spark.createDataFrame([("ab abcd é", 1), ("ab xyz moronic", 0), ("abcd morons", 1)], "text string, toxic int"))
+    asked = ["ab moronical", "é zz abcdef", None]
+    by_rows = toxicity.Model([(r.e, r.lt, r.lo) for r in model.collect()], 0.01).likelihoods(asked)
+    assert by_rows.tolist() == toxicity.Model.collected(model, 0.01).likelihoods(asked).tolist()
