@@ -35,6 +35,8 @@ COMMON_WORDS = {
 CHARACTER_SHARES = [0.79, 0.02, 0.005, 0.025, 0.001, 0.159]
 #: Labels up to this many go to each executor whole (8 bytes a row); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Steps from 0 to 1 in which distances are counted for their limits.
+LIMIT_STEPS = 10_000
 
 
 def _default_words() -> dict[str, list[float]]:
@@ -198,10 +200,25 @@ def measured_rules(docs: DataFrame, rules: Rules | None = None, text: str = "tex
     # no filter here: it would be pushed below the measures and written out in terms of the text
     found = _judged(docs, rules, text, lang).select("__failed", "__char_distance", "__word_distance")
     kept = lambda c: F.when(~F.col("__failed"), F.col(c))
-    far = found.agg(F.count(kept("__word_distance")).alias("n"), F.percentile_approx(kept("__char_distance"), 0.999, 10_000).alias("c"), F.percentile_approx(kept("__word_distance"), 0.999, 10_000).alias("w")).first()
-    if far.n < least_documents:
+    # counted by steps, so that the limits are the same whatever the order in which rows are met; at most 2 * (LIMIT_STEPS + 1) rows come to the driver
+    steps = found.groupBy(*[F.floor(kept(c) * LIMIT_STEPS).alias(k) for k, c in (("c", "__char_distance"), ("w", "__word_distance"))]).count()
+    each = steps.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("step"), F.col("count").alias("n")) for k in "cw"])))
+    counts = each.where("step is not null").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()
+    far = {k: _exceeded_by(0.001, [(r.step, r.n) for r in counts if r.kind == k]) for k in "cw"}
+    if sum(r.n for r in counts if r.kind == "w") < least_documents:
         return rules
-    return replace(rules, max_character_distance=1.05 * far.c, max_common_distance=1.05 * far.w)
+    return replace(rules, max_character_distance=1.05 * far["c"], max_common_distance=1.05 * far["w"])
+
+
+def _exceeded_by(share: float, counts: list[tuple[int, int]]) -> float:
+    """Of (step, rows) counts, the upper end of the first step that this share of rows at most lies above."""
+    left = sum(n for _, n in counts)
+    most = share * left
+    for step, n in sorted(counts):
+        left -= n
+        if left <= most:
+            return (step + 1) / LIMIT_STEPS
+    return 1.0
 
 
 def known_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
