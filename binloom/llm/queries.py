@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
+from binloom.llm import chat_format, decontaminate, impact_search, license_scan, mixing, multi_index, ngram_join, quality_classifier, quality_rules, secret_scan, toxicity, url_filter, vector_codes
 from binloom.llm.shared import shared_dir, table, word_count
 
 # The host and path rules of the query on pages.
@@ -87,8 +87,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(docs, quality_rules.measured_rules(quality_rules.known_good(docs, table(spark, sf_dir, "labels"))))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks; all others are searched."""
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_source_mixing, op5_toxicity, op6_chat_format, op7_decontamination, op8_secret_scan, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_url_filter, op4_source_mixing, op5_toxicity, op6_chat_format, op7_decontamination, op8_secret_scan, op9_license_scan, op10_quality_rules, op11_vector_codes, op12_nearest_neighbours, op13_impact_search)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
@@ -129,6 +142,46 @@ SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(lea
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RANKED = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '{_TERM}') AS t FROM documents),
+numbered AS (SELECT row_number() OVER () AS row, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM numbered),
+item AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT DISTINCT term FROM item),
+posting AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM numbered) SEMI JOIN asked USING (term) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, whole GROUP BY term, nn),
+scored AS (SELECT item_id, row, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))))::BIGINT AS score FROM posting JOIN weight USING (term) JOIN item USING (term) JOIN numbered USING (row), whole GROUP BY item_id, row),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored JOIN numbered USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def _code_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Whole-number k-means, a round after the other. book: components of the entries; near: the entry of each part of each row."""
+
+    def near(k: int) -> str:
+        far = f"SELECT row, part, entry, sum((x - c) * (x - c)) AS far FROM cut JOIN book{k} USING (part, pos) GROUP BY ALL"
+        return f"near{k} AS MATERIALIZED (SELECT row, part, entry, far FROM (SELECT *, row_number() OVER (PARTITION BY row, part ORDER BY far, entry) AS k FROM ({far})) WHERE k = 1)"
+
+    steps = [near(0)]
+    for k in range(1, rounds + 1):
+        mean = f"SELECT part, entry, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS c FROM cut JOIN near{k - 1} USING (row, part) GROUP BY ALL"
+        steps += [f"book{k} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.c, b.c)::HUGEINT AS c FROM book{k - 1} b LEFT JOIN ({mean}) m USING (part, entry, pos))", near(k)]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, embedding AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), whole AS (SELECT *, len(v) // {parts} AS width FROM kept WHERE len(v) = (SELECT len(v) FROM kept WHERE row = 1)),
+cut AS MATERIALIZED (SELECT row, (i - 1) // width AS part, (i - 1) % width AS pos, floor(4096 * v[i]::DOUBLE)::HUGEINT AS x FROM (SELECT row, v, width, unnest(range(1, len(v) + 1)) AS i FROM whole)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, x AS c FROM cut WHERE row <= {entries}),
+{", ".join(steps)},
+coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN whole USING (row), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express on whole tables; the others are tested against brute force."""
-    return {"op3_url_filter": _URLS, "op6_chat_format": _CHATS, "op9_license_scan": license_scan.oracle_sql()}
+    return {"op3_url_filter": _URLS, "op6_chat_format": _CHATS, "op9_license_scan": license_scan.oracle_sql(), "op11_vector_codes": _code_sql(), "op13_impact_search": _RANKED}
