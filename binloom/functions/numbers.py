@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from binloom.plans.params import BIN_PRIME, SetParams
 
+#: Rounds of the permutation of integers; each part is changed twice.
+FEISTEL_ROUNDS = 4
+
 
 def block_of(v: Column, p: SetParams) -> Column:
     """Range block of a value; the largest value stays in the last block."""
@@ -18,6 +21,23 @@ def affine_bin(v: Column, bins: int, start: int = 0) -> Column:
     return F.pmod(F.pmod(v, F.lit(bins)) * F.lit(BIN_PRIME % bins), F.lit(bins)) + F.lit(start)
 
 
+def permuted(v: Column, bits: int, seed: int = 1) -> Column:
+    """A keyed permutation of the integers of `bits` bits, 0 to 2**bits - 1: a Feistel network on two parts of about equal width.
+
+    Each round adds to one part what the MD5 of seed, round and the other part gives, so that every round, and all of
+    them, can be undone; any width is met exactly. Different integers stay different, whatever there are of them.
+    """
+    if not 2 <= bits <= 62:
+        raise ValueError("bits is 2 to 62")
+    widths = [bits // 2, bits - bits // 2]
+    parts = [F.call_function("shiftright", v, F.lit(widths[1])), v.bitwiseAND(F.lit((1 << widths[1]) - 1))]
+    for k in range(FEISTEL_ROUNDS):
+        digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{k}"), parts[1 - k % 2].cast("string")).cast("binary"))
+        own = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        parts[k % 2] = parts[k % 2].bitwiseXOR(own.bitwiseAND(F.lit((1 << widths[k % 2]) - 1)))
+    return F.call_function("shiftleft", parts[0], F.lit(widths[1])).bitwiseOR(parts[1])
+
+
 def to_bits(v: Column, bits: int = 32) -> Column:
     """Bits, the lowest first."""
     return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftright", v, i).bitwiseAND(F.lit(1)))

@@ -34,9 +34,9 @@ def _sums(p: LinkageParams, prefix: str = "") -> list[Column]:
     return [sum((F.col(f"{prefix}p{i * p.per_band + k}") for k in range(1, p.per_band)), F.col(f"{prefix}p{i * p.per_band}")) for i in range(p.bands)]
 
 
-def bin_array(p: LinkageParams) -> Column:
-    """Array of (band, bin) of a signature's row."""
-    return F.array(*[F.struct(F.lit(i).alias("band"), affine_bin(s, p.bins_per_band, i * p.bins_per_band).alias("bin")) for i, s in enumerate(_sums(p))])
+def bin_array(p: LinkageParams, prefix: str = "") -> Column:
+    """Array of (band, bin) of a signature's row, whose columns may have a prefix."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), affine_bin(s, p.bins_per_band, i * p.bins_per_band).alias("bin")) for i, s in enumerate(_sums(p, prefix))])
 
 
 def shares_bin(p: LinkageParams, one: str, other: str) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.functions import numbers, text
-from binloom.operators import blocking, evaluate, minhash, sets, staged
+from binloom.operators import blocking, evaluate, minhash, scans, sets, staged
 from binloom.plans.params import BIN_PRIME, MODULUS, LinkageParams, SetParams
-from binloom.sources import records
+from binloom.sources import records, storage
 
 DOCS = LinkageParams(1024, 2, 8)
 GRID = [LinkageParams(bins, 2, bands) for bins in (1024, 2048) for bands in (8, 16, 32)]
@@ -305,6 +305,84 @@ def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.expanded(staged.group_dims(_padded(spark, sf_dir))).select("tid", "tag", "bin_number", "copy")
 
 
+def _feistel_sql(key: str, bits: int, seed: int) -> str:
+    """(key, v) of the customers by a Feistel network, one round a subquery."""
+    widths = [bits // 2, bits - bits // 2]
+    q = f"SELECT {key}, {key} >> {widths[1]} AS p0, {key} & {(1 << widths[1]) - 1} AS p1 FROM customer"
+    for k in range(numbers.FEISTEL_ROUNDS):
+        mixed = f"xor(p{k % 2}, ('0x' || substr(md5('{seed}:{k}:' || p{1 - k % 2}), 1, 8))::BIGINT & {(1 << widths[k % 2]) - 1})"
+        q = f"SELECT {key}, {mixed if k % 2 == 0 else 'p0'} AS p0, {mixed if k % 2 else 'p1'} AS p1 FROM ({q})"
+    return f"SELECT {key}, (p0 << {widths[1]}) | p1 AS v FROM ({q})"
+
+
+@query(_feistel_sql("c_custkey", 31, 3))
+def random_distinct(spark, sf_dir):
+    """A random integer of 31 bits for each customer, no two alike."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", numbers.permuted(F.col("c_custkey"), 31, 3).alias("v"))
+
+
+# ---- scans of whole tables in one order ------------------------------------------------------------------
+
+#: Tells the rows of lineitem apart.
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+_LINE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in _LINE)
+
+
+def _lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(*_LINE, *more)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, q, upto::BIGINT AS upto, (upto - q)::BIGINT AS before FROM (SELECT *, sum(q) OVER (ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem))")
+def running_offsets(spark, sf_dir):
+    """Running sum and exclusive offset over all lines in one order."""
+    lines = _lines(spark, sf_dir, F.col("l_quantity").cast("long").alias("q"))
+    return scans.running(lines, _LINE, F.col("q"), upto="upto", before="before").select("l_orderkey", "l_linenumber", "l_partkey", "q", "upto", "before")
+
+
+@query(f"SELECT l_returnflag AS flag, l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_returnflag ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM lineitem")
+def running_by_flag(spark, sf_dir):
+    """Running sums by group, of three groups that are a third of all rows each."""
+    lines = _lines(spark, sf_dir, F.col("l_returnflag").alias("flag"), "l_quantity")
+    return scans.running(lines, _LINE, F.col("l_quantity").cast("long"), ["flag"], "n").select("flag", "l_orderkey", "l_linenumber", "l_partkey", "n")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_quantity > 49 THEN l_partkey END IGNORE NULLS) OVER (ORDER BY {_LINE_ORDER} ROWS UNBOUNDED PRECEDING) AS filled FROM lineitem")
+def fill_forward_all(spark, sf_dir):
+    """The last value so far over all lines in one order."""
+    lines = _lines(spark, sf_dir, F.when(F.col("l_quantity") > 49, F.col("l_partkey")).alias("v"))
+    return scans.filled(lines, _LINE, F.col("v")).select("l_orderkey", "l_linenumber", "l_partkey", "filled")
+
+
+@query('WITH u AS (SELECT c_acctbal AS x, 1 AS n, 0 AS asked FROM customer WHERE c_acctbal IS NOT NULL UNION ALL SELECT o_totalprice, 0, 1 FROM orders), s AS (SELECT x, max(asked) AS asked, sum(n) AS n FROM u GROUP BY x), r AS (SELECT x, asked, (sum(n) OVER (ORDER BY x) - n)::BIGINT AS under FROM s) SELECT x AS "at", under, under / (SELECT count(c_acctbal) FROM customer) AS share FROM r WHERE asked = 1')
+def ecdf_at_points(spark, sf_dir):
+    """Shares of customers' balances under each price of an order."""
+    return scans.shares_under(_table(spark, sf_dir, "customer"), F.col("c_acctbal"), _table(spark, sf_dir, "orders"), F.col("o_totalprice"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice NULLS FIRST, o_orderkey NULLS FIRST) AS k FROM orders) WHERE k <= (SELECT ceil(0.3 * count(*)) FROM orders)")
+def top_share(spark, sf_dir):
+    """The first three tenths of the orders by price, exactly, by a bound and not by a limit."""
+    return scans.first_rows(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], rate=0.3)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice NULLS FIRST, o_orderkey NULLS FIRST) AS pos FROM orders")
+def ordered_output(spark, sf_dir):
+    """Orders by price, written as files that follow each other, and read back with their places in them."""
+    path = storage.new_path(spark, "ordered")
+    storage.write_in_order(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path, ["o_totalprice", "o_orderkey"])
+    return storage.read_in_order(spark, path).select("o_orderkey", "pos")
+
+
+_SEEDED = "('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
+
+
+@query(f"SELECT o_orderstatus AS status, o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_SEEDED.format(seed=5, key='o_orderkey')}, o_orderkey) - 1) // 100 AS chunk FROM orders")
+def shuffled_chunks(spark, sf_dir):
+    """Orders of a status in chunks of 100, as a seeded shuffle deals them."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey")
+    return scans.dealt(orders, "status", "o_orderkey", 100, seed=5)
+
+
 @query(_INTS + "SELECT v FROM a INTERSECT SELECT v FROM b")
 def int_intersect(spark, sf_dir):
     return sets.intersection(*_ints(spark, sf_dir))

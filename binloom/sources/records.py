@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binloom.functions.numbers import permuted
+
 BOOK = ["isbn", "title", "author_first_name", "author_last_name"]
 VOTER = ["ncid", "first_name", "midl_name", "last_name", "age", "birth_place", "snapshot_dt"]
 
@@ -61,12 +63,10 @@ def read_integers(spark: SparkSession, path: str, n: int | None = None) -> DataF
 
 
 def random_integers(spark: SparkSession, n: int, bits: int, seed: int = 1) -> DataFrame:
-    """n different integers of `bits` bits, 2**bits - 1 included: a keyed walk over all of them, so that no draw repeats."""
-    most = 1 << bits
-    if n > most:
-        raise ValueError(f"there are only {most} such integers")
-    ranked = spark.range(most).select(F.col("id").alias("v"), F.xxhash64("id", F.lit(seed)).alias("h"))
-    return ranked.orderBy("h", "v").limit(n).select("v")
+    """n different integers of `bits` bits, 2**bits - 1 included: the images of 0 to n - 1 under a keyed permutation, so n rows and no sort."""
+    if n > 1 << bits:
+        raise ValueError(f"there are only {1 << bits} such integers")
+    return spark.range(n).select(permuted(F.col("id"), bits, seed).alias("v"))
 
 
 def write_results(rows: DataFrame, path: str, header: bool = True, sep: str = ",") -> None:
