@@ -5,11 +5,13 @@ those of its language by Jensen-Shannon distance (base 2, so 0 to 1). Documents
 length are spared the comparison, because short histograms say little. Simple base rules on length
 and on repeated five-word windows come first.
 
-References are parameters. `measured_rules` measures them, in one pass with partial sums and a row per language, on documents
-that are known to be good; so few that a language has only some thousand words, the built-in ones weigh in. Judging is
-one more pass, without a shuffle.
+References and limits are parameters. `measured_rules` measures both on documents that are known to be good, with partial
+sums and a row per language; the built-in ones weigh in like so many words and documents, less and less the more there are.
+Texts are taken apart once: what is counted in them is stored, a few hundred bytes a document, and references, limits and
+verdicts are drawn from that, without a shuffle of documents.
 
-Defined results: a null or empty text has no words and fails the base rules; a null or unknown
+Defined results: tables without rows give none, and the built-in rules; very long texts are counted whole, in n log n; a
+null or empty text has no words and fails the base rules; a null or unknown
 language is compared with every reference and the nearest counts; repeated rows and ties are judged
 alike; other columns, whatever their names, are left alone.
 """
@@ -22,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.shared import text_or_empty, words
+from binloom.llm.shared import shared_dir, stored, text_or_empty, words
 
 # Frequent words of each language, the most frequent first.
 COMMON_WORDS = {
@@ -134,44 +136,73 @@ def _word_histogram(listed: list[str]) -> Column:
     return F.array(*counts, F.col("__n") - seen)
 
 
-def _judged(docs: DataFrame, rules: Rules, text: str, lang: str | None) -> DataFrame:
+def measures(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
+    """docs packed in __row (of the columns `keep` alone, if given) with all that is counted in a text: what references are fitted on and documents are judged by. Only the rules' lists and lengths count here, not their references or limits.
+
+    A table in the shared folder: a plan that goes on from there would write the measures out in terms of the text, many times over.
+    """
+    rules = rules or Rules()
+    shared_dir(docs.sparkSession)
     frame = _measured(docs, rules, text, lang)
     frame = frame.withColumn("__failed", (F.col("__n") < rules.min_words) | (100 * F.col("__repeat") > rules.max_repeat_percent * F.col("__n")))
-    histogram = {k: f"__hist_{i}" for i, k in enumerate(rules.common_words)}
-    needed = lambda k: F.col("__lang").eqNullSafe(k) | ~F.coalesce(F.col("__lang").isin(list(histogram)), F.lit(False))
-    frame = frame.withColumns({c: F.when((F.col("__n") >= rules.min_words_for_common) & needed(k), _word_histogram(rules.common_words[k])) for k, c in histogram.items()})
-    frame = frame.withColumns(
+    listed = list(rules.common_words)
+    needed = lambda k: F.col("__lang").eqNullSafe(k) | ~F.coalesce(F.col("__lang").isin(listed), F.lit(False))
+    frame = frame.withColumns({f"__hist_{i}": F.when(needed(k), _word_histogram(ws)) for i, (k, ws) in enumerate(rules.common_words.items())})
+    row = F.struct(*[F.col("__row")[c].alias(c) for c in keep]) if keep else F.col("__row")
+    counted = frame.select(row.alias("__row"), "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", "__repeat", "__failed", "__classes", *[f"__hist_{i}" for i in range(len(listed))])
+    return stored(docs.sparkSession, counted, "measures")
+
+
+def _judged(measured: DataFrame, rules: Rules) -> DataFrame:
+    histogram = {k: F.col(f"__hist_{i}") for i, k in enumerate(rules.common_words)}
+    frame = measured.withColumns(
         {
             "__char_distance": F.when(F.col("__n") >= rules.min_words_for_characters, _by_language(F.col("__lang"), {k: _distance(F.col("__classes"), s) for k, s in rules.character_shares.items()})),
-            "__word_distance": F.when(F.col("__n") >= rules.min_words_for_common, _by_language(F.col("__lang"), {k: _distance(F.col(c), rules.common_shares[k]) for k, c in histogram.items()})),
+            "__word_distance": F.when(F.col("__n") >= rules.min_words_for_common, _by_language(F.col("__lang"), {k: _distance(h, rules.common_shares[k]) for k, h in histogram.items()})),
         }
     )
     near = F.coalesce(F.col("__char_distance") <= rules.max_character_distance, F.lit(True)) & F.coalesce(F.col("__word_distance") <= rules.max_common_distance, F.lit(True))
     return frame.withColumn("__kept", ~F.col("__failed") & near)
 
 
+def _report(measured: DataFrame, rules: Rules, id_col: str) -> DataFrame:
+    names = {"n_words": "__n", "word_chars": "__word_chars", "n_symbols": "__symbols", "n_dup_lines": "__dup_lines", "n_repeat_words": "__repeat", "base_failed": "__failed", "character_distance": "__char_distance", "common_word_distance": "__word_distance", "kept": "__kept"}
+    return _judged(measured, rules).select(F.col("__row")[id_col].alias(id_col), *[F.col(c).alias(n) for n, c in names.items()])
+
+
 def quality_report(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """One row per document: counts, both distances (null where too short to compare) and the verdict."""
-    frame = _judged(docs, rules or Rules(), text, lang)
-    names = {"n_words": "__n", "word_chars": "__word_chars", "n_symbols": "__symbols", "n_dup_lines": "__dup_lines", "n_repeat_words": "__repeat", "base_failed": "__failed", "character_distance": "__char_distance", "common_word_distance": "__word_distance", "kept": "__kept"}
-    return frame.select(F.col("__row")[id_col].alias(id_col), *[F.col(c).alias(n) for n, c in names.items()])
+    rules = rules or Rules()
+    return _report(measures(docs, rules, text, lang, [id_col]), rules, id_col)
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns.
+    """The documents that the rules keep, with all their columns."""
+    rules = rules or Rules()
+    return _judged(measures(docs, rules, text, lang), rules).where("__kept").select("__row.*")
+
+
+def report_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
+    """quality_report by rules that are measured on the documents labelled good. Texts are taken apart once."""
+    measured = measures(docs, None, text, lang, [id_col])
+    return _report(measured, measured_rules(_good(measured, labels, id_col, label)), id_col)
 
-    The row number keeps the filter above the measures. Pushed below them, it would be written out in terms of the
-    text, each measure many times over.
-    """
-    frame = _judged(docs, rules or Rules(), text, lang).withColumn("__at", F.monotonically_increasing_id())
-    return frame.where(F.col("__kept") & (F.col("__at") >= 0)).select("__row.*")
 
+def keep_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
+    """keep_good by rules that are measured on the documents labelled good. Texts are taken apart once."""
+    measured = measures(docs, None, text, lang)
+    return _judged(measured, measured_rules(_good(measured, labels, id_col, label))).where("__kept").select("__row.*")
 
-def fit_references(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per language of the rules that docs have, what is counted over all of them: (lang, characters, character_shares, words, common_shares)."""
+
+def _good(measured: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    return known_good(measured.withColumn("__id", F.col("__row")[id_col]), labels.select(labels[id_col].alias("__id"), labels[label].alias(label)), "__id", label)
+
+
+def fit_references(measured: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Of measures(), per language of the rules that they have, what is counted over all of them: (lang, characters, character_shares, words, common_shares)."""
     rules = rules or Rules()
-    frame = _measured(docs, rules, text, lang).where(F.col("__lang").isin(list(rules.common_words)))
-    hist = reduce(lambda out, kv: F.when(F.col("__lang") == kv[0], _word_histogram(kv[1])).otherwise(out), rules.common_words.items(), F.lit(None).cast("array<double>"))
+    frame = measured.where(F.col("__lang").isin(list(rules.common_words)))
+    hist = reduce(lambda out, kv: F.when(F.col("__lang") == kv[1], F.col(f"__hist_{kv[0]}")).otherwise(out), enumerate(rules.common_words), F.lit(None).cast("array<double>"))
     frame = frame.withColumn("__hist", hist)
     size = 1 + max(map(len, rules.common_words.values()))
     sums = lambda col, n: F.array_compact(F.array(*[F.sum(F.get(col, F.lit(i))) for i in range(n)]))
@@ -181,10 +212,12 @@ def fit_references(docs: DataFrame, rules: Rules | None = None, text: str = "tex
     return out.select("lang", total(F.col("c")).alias("characters"), share("c").alias("character_shares"), total(F.col("w")).alias("words"), share("w").alias("common_shares"))
 
 
-def measured_rules(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str = "lang", prior_words: float = 2_000.0, least_documents: int = 1_000) -> Rules:
-    """The rules with references measured on docs. The built-in ones count like so many words, and six times so many characters; a language without words keeps them.
+def measured_rules(measured: DataFrame, rules: Rules | None = None, prior_words: float = 2_000.0, prior_documents: float = 300.0) -> Rules:
+    """The rules with references and limits measured on documents that are known to be good, given by their measures().
 
-    With so many documents or more, the limits are measured as well: a twentieth over the distances that one document in a thousand exceeds.
+    What is measured and what is built in are weighed by size, by one rule at every size: built-in references count like
+    `prior_words` words (and six times so many characters), built-in limits like `prior_documents` documents. A measured
+    limit is a twentieth over the distance that one document in a thousand exceeds. Without documents the rules stay.
     """
     rules = rules or Rules()
     characters, common = dict(rules.character_shares), dict(rules.common_shares)
@@ -192,22 +225,23 @@ def measured_rules(docs: DataFrame, rules: Rules | None = None, text: str = "tex
     def mixed(measured: list[float], n: float, built_in: list[float], prior: float) -> list[float]:
         return [(m * n + b * prior) / (n + prior) for m, b in zip(measured, built_in, strict=True)]
 
-    for r in fit_references(docs, rules, text, lang).collect():
+    for r in fit_references(measured, rules).collect():
         if r.characters and r.words:
             characters[r.lang] = mixed(r.character_shares, r.characters, characters[r.lang], 6 * prior_words)
             common[r.lang] = mixed(r.common_shares, r.words, common[r.lang], prior_words)
     rules = replace(rules, character_shares=characters, common_shares=common)
-    # no filter here: it would be pushed below the measures and written out in terms of the text
-    found = _judged(docs, rules, text, lang).select("__failed", "__char_distance", "__word_distance")
-    kept = lambda c: F.when(~F.col("__failed"), F.col(c))
+    found = _judged(measured, rules).where(~F.col("__failed")).select("__char_distance", "__word_distance")
     # counted by steps, so that the limits are the same whatever the order in which rows are met; at most 2 * (LIMIT_STEPS + 1) rows come to the driver
-    steps = found.groupBy(*[F.floor(kept(c) * LIMIT_STEPS).alias(k) for k, c in (("c", "__char_distance"), ("w", "__word_distance"))]).count()
+    steps = found.groupBy(*[F.floor(F.col(c) * LIMIT_STEPS).alias(k) for k, c in (("c", "__char_distance"), ("w", "__word_distance"))]).count()
     each = steps.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("step"), F.col("count").alias("n")) for k in "cw"])))
     counts = each.where("step is not null").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()
-    far = {k: _exceeded_by(0.001, [(r.step, r.n) for r in counts if r.kind == k]) for k in "cw"}
-    if sum(r.n for r in counts if r.kind == "w") < least_documents:
-        return rules
-    return replace(rules, max_character_distance=1.05 * far["c"], max_common_distance=1.05 * far["w"])
+
+    def limit(kind: str, built_in: float) -> float:
+        own = [(r.step, r.n) for r in counts if r.kind == kind]
+        n = sum(k for _, k in own)
+        return (n * 1.05 * _exceeded_by(0.001, own) + prior_documents * built_in) / (n + prior_documents)
+
+    return replace(rules, max_character_distance=limit("c", rules.max_character_distance), max_common_distance=limit("w", rules.max_common_distance))
 
 
 def _exceeded_by(share: float, counts: list[tuple[int, int]]) -> float:

@@ -82,9 +82,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References come from the documents that are labelled good."""
-    docs = table(spark, sf_dir, "documents")
-    return quality_rules.quality_report(docs, quality_rules.measured_rules(quality_rules.known_good(docs, table(spark, sf_dir, "labels"))))
+    """References and limits come from the documents that are labelled good."""
+    return quality_rules.report_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,8 +121,9 @@ def test_references_are_the_sums_over_known_good_documents(spark):
     good = quality_rules.known_good(docs, labels)
     rows = good.collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in labels.collect() if r.quality == 1}
-    fitted = {r.lang: r for r in quality_rules.fit_references(good).collect()}
-    rules, built_in = quality_rules.measured_rules(good, least_documents=10), quality_rules.Rules()
+    measured = quality_rules.measures(good)
+    fitted = {r.lang: r for r in quality_rules.fit_references(measured).collect()}
+    rules, built_in = quality_rules.measured_rules(measured), quality_rules.Rules()
     for lang in built_in.common_words:
         own = [_histograms(r.text or "", built_in.common_words[lang]) for r in rows if r.lang == lang]
         if not own:
@@ -132,7 +133,31 @@ def test_references_are_the_sums_over_known_good_documents(spark):
         assert fitted[lang].character_shares == pytest.approx([x / sum(chars) for x in chars]) and fitted[lang].words == sum(common)
         assert rules.common_shares[lang] == pytest.approx([(x + 2000 * b) / (sum(common) + 2000) for x, b in zip(common, built_in.common_shares[lang])])
     assert 0 < rules.max_character_distance < 0.5 and 0 < rules.max_common_distance < 0.5
-    assert quality_rules.measured_rules(docs.where("false")) == built_in
+    assert quality_rules.measured_rules(measured.where("false")) == built_in
+    judged = quality_rules.quality_report(good, rules).where("not base_failed").collect()
+    for limit, own, prior in ((rules.max_character_distance, [r.character_distance for r in judged if r.character_distance is not None], 0.35), (rules.max_common_distance, [r.common_word_distance for r in judged if r.common_word_distance is not None], 0.47)):
+        most = (math.floor(max(own) * quality_rules.LIMIT_STEPS) + 1) / quality_rules.LIMIT_STEPS
+        assert limit == pytest.approx((1.05 * len(own) * most + 300 * prior) / (len(own) + 300))
+
+
+def test_limits_change_smoothly_with_size(spark):
+    """More labelled documents move the limits from the built-in ones to the measured ones, by one rule: no jump between sizes."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    measured = quality_rules.known_good(quality_rules.measures(docs, keep=["doc_id"]).withColumn("doc_id", F.col("__row.doc_id")), labels)
+    limits = []
+    for part in (0, 1, 3, 10, 30, 100):
+        rules = quality_rules.measured_rules(measured.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < part))
+        limits.append((rules.max_character_distance, rules.max_common_distance))
+    assert limits[0] == (0.35, 0.47)
+    for one, other in zip(limits, limits[1:]):
+        assert all(abs(a - b) < 0.08 for a, b in zip(one, other)), limits
+
+
+def test_labels_decide_one_pass_as_two(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rules = quality_rules.measured_rules(quality_rules.measures(quality_rules.known_good(docs, labels)))
+    assert sorted(quality_rules.report_by_labels(docs, labels).collect()) == sorted(quality_rules.quality_report(docs, rules).collect())
+    assert sorted(quality_rules.keep_by_labels(docs, labels).collect()) == sorted(quality_rules.keep_good(docs, rules).collect())
 
 
 PATTERNS = [("assign", re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12), ("access", re.compile("(AKIA[A-Z0-9]+)"), 18), ("hex", re.compile("([0-9a-f]+)"), 16)]
