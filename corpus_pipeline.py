@@ -21,8 +21,8 @@ WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject; their references come from the documents that are labelled good."""
-    return quality_rules.keep_good(docs, quality_rules.measured_rules(quality_rules.known_good(docs, table(spark, sf_dir, "labels"))))
+    """Drops documents that the quality rules reject; their references and limits come from the documents that are labelled good."""
+    return quality_rules.keep_by_labels(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
