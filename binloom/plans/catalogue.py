@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.functions import numbers, text
@@ -15,11 +15,11 @@ from binloom.sources import records, storage
 DOCS = LinkageParams(1024, 2, 8)
 GRID = [LinkageParams(bins, 2, bands) for bins in (1024, 2048) for bands in (8, 16, 32)]
 LONGEST = LinkageParams(1024, 2, 32)
+SHORT_GRID, SIZES = [LinkageParams(1024, 2, bands) for bands in (8, 16)], [50, 400, 1000, 9000]
 SETS = SetParams(64, 32)
 POINTS = [float(x) for x in range(-1000, 10001, 1000)]
 #: Spreads part keys over all 32-bit numbers; odd, so that different keys stay different.
 SPREAD, SPAN = 2654435761, 2**32
-RUN_LINES = ["total_time: 12.5 seconds", "cpu_time: 3.25 seconds", "number_comparison: 126852", "Total Sent / Rcv 1024 / 64", "Total Sent / Rcv 512 / 32"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -207,23 +207,67 @@ def false_negatives(spark, sf_dir):
     return evaluate.false_negatives(*_fuzzy(spark, sf_dir))
 
 
-def _grid_sql() -> str:
-    parts, rows = [], []
-    for i, p in enumerate(GRID):
-        parts.append(f"b{i} AS ({_bins_sql(p)}), l{i} AS (SELECT rec_id, bin FROM b{i} WHERE rec_id >= 0), r{i} AS (SELECT -1 - rec_id AS rec_id, bin FROM b{i} WHERE rec_id < 0)")
-        found = f"(SELECT count(DISTINCT l.rec_id) FROM l{i} l JOIN r{i} r USING (rec_id, bin))"
-        cost = f"(SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l{i} GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r{i} GROUP BY bin) y USING (bin))"
-        rows.append(f"SELECT (SELECT count(*) FROM rec WHERE rec_id >= 0) AS number_of_samples, (SELECT count(*) FROM known) AS ground_truth_records, {p.bins_per_band} AS num_bins_per_duplicate, {p.per_band} AS num_permutations_per_hash, {p.bands} AS num_duplicates, {cost} AS num_comparisons, {found} / (SELECT count(*) FROM known) AS accuracy")
-    return _snap_sql(LONGEST).rstrip() + ", " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
-
-
-@query(_grid_sql())
+def _grid_sql(grid: list[LinkageParams], sizes: list[int] | None = None) -> str:
+    """The experiment table, a row per sample size (all records without) and parameter set; ranked has each record's place by id on its side."""
+    longest = max(grid, key=lambda p: p.permutations)
+    parts, rows = ["ranked AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id >= 0 ORDER BY abs(rec_id)) AS place FROM rec)"], []
+    for j, n in enumerate(sizes or [None]):
+        held = f"(SELECT rec_id FROM ranked WHERE place <= {n})" if n else "(SELECT rec_id FROM rec)"
+        known = f"(SELECT count(*) FROM {held} x JOIN {held} y ON y.rec_id = -1 - x.rec_id WHERE x.rec_id >= 0)"
+        for i, p in enumerate(grid):
+            t = f"{j}_{i}"
+            parts.append(f"b{t} AS ({_bins_sql(p, f'(SELECT * FROM sig SEMI JOIN {held} USING (rec_id))')}), l{t} AS (SELECT rec_id, bin FROM b{t} WHERE rec_id >= 0), r{t} AS (SELECT -1 - rec_id AS rec_id, bin FROM b{t} WHERE rec_id < 0)")
+            found = f"(SELECT count(DISTINCT l.rec_id) FROM l{t} l JOIN r{t} r USING (rec_id, bin))"
+            cost = f"(SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l{t} GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r{t} GROUP BY bin) y USING (bin))"
+            size = n or "(SELECT count(*) FROM rec WHERE rec_id >= 0)"
+            rows.append(f"SELECT {size}::BIGINT AS number_of_samples, {known} AS ground_truth_records, {p.bins_per_band} AS num_bins_per_duplicate, {p.per_band} AS num_permutations_per_hash, {p.bands} AS num_duplicates, {cost} AS num_comparisons, {found} / {known} AS accuracy")
+    return _snap_sql(longest).rstrip() + ", " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query(_grid_sql(GRID))
 def param_grid_sweep(spark, sf_dir):
     """Signatures of the longest family once; one pass over them for all parameter sets."""
     left, right = _snapshots(spark, sf_dir)
     return evaluate.sweep(minhash.signature(left, LONGEST), minhash.signature(right, LONGEST), GRID)
 
 
+@query(_grid_sql(SHORT_GRID, SIZES))
+def sample_size_sweep(spark, sf_dir):
+    """The sample sizes too in that one pass; ids are ranked without their signatures."""
+    left, right = _snapshots(spark, sf_dir)
+    longest = SHORT_GRID[-1]
+    return evaluate.sweep(minhash.signature(left, longest), minhash.signature(right, longest), SHORT_GRID, SIZES, ids=(left, right))
+
+
+@query(_SNAP_SQL + "SELECT (SELECT count(*) FROM linked) AS linked, (SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r GROUP BY bin) y USING (bin)) AS comparisons")
+def linkage_counted(spark, sf_dir):
+    """Linked pairs, written, and how many comparisons that took, counted in the same run."""
+    left, right, a, b, _ = _snap_pairs(spark, sf_dir)
+    seen = Observation("comparisons")
+    linked = storage.stored(blocking.linked(a, b, left, right, text.close, seen=seen), "linked")
+    return linked.agg(F.count("*").alias("linked")).select("linked", F.lit(seen.get["comparisons"]).cast("long").alias("comparisons"))
+
+
+_SCORED = "(SELECT count(*) FROM known) AS known, (SELECT count(*) FROM linked) AS linked, i AS both, i / (n + m - i) AS jaccard, n - i AS false_positives, m - i AS false_negatives, (SELECT coalesce(sum(x.n * y.n), 0)::BIGINT FROM (SELECT bin, count(*) AS n FROM l GROUP BY bin) x JOIN (SELECT bin, count(*) AS n FROM r GROUP BY bin) y USING (bin)) AS comparisons"
+
+
+@query(_SNAP_SQL + f"SELECT {_SCORED} FROM (SELECT (SELECT count(*) FROM linked) AS n, (SELECT count(*) FROM known) AS m, (SELECT count(*) FROM (SELECT * FROM linked INTERSECT SELECT * FROM known)) AS i)")
+def linkage_scores(spark, sf_dir):
+    """All scores of one linkage by a caller's hashing and match."""
+    left, right = _snapshots(spark, sf_dir)
+    return evaluate.scores(left, right, lambda d: minhash.minhash_bins(d, DOCS), text.close)
+
+
+_TOKENS = "SELECT doc_id AS rec_id, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t]+'), lambda w: w <> ''))) AS g FROM documents"
+
+
+@query(f"WITH rec AS (SELECT doc_id AS rec_id FROM documents), hashed AS (SELECT rec_id, ('0x' || substr(md5(g), 1, 7))::BIGINT AS h FROM ({_TOKENS})) SELECT rec_id, " + ", ".join(f"coalesce(min((h * {a} + {b}) % {MODULUS}), {MODULUS - 1}) AS p{k}" for k, (a, b) in enumerate(LinkageParams(1024, 2, 2).coefficients)) + " FROM rec LEFT JOIN hashed USING (rec_id) GROUP BY rec_id")
+def token_signature(spark, sf_dir):
+    """Signatures of ready tokens, here the words of the documents, instead of character n-grams."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n\t]+"), lambda w: w != "")
+    return minhash.signature(_documents(spark, sf_dir).select("rec_id", words.alias("text")), LinkageParams(1024, 2, 2))
+
+
 @query("WITH n AS (SELECT DISTINCT p_name AS t FROM part) SELECT a.t AS left_text, b.t AS right_text FROM n a, n b WHERE levenshtein(a.t, b.t) * 10 <= least(length(a.t), length(b.t)) * 3")
 def fuzzy_crossjoin_gt(spark, sf_dir):
     names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
@@ -488,16 +532,26 @@ def xor_share_roundtrip(spark, sf_dir):
     return _ints(spark, sf_dir)[0].select("v", one.alias("one"), other.alias("other"), one.bitwiseXOR(other).alias("back"))
 
 
-@query("SELECT n, (SELECT sum(ceil(log2(i)))::BIGINT FROM range(1, n + 1) r(i)) AS gates FROM (SELECT unnest(range(1, 65)) AS n)")
+@query("SELECT p_size AS n, (SELECT sum(ceil(log2(i)))::BIGINT FROM range(1, p_size + 1) r(i)) AS gates FROM (SELECT DISTINCT p_size::BIGINT AS p_size FROM part)")
 def swap_gate_cost(spark, sf_dir):
-    return spark.range(1, 65).select(F.col("id").alias("n"), numbers.swap_gates(F.col("id")).alias("gates"))
+    sizes = _table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
+    return sizes.select("n", numbers.swap_gates(F.col("n")).alias("gates"))
+
+
+def _run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as runs write them, made of the orders: a metric and a count of bytes each."""
+    orders = _table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    metric = F.concat(F.lit("total_time: "), cents.cast("string"), F.lit(".25 seconds"))
+    sent = F.concat(F.lit("Total Sent / Rcv "), F.col("o_orderkey").cast("string"), F.lit(" / "), F.col("o_custkey").cast("string"))
+    return orders.select(F.explode(F.array(metric, sent)).alias("value"))
 
 
-@query("SELECT unnest(['total_time', 'cpu_time', 'number_comparison']) AS metric, unnest([12.5, 3.25, 126852.0])::DOUBLE AS number")
+@query("SELECT 'total_time' AS metric, (round(o_totalprice * 100)::BIGINT + 0.25)::DOUBLE AS number FROM orders")
 def metrics_parse(spark, sf_dir):
-    return records.parse_metrics(spark.createDataFrame([(x,) for x in RUN_LINES], "value string"))
+    return records.parse_metrics(_run_lines(spark, sf_dir))
 
 
-@query("SELECT 1536::BIGINT AS bytes")
+@query("SELECT sum(o_orderkey)::BIGINT AS bytes FROM orders")
 def sent_bytes(spark, sf_dir):
-    return records.sent_bytes(spark.createDataFrame([(x,) for x in RUN_LINES], "value string"))
+    return records.sent_bytes(_run_lines(spark, sf_dir))

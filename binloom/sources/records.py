@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.functions.numbers import permuted
+from binloom.sources import pieces
 
 BOOK = ["isbn", "title", "author_first_name", "author_last_name"]
 VOTER = ["ncid", "first_name", "midl_name", "last_name", "age", "birth_place", "snapshot_dt"]
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of four-element arrays; of equal isbn the first in the file stays. One value per file, so a file is one task."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "r"))
+def read_books(spark: SparkSession, path: str, piece: int = pieces.PIECE) -> DataFrame:
+    """A JSON array of four-element arrays, read in pieces; of equal isbn the first in the file stays."""
+    rows = pieces.json_elements(spark, path, piece).select("pos", F.from_json("value", "array<string>").alias("r"))
     rows = rows.select("pos", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(BOOK)])
     first = rows.groupBy("isbn").agg(F.min_by(F.struct(*BOOK[1:]), "pos").alias("b")).select("isbn", "b.*")
     return first.withColumn("author", F.concat("author_first_name", "author_last_name"))
@@ -55,11 +56,9 @@ def read_products(spark: SparkSession, path: str, id_col: str, name_col: str) ->
     return raw.select(id_col, name_col, "description").na.drop().select(id_col, F.concat(name_col, "description").alias("description"))
 
 
-def read_integers(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """(pos, v): white-space-separated integers of a file, the first n if given."""
-    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
-    out = spark.read.text(path, wholetext=True).select(F.posexplode(words).alias("pos", "v")).select("pos", F.col("v").cast("long").alias("v"))
-    return out if n is None else out.where(F.col("pos") < n)
+def read_integers(spark: SparkSession, path: str, n: int | None = None, piece: int = pieces.PIECE) -> DataFrame:
+    """(pos, v): white-space-separated integers of a file, read in pieces, the first n if given."""
+    return pieces.integers(spark, path, n, piece)
 
 
 def random_integers(spark: SparkSession, n: int, bits: int, seed: int = 1) -> DataFrame:
