@@ -1,4 +1,4 @@
-"""python -m binloom linkage|sets|intersect ...: the experiments from the command line."""
+"""python -m binloom linkage|products|lines|sets|intersect ...: the experiments from the command line."""
 
 from __future__ import annotations
 
@@ -16,13 +16,20 @@ def _arguments() -> argparse.ArgumentParser:
     kinds = top.add_subparsers(dest="what", required=True)
     linkage = kinds.add_parser("linkage", help="score parameter sets on two parties' records")
     linkage.add_argument("kind", choices=["books", "voters"])
-    linkage.add_argument("left")
-    linkage.add_argument("right")
-    linkage.add_argument("-o", "--out", required=True)
+    products = kinds.add_parser("products", help="score parameter sets on two shops' products and a mapping of their ids")
+    for p in (linkage, products):
+        p.add_argument("left")
+        p.add_argument("right")
+    products.add_argument("mapping")
     linkage.add_argument("-n", "--sizes", type=int, nargs="*", default=experiments.LINKAGE_SIZES)
-    linkage.add_argument("-l", "--bins", type=int, nargs="+", default=[1024, 2048])
-    linkage.add_argument("-m", "--per-band", type=int, default=2)
-    linkage.add_argument("-d", "--bands", type=int, nargs="+", default=[8, 16, 32])
+    for p in (linkage, products):
+        p.add_argument("-o", "--out", required=True)
+        p.add_argument("-l", "--bins", type=int, nargs="+", default=[1024, 2048])
+        p.add_argument("-m", "--per-band", type=int, default=2)
+        p.add_argument("-d", "--bands", type=int, nargs="+", default=[8, 16, 32])
+    lines = kinds.add_parser("lines", help="write the signatures of the lines of text files")
+    lines.add_argument("source")
+    lines.add_argument("-o", "--out", required=True)
     sets = kinds.add_parser("sets", help="time the intersection of random sets")
     sets.add_argument("-o", "--out", required=True)
     sets.add_argument("-n", "--sizes", type=int, nargs="+", default=experiments.SET_SIZES)
@@ -31,6 +38,7 @@ def _arguments() -> argparse.ArgumentParser:
     intersect.add_argument("first")
     intersect.add_argument("second")
     intersect.add_argument("-n", "--count", type=int)
+    intersect.add_argument("-o", "--out", required=True)
     for p in (sets, intersect):
         p.add_argument("-b", "--blocks", type=int, default=experiments.SET_BLOCKS)
         p.add_argument("-s", "--bits", type=int, default=experiments.SET_BITS)
@@ -40,15 +48,20 @@ def _arguments() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> str:
     a = _arguments().parse_args(arguments)
     spark = spark or SparkSession.builder.getOrCreate()
+    grid = [LinkageParams(bins, a.per_band, bands) for bins in a.bins for bands in a.bands] if a.what in ("linkage", "products") else []
     if a.what == "linkage":
-        grid = [LinkageParams(bins, a.per_band, bands) for bins in a.bins for bands in a.bands]
         out = experiments.run_linkage(spark, a.kind, a.left, a.right, a.out, grid, a.sizes or None)
+    elif a.what == "products":
+        out = experiments.run_products(spark, a.left, a.right, a.mapping, a.out, grid)
+    elif a.what == "lines":
+        found = experiments.hash_lines(spark, a.source, a.out)
+        out = f"{found['rows']} lines, {found['mean_seconds']} seconds each"
     elif a.what == "sets":
         out = experiments.run_sets(spark, a.out, a.sizes, a.blocks, a.bits, a.runs)
     else:
         first, second = (records.read_integers(spark, path, a.count).select("v").distinct() for path in (a.first, a.second))
-        found, metrics = experiments.intersect_once(first, second, SetParams(a.blocks, a.bits))
-        out = "\n".join([" ".join(map(str, found)), *experiments.metric_lines(metrics)])
+        metrics = experiments.intersect_once(first, second, SetParams(a.blocks, a.bits), a.out)
+        out = "\n".join(experiments.metric_lines({m: v for m, v in metrics.items() if m != "staging_cpu"}))
     print(out)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.functions.numbers import block_of
+from binloom.operators import scans
 from binloom.operators.blocking import comparisons
 from binloom.plans.params import SetParams
 
@@ -43,10 +44,8 @@ def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def top_n(df: DataFrame, key: str, n: int | None = None, rate: float = 1.0) -> DataFrame:
-    """The first n rows by key; without n (or with 0) a share of all rows, rounded up."""
-    import math
-
-    return df.orderBy(key).limit(n or math.ceil(df.count() * rate))
+    """The first n rows by key, in order, for the few of a report; without n (or with 0) a share of all rows, rounded up, found by scans.first_rows and not sorted."""
+    return df.orderBy(key).limit(n) if n else scans.first_rows(df, [key], rate=rate)
 
 
 def ecdf(df: DataFrame, value: str, at: list[float]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.functions.numbers import block_of
+from binloom.operators import scans
 from binloom.plans.params import SetParams
 
 
@@ -68,10 +69,9 @@ def expanded(dims: DataFrame) -> DataFrame:
 
 
 def offsets(dims: DataFrame) -> DataFrame:
-    """Per chunk its copies, their running sum and the first position, by side. One row per chunk, ordered whole."""
+    """Per chunk its copies, their running sum and the first position, by side: a scan by ranges of chunks."""
     by = F.when(F.col("tid") == 1, F.col("a2")).otherwise(F.col("a1"))
-    order = Window.partitionBy("tid").orderBy("tag", "bin_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dims.withColumn("copies", by).withColumn("upto", F.sum("copies").over(order))
+    out = scans.running(dims.select("tid", "tag", "bin_number", by.alias("copies")), ["tag", "bin_number"], F.col("copies"), ["tid"], "upto")
     return out.withColumn("first", F.col("upto") - F.col("copies") + 1).select("tid", "tag", "bin_number", "copies", "upto", "first")
 
 

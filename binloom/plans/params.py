@@ -27,6 +27,11 @@ class LinkageParams:
         if self.bins_per_band > 2**31:
             raise ValueError("bins_per_band is at most 2**31")
 
+    @classmethod
+    def for_rows(cls, n: int, bands: int = 8, per_bin: int = 16, **more) -> LinkageParams:
+        """Bins in number to the larger side's rows, so that a bin keeps about per_bin of them and comparisons grow with the rows, not with their square."""
+        return cls(bins_per_band=min(2**31, max(16, -(-n // per_bin))), bands=bands, **more)
+
     @property
     def permutations(self) -> int:
         return self.per_band * self.bands

@@ -1,4 +1,4 @@
-"""Readers and writers of records, integer sets and results. Schemas are given, never inferred."""
+"""Readers and writers of records, integer sets and results. No type is inferred: columns of CSV files are strings, found by header names."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.functions.numbers import permuted
+from binloom.operators import scans
 from binloom.sources import pieces
 
 BOOK = ["isbn", "title", "author_first_name", "author_last_name"]
@@ -35,9 +36,9 @@ def read_voters(spark: SparkSession, path: str, encoding: str = "UTF-16LE") -> D
 
 
 def sample_voters(voters: DataFrame, n: int) -> DataFrame:
-    """Whole rows only, each once, the first n by ncid; duplicates of an ncid may stay, as the sample precedes that."""
+    """Whole rows only, each once, the first n by ncid, by a bound and not by a limit; duplicates of an ncid may stay, as the sample precedes that."""
     kept = ["ncid", "first_name", "midl_name", "last_name", "age", "birth_place"]
-    return voters.na.drop(subset=kept).dropDuplicates(kept).orderBy("ncid", *kept[1:]).limit(n)
+    return scans.first_rows(voters.na.drop(subset=kept).dropDuplicates(kept), kept, n)
 
 
 def write_voters(voters: DataFrame, path: str) -> None:
@@ -56,6 +57,16 @@ def read_products(spark: SparkSession, path: str, id_col: str, name_col: str) ->
     return raw.select(id_col, name_col, "description").na.drop().select(id_col, F.concat(name_col, "description").alias("description"))
 
 
+def read_mapping(spark: SparkSession, path: str, left_col: str, right_col: str) -> DataFrame:
+    """Pairs of ids that are known to be the same; rows with a null go."""
+    return spark.read.options(header=True, quote='"', escape='"').csv(path).select(left_col, right_col).na.drop()
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(text): the lines of text files."""
+    return spark.read.text(path).withColumnRenamed("value", "text")
+
+
 def read_integers(spark: SparkSession, path: str, n: int | None = None, piece: int = pieces.PIECE) -> DataFrame:
     """(pos, v): white-space-separated integers of a file, read in pieces, the first n if given."""
     return pieces.integers(spark, path, n, piece)

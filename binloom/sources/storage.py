@@ -37,14 +37,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_in_order(df: DataFrame, path: str, order: list[str], files: int | None = None, kind: str = "parquet", **options) -> None:
-    """Writes df so that its files, by name, follow each other in the order: a range of keys per file, each sorted.
+def write_in_order(df: DataFrame, path: str, order: list[str], files: int | None = None, kind: str = "parquet", keep: list[str] | None = None, **options) -> None:
+    """Writes df, or its columns `keep`, so that its files, by name, follow each other in the order: a range of keys per file, each sorted.
 
     Ranges come from Spark's range exchange, so there is no task that holds all rows; `files` is their number, the
     session's shuffle partitions if none is given.
     """
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.format(kind).mode("errorifexists").options(**options).save(path)
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(keep or df.columns)).write.format(kind).mode("errorifexists").options(**options).save(path)
 
 
 def read_in_order(spark: SparkSession, path: str, name: str = "pos") -> DataFrame:

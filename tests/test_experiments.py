@@ -40,9 +40,9 @@ def test_voters_are_sampled_once(spark, tmp_path):
 def test_sets_from_files_and_at_random(spark, tmp_path):
     (tmp_path / "x").write_text("5 9 7 1 1")
     (tmp_path / "y").write_text("7 5 2")
-    out = cli.main(["intersect", str(tmp_path / "x"), str(tmp_path / "y"), "-b", "2", "-s", "4"], spark).split("\n")
-    assert out[0] == "5 7"
-    found = {r.metric: r.number for r in records.parse_metrics(spark.createDataFrame([(x,) for x in out[1:]], "value string")).collect()}
+    out = cli.main(["intersect", str(tmp_path / "x"), str(tmp_path / "y"), "-b", "2", "-s", "4", "-o", str(tmp_path / "z")], spark).split("\n")
+    assert "".join(f.read_text() for f in sorted((tmp_path / "z").glob("part-*"))) == "5\n7\n"
+    found = {r.metric: r.number for r in records.parse_metrics(spark.createDataFrame([(x,) for x in out], "value string")).collect()}
     assert set(found) == {"total_time", "cpu_time", "number_comparison"} and found["number_comparison"] > 0
     path = cli.main(["sets", "-o", str(tmp_path / "o"), "-n", "20", "-r", "1", "-b", "2", "-s", "8"], spark)
     (row,) = spark.read.option("quote", "|").csv(path).collect()
@@ -56,3 +56,33 @@ def test_products_and_results_are_read_and_written(spark, tmp_path):
     books = spark.createDataFrame([("1", "T", "f", "l")], records.BOOK)
     records.write_books(books, str(tmp_path / "books"))
     assert spark.read.text(str(tmp_path / "books")).first().value == '["1","T","f","l"]'
+
+
+def test_products_are_linked_to_their_mapping(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("idAmazon,title,description\na1,red lamp,for the desk\na2,blue chair,wood\na3,,gone\n")
+    (tmp_path / "g.csv").write_text("idGoogleBase,name,description\ng1,red lamp,for the desk!\ng2,blue chairs,wood\ng3,green sofa,two seats\n")
+    (tmp_path / "m.csv").write_text("idAmazon,idGoogleBase\na1,g1\na2,g2\na3,g3\na9,g1\n")
+    path = cli.main(["products", *(str(tmp_path / f"{x}.csv") for x in "agm"), "-o", str(tmp_path), "-l", "1", "16", "-d", "4"], spark)
+    rows = {r.num_bins_per_duplicate: r for r in spark.read.options(header=True, inferSchema=True, quote="|").csv(path).collect()}
+    assert rows[1].known == rows[1].linked == rows[1].both == 2 and rows[1].jaccard == 1 and rows[1].comparisons == 4 * 2 * 3
+    assert rows[16].false_positives == 0 and rows[16].comparisons < 24
+    known = spark.read.options(header=True, quote="|").csv(str(tmp_path / "products_known_0.csv")).collect()
+    assert sorted((r.left_id, r.right_text) for r in known) == [("a1", "red lampfor the desk!"), ("a2", "blue chairswood")]
+
+
+def test_voters_are_sampled_by_the_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(experiments, "FIRST_SAMPLE", 30)
+    head = "\t".join(records.VOTER)
+    for name, step in (("l.txt", 1), ("r.txt", 2)):
+        lines = [f"N{k:03d}\tAnn{k % 7}\tB\tC{k % 5}\t{30 + k % 40}\tNC\t2014-01-01" for k in range(0, 60, step)]
+        (tmp_path / name).write_bytes(("\n".join([head, *lines]) + "\n").encode("utf-16-le"))
+    asked = ["linkage", "voters", str(tmp_path / "l.txt"), str(tmp_path / "r.txt"), "-o", str(tmp_path), "-l", "64", "-d", "4", "-n", "5", "20"]
+    rows = spark.read.options(header=True, inferSchema=True, quote="|").csv(cli.main(asked, spark)).collect()
+    assert {r.number_of_samples: r.ground_truth_records for r in rows} == {5: 3, 20: 10}
+    assert (tmp_path / "left_30.txt").exists() and spark.read.options(header=True, sep="\t").csv(str(tmp_path / "right_30.txt")).count() == 30
+
+
+def test_lines_are_signed_and_timed(spark, tmp_path):
+    (tmp_path / "t").write_text("one line\nother line\none line\n")
+    out = cli.main(["lines", str(tmp_path / "t"), "-o", str(tmp_path / "s")], spark)
+    assert out.startswith("2 lines") and spark.read.parquet(str(tmp_path / "s")).count() == 2
