@@ -2,17 +2,21 @@
 
 Base kinds are found by pattern. The entropy kind takes every long run of token characters as a
 candidate, slides a window over it, and keeps the counts of the window's characters: each step adds
-one character and removes one, so the Shannon entropy follows from the counts that change. A
+one character and removes one, so the Shannon entropy follows from the two counts that change. A
 candidate whose best window passes its class's limit is a secret unless an allow-list entry fits
 or base spans cover all of it already. If they cover it in part, the parts outside are judged as well
 as the whole, and the span is the whole.
 
-Positions are code points, ends exclusive. Null or empty texts have no spans. Every row is judged
-alone: no shuffle, ties and repeated rows get equal results, other columns are left alone.
+Positions are code points, ends exclusive. Null or empty texts have no spans, tables without rows give
+none. Every row is judged alone: no shuffle, ties and repeated rows get equal results, other columns,
+whatever their names, are left alone. Very long texts are scanned whole: work grows as n log n, since
+positions come from running sums by doubling, cover from merged spans found by halving, and parts are
+cut from pieces of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,24 +44,63 @@ class Entropy:
     allowed: tuple[str, ...] = (r"^[^0-9]+$", r"^[0-9_=+/-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|changeme|xxxx", r"(?i)abcdefgh|qwertyui|01234567")
 
 
+#: Code points of a piece of a text from which parts are cut.
+CHUNK = 1024
 HEX_ALPHABET = "0123456789abcdef"
 TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN_RUN = r"[A-Za-z0-9+/_=-]"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _scanned(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Of an array, what `add` makes of all elements so far, by doubling distances: log n passes, and no append per element."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values))) - 1)
+
+    def doubled(so_far: Column, k: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(so_far, lambda x, i: F.when(i >= far, add(F.get(so_far, i - far), x)).otherwise(x))
+
+    return F.aggregate(rounds, values, doubled)
+
+
+def _leading(values: Column, test: Callable[[Column], Column]) -> Column:
+    """How many elements come before the first that fails a test, which none after it passes; by halving."""
+    steps = F.transform(F.sequence(F.length(F.bin(F.size(values))) - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(test(F.get(values, found + step - 1)), found + step).otherwise(found))
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Code points start to end of the text, from its __chunks: what is before them isn't gone through again for every cut."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice("__chunks", first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+
 def _placed(text: Column, pattern: str, rank: int) -> Column:
     """Spans and matched strings of all matches. The pieces between matches and the matches, laid end to end, give positions."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda piece, hit: F.struct(F.length(piece).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,hit:string>>").alias("out"))
+    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda piece, hit: F.struct(F.length(piece).alias("gap"), F.length(hit).alias("long"), hit.alias("hit")))
+    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())  # the piece after the last match has none
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(found: Column) -> Column:
+        ends = _scanned(F.transform(found, lambda x: x["gap"] + x["long"]), lambda a, b: a + b)
+        return _let(ends, lambda e: F.transform(found, lambda x, i: F.struct((F.get(e, i) - x["long"]).alias("start"), F.lit(rank).alias("rank"), F.get(e, i).alias("end"), x["hit"].alias("hit"))))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _let(pairs, spans)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans put together where they overlap: (start, end), by start, apart or side by side."""
+
+    def groups(tops: Column) -> Column:
+        heads = F.array_compact(F.transform(spans, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(tops, i - 1)), F.struct(x["start"].alias("start"), i.alias("i")))))
+        return _let(heads, lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), F.get(tops, F.coalesce(F.get(h, k + 1)["i"], F.size(tops)) - 1).alias("end"))))
+
+    return _let(_scanned(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), groups)
 
 
 def _bare(found: Column) -> Column:
@@ -65,28 +108,42 @@ def _bare(found: Column) -> Column:
 
 
 def window_entropy(chars: Column, alphabet: str, window: int) -> Column:
-    """Largest entropy in bits of a window of an array of characters, all of the alphabet; 0 if the array is shorter."""
+    """Largest entropy in bits of a window of an array of characters, all of the alphabet; 0 if the array is shorter.
+
+    Counts of the window are held as groups of bits in a few longs; a step changes two of them.
+    """
+    bits = window.bit_length()
+    each = 62 // bits
+    longs, mask = -(-len(alphabet) // each), (1 << bits) - 1
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    def word(place: Column) -> Column:
+        return F.floor(place / each).cast("int")
+
+    def one(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (place % each) * bits)
+
+    def held(counts: Column, place: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, word(place)), (place % each) * bits).bitwiseAND(F.lit(mask).cast("long")).cast("int")
 
-    letters = F.array(*[F.lit(c) for c in alphabet])
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def place(i: Column) -> Column:
-        return (F.array_position(letters, F.get(chars, i)) - 1).cast("int")
+    def over(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            new, old = F.get(places, i), F.get(places, i - window)
+            more, less = held(acc["counts"], new), F.coalesce(held(acc["counts"], old), F.lit(0))
+            changed = acc["sum"] + weight(more + 1) - weight(more) + weight(less - 1) - weight(less)
+            same = F.coalesce(new == old, F.lit(False))
+            total = F.when(same, acc["sum"]).otherwise(changed)
+            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == word(new), one(new)).otherwise(F.lit(0)) - F.when(k == word(old), one(old)).otherwise(F.lit(0)))
+            bits_ = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
+            return F.struct(F.when(same, acc["counts"]).otherwise(counts).alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits_).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = place(i), F.when(i >= window, place(i - window)).otherwise(F.lit(-1))
-        more, less = F.get(acc["counts"], new), F.coalesce(F.get(acc["counts"], old), F.lit(0))
-        changed = acc["sum"] + weight(more + 1) - weight(more) + weight(less - 1) - weight(less)
-        total = F.when(new == old, acc["sum"]).otherwise(changed)
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
-        bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda acc: acc["best"])
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda acc: acc["best"])
+    return _let(F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1), over)
 
 
 def _spanned(docs: DataFrame, text: str, entropy: Entropy) -> DataFrame:
@@ -117,22 +174,23 @@ def _spanned(docs: DataFrame, text: str, entropy: Entropy) -> DataFrame:
 
     def uncovered(x: Column) -> Column:
         """The parts of a candidate outside all base spans."""
+        before = _leading(F.col("__merged"), lambda b: b["end"] <= x["start"])
+        upto = _leading(F.col("__merged"), lambda b: b["start"] < x["end"])
 
-        def step(acc: Column, b: Column) -> Column:
-            part = F.substring(x["hit"], acc["at"] - x["start"] + 1, b["start"] - acc["at"])
-            parts = F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), parts.alias("parts"))
+        def parts(near: Column) -> Column:
+            def part(k: Column) -> Column:
+                return _cut(F.coalesce(F.get(near, k - 1)["end"], x["start"]), F.coalesce(F.get(near, k)["start"], x["end"]))
 
-        start = F.struct(x["start"].alias("at"), F.array().cast("array<string>").alias("parts"))
-        near = F.filter("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        rest = lambda acc: F.when(acc["at"] < x["end"], F.concat(acc["parts"], F.array(F.substring(x["hit"], acc["at"] - x["start"] + 1, x["end"] - acc["at"])))).otherwise(acc["parts"])
-        return F.aggregate(near, start, step, rest)
+            return F.filter(F.transform(F.sequence(F.lit(0), F.size(near)), part), lambda p: p != "")
+
+        return _let(before, lambda b: _let(F.slice("__merged", b + 1, upto - b), parts))
 
     def secret(x: Column) -> Column:
         # nothing is left of a candidate that base spans cover
         texts = F.filter(F.array_distinct(F.concat(F.array(x["hit"]), x["parts"])), lambda t: F.length(t) >= entropy.window)
         return (F.size(x["parts"]) > 0) & F.exists(texts, judged)
 
+    frame = frame.withColumns({"__merged": _merged(F.col("__base")), "__chunks": F.when(F.col("__runs").isNotNull() | (F.size("__base") > 0), F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))})
     frame = frame.withColumn("__runs", F.transform("__runs", lambda x: x.withField("parts", uncovered(x))))
     frame = frame.withColumn("__entropy", F.coalesce(_bare(F.filter("__runs", secret)), none))
     return frame.withColumn("__spans", F.when(F.size("__entropy") > 0, F.sort_array(F.concat("__base", "__entropy"))).otherwise(F.col("__base")))
@@ -155,15 +213,14 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
     Overlapping spans share one mask. Texts without a secret stay as they are, nulls too. length_col,
     if given, is a column that holds the text's length in characters and is set anew where the text changes.
     """
-    frame = _spanned(docs, text, entropy or Entropy())
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    frame = _spanned(docs, text, entropy or Entropy()).withColumn("__all", _merged(F.col("__spans")))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > acc["at"], F.substring(F.col("__t"), acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
-        new = F.when((x["start"] >= acc["at"]), F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], new).alias("out"))
+    def kept(k: Column) -> Column:
+        """What is before the k-th masked span and after the one before it, and the mask."""
+        end = F.coalesce(F.get("__all", k)["start"], F.length("__t"))
+        return F.concat(_cut(F.coalesce(F.get("__all", k - 1)["end"], F.lit(0)), end), F.when(k < F.size("__all"), F.lit(mask)).otherwise(F.lit("")))
 
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))))
+    masked = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__all")), kept), "")
     found = F.size("__spans") > 0
     frame = frame.withColumn("__new", F.when(found, masked))
     out = []

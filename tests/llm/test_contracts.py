@@ -497,3 +497,49 @@ def test_toxicity_model_is_the_same_by_keys(spark):
     asked = ["ab moronical", "é zz abcdef", None]
     by_rows = toxicity.Model([(r.e, r.lt, r.lo) for r in model.collect()], 0.01).likelihoods(asked)
     assert by_rows.tolist() == toxicity.Model.collected(model, 0.01).likelihoods(asked).tolist()
+
+
+def test_secret_scan_of_a_long_text(spark):
+    """Work grows with the text: positions, cover and masks of 12,000 tokens, and entropy tokens that no base kind covers are found."""
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words, spans, at = [], [], 0
+    for k in range(12_000):
+        if k % 6 == 0:
+            w = f"tok-{rng.getrandbits(64):016x}"  # both a hex span and a candidate that it covers in part
+            spans.append(("hex", at + 4, at + 20))
+        elif k % 6 == 1:
+            w = "".join(rng.choices(letters, k=40))
+            spans.append(("entropy", at, at + 40))
+        else:
+            w = "plain"
+        words.append(w)
+        at += len(w) + 1
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    found = {(s.kind, s.start, s.end) for s in secret_scan.scan_secrets(docs).first().spans}
+    planted = {s for s in spans if s[0] == "entropy"}
+    assert {s for s in found if s[0] == "hex"} >= {s for s in spans if s[0] == "hex"}
+    assert len(planted & found) >= 0.99 * len(planted) and all(s in planted for s in found if s[0] == "entropy" and s[2] - s[1] == 40)
+    masked = secret_scan.redact_secrets(docs).first().text.split(" ")
+    assert len(masked) == len(words) and [m for m, w in zip(masked, words) if w == "plain"] == ["plain"] * words.count("plain")
+    assert sum("[SECRET]" in m for m in masked) >= 0.99 * 4_000
+
+
+def test_planted_entropy_tokens_are_found(spark, docs):
+    """The entropy step on tokens of several kinds that no pattern covers, planted in the documents' own texts: its recall, and what it says of the rest."""
+    rng = random.Random(12)
+    kinds = {"token": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32), "url_safe": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 43), "upper_hex": ("0123456789ABCDEF", 40)}
+    rows, where = [], {}
+    for n, (i, text, _) in enumerate(docs):
+        name = list(kinds)[n % 3]
+        alphabet, size = kinds[name]
+        token = "".join(rng.choices(alphabet, k=size - 1)) + "7"
+        text = (text or "") + " "
+        where[n] = (name, len(text), len(text) + size)
+        rows.append((n, f"{text}{token} end"))
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "entropy"} for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for name in kinds:
+        own = [n for n, w in where.items() if w[0] == name]
+        assert sum(where[n][1:] in found[n] for n in own) >= 0.97 * len(own), name
+    extra = sum(len(found[n] - {where[n][1:]}) for n in where)
+    assert extra <= 0.02 * len(rows)
