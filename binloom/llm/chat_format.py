@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from binloom.llm.columns import chunks, cut, let, scanned
 from binloom.llm.shared import text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -85,18 +86,14 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         return F.transform(F.filter(t["parts"], lambda p: ~p["type"].eqNullSafe("text")), lambda p: F.struct(i.alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
 
     frame = frame.withColumns({"__pieces": F.flatten(F.transform("__turns", pieces)), "attachments": F.flatten(F.transform("__turns", attached))})
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["text"])
-        out = F.when(x["loss"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    ends = scanned(F.transform("__pieces", lambda p: F.length(p["text"])), lambda a, b: a + b)
+    placed = let(ends, lambda e: F.transform("__pieces", lambda p, i: F.when(p["loss"], F.struct((F.get(e, i) - F.length(p["text"])).alias("start"), F.get(e, i).alias("end")))))
 
     return frame.select(
         F.col("__conv").alias(conv),
         F.size("__turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("__pieces", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate("__pieces", start, step, lambda acc: acc["out"]).alias("loss_spans"),
+        F.array_compact(placed).alias("loss_spans"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
     )
@@ -116,4 +113,4 @@ def read_back(formatted: Column) -> Column:
 
 def learned_text(formatted: Column, loss_spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape_text(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return let(chunks(formatted), lambda c: F.array_join(F.transform(loss_spans, lambda s: unescape_text(cut(c, s["start"], s["end"]))), ""))

@@ -16,12 +16,12 @@ cut from pieces of the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from binloom.llm.columns import chunks, cut, leading, let, scanned
 from binloom.llm.shared import text_or_empty
 
 # The base patterns and the characters that each must have at least.
@@ -44,42 +44,11 @@ class Entropy:
     allowed: tuple[str, ...] = (r"^[^0-9]+$", r"^[0-9_=+/-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|changeme|xxxx", r"(?i)abcdefgh|qwertyui|01234567")
 
 
-#: Code points of a piece of a text from which parts are cut.
-CHUNK = 1024
 HEX_ALPHABET = "0123456789abcdef"
 TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN_RUN = r"[A-Za-z0-9+/_=-]"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _scanned(values: Column, add: Callable[[Column, Column], Column]) -> Column:
-    """Of an array, what `add` makes of all elements so far, by doubling distances: log n passes, and no append per element."""
-    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values))) - 1)
-
-    def doubled(so_far: Column, k: Column) -> Column:
-        far = F.call_function("shiftleft", F.lit(1), k)
-        return F.transform(so_far, lambda x, i: F.when(i >= far, add(F.get(so_far, i - far), x)).otherwise(x))
-
-    return F.aggregate(rounds, values, doubled)
-
-
-def _leading(values: Column, test: Callable[[Column], Column]) -> Column:
-    """How many elements come before the first that fails a test, which none after it passes; by halving."""
-    steps = F.transform(F.sequence(F.length(F.bin(F.size(values))) - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
-    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(test(F.get(values, found + step - 1)), found + step).otherwise(found))
-
-
-def _cut(start: Column, end: Column) -> Column:
-    """Code points start to end of the text, from its __chunks: what is before them isn't gone through again for every cut."""
-    first = F.floor(start / CHUNK).cast("int")
-    held = F.array_join(F.slice("__chunks", first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
-    return F.when(end > start, F.substring(held, start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
-
-
 def _placed(text: Column, pattern: str, rank: int) -> Column:
     """Spans and matched strings of all matches. The pieces between matches and the matches, laid end to end, give positions."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -87,10 +56,10 @@ def _placed(text: Column, pattern: str, rank: int) -> Column:
     pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())  # the piece after the last match has none
 
     def spans(found: Column) -> Column:
-        ends = _scanned(F.transform(found, lambda x: x["gap"] + x["long"]), lambda a, b: a + b)
-        return _let(ends, lambda e: F.transform(found, lambda x, i: F.struct((F.get(e, i) - x["long"]).alias("start"), F.lit(rank).alias("rank"), F.get(e, i).alias("end"), x["hit"].alias("hit"))))
+        ends = scanned(F.transform(found, lambda x: x["gap"] + x["long"]), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(found, lambda x, i: F.struct((F.get(e, i) - x["long"]).alias("start"), F.lit(rank).alias("rank"), F.get(e, i).alias("end"), x["hit"].alias("hit"))))
 
-    return _let(pairs, spans)
+    return let(pairs, spans)
 
 
 def _merged(spans: Column) -> Column:
@@ -98,9 +67,9 @@ def _merged(spans: Column) -> Column:
 
     def groups(tops: Column) -> Column:
         heads = F.array_compact(F.transform(spans, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(tops, i - 1)), F.struct(x["start"].alias("start"), i.alias("i")))))
-        return _let(heads, lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), F.get(tops, F.coalesce(F.get(h, k + 1)["i"], F.size(tops)) - 1).alias("end"))))
+        return let(heads, lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), F.get(tops, F.coalesce(F.get(h, k + 1)["i"], F.size(tops)) - 1).alias("end"))))
 
-    return _let(_scanned(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), groups)
+    return let(scanned(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), groups)
 
 
 def _bare(found: Column) -> Column:
@@ -143,7 +112,7 @@ def window_entropy(chars: Column, alphabet: str, window: int) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda acc: acc["best"])
 
-    return _let(F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1), over)
+    return let(F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1), over)
 
 
 def _spanned(docs: DataFrame, text: str, entropy: Entropy) -> DataFrame:
@@ -174,23 +143,23 @@ def _spanned(docs: DataFrame, text: str, entropy: Entropy) -> DataFrame:
 
     def uncovered(x: Column) -> Column:
         """The parts of a candidate outside all base spans."""
-        before = _leading(F.col("__merged"), lambda b: b["end"] <= x["start"])
-        upto = _leading(F.col("__merged"), lambda b: b["start"] < x["end"])
+        before = leading(F.col("__merged"), lambda b: b["end"] <= x["start"])
+        upto = leading(F.col("__merged"), lambda b: b["start"] < x["end"])
 
         def parts(near: Column) -> Column:
             def part(k: Column) -> Column:
-                return _cut(F.coalesce(F.get(near, k - 1)["end"], x["start"]), F.coalesce(F.get(near, k)["start"], x["end"]))
+                return cut("__chunks", F.coalesce(F.get(near, k - 1)["end"], x["start"]), F.coalesce(F.get(near, k)["start"], x["end"]))
 
             return F.filter(F.transform(F.sequence(F.lit(0), F.size(near)), part), lambda p: p != "")
 
-        return _let(before, lambda b: _let(F.slice("__merged", b + 1, upto - b), parts))
+        return let(before, lambda b: let(F.slice("__merged", b + 1, upto - b), parts))
 
     def secret(x: Column) -> Column:
         # nothing is left of a candidate that base spans cover
         texts = F.filter(F.array_distinct(F.concat(F.array(x["hit"]), x["parts"])), lambda t: F.length(t) >= entropy.window)
         return (F.size(x["parts"]) > 0) & F.exists(texts, judged)
 
-    frame = frame.withColumns({"__merged": _merged(F.col("__base")), "__chunks": F.when(F.col("__runs").isNotNull() | (F.size("__base") > 0), F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))})
+    frame = frame.withColumns({"__merged": _merged(F.col("__base")), "__chunks": F.when(F.col("__runs").isNotNull() | (F.size("__base") > 0), chunks(F.col("__t")))})
     frame = frame.withColumn("__runs", F.transform("__runs", lambda x: x.withField("parts", uncovered(x))))
     frame = frame.withColumn("__entropy", F.coalesce(_bare(F.filter("__runs", secret)), none))
     return frame.withColumn("__spans", F.when(F.size("__entropy") > 0, F.sort_array(F.concat("__base", "__entropy"))).otherwise(F.col("__base")))
@@ -218,7 +187,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
     def kept(k: Column) -> Column:
         """What is before the k-th masked span and after the one before it, and the mask."""
         end = F.coalesce(F.get("__all", k)["start"], F.length("__t"))
-        return F.concat(_cut(F.coalesce(F.get("__all", k - 1)["end"], F.lit(0)), end), F.when(k < F.size("__all"), F.lit(mask)).otherwise(F.lit("")))
+        return F.concat(cut("__chunks", F.coalesce(F.get("__all", k - 1)["end"], F.lit(0)), end), F.when(k < F.size("__all"), F.lit(mask)).otherwise(F.lit("")))
 
     masked = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__all")), kept), "")
     found = F.size("__spans") > 0
