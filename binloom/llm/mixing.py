@@ -16,7 +16,10 @@ largest sizes to the smallest, it gets the copy or not, and what is missing or t
 the words taken differ from the target by about one document, however large the source, and no group
 grows with the input: a pass has 2 ** LEVEL_BITS ranges a band at most.
 
-Defined results: null and empty texts have size 0 and are taken 0 times or as their rate says, which
+Constraints that overlap (a source, a language and a size band, say) couple the multipliers; `plan_constrained` solves the
+same dual for them by Newton steps of one aggregation each, and rounds by patterns of constraints as by sources.
+
+Defined results: tables without rows give none; null and empty texts have size 0 and are taken 0 times or as their rate says, which
 takes no words; null sources are a source of their own, the last; sources without words have the
 target 0; repeated rows share a hash and are treated alike; results depend on ids and sizes alone, so
 reruns agree.
@@ -24,10 +27,13 @@ reruns agree.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.llm.shared import stored
+from binloom.llm.shared import dropped, stored
 
 BANDS = 24
 HASH_BITS, LEVEL_BITS = 63, 12
@@ -70,6 +76,84 @@ def balanced_rates(targets: DataFrame, cap: float) -> DataFrame:
     return out.withColumn("rate", F.coalesce(F.least(F.lit(float(cap)), F.round(F.exp("multiplier"), 12)), F.lit(0.0)))
 
 
+def constrained_rates(cells: DataFrame, targets: list[float], cap: float) -> DataFrame:
+    """Rates of cells (__source, n), documents that meet the same constraints: __source has a 1 at each constraint met, else a 0.
+
+    Constraints may overlap, so the dual has an equation per constraint in all multipliers. It is sum(n * f(s)) - sum(target * m)
+    with s the sum of a cell's multipliers, f(s) = exp(s) up to the cap and straight on from there; its gradient is what the
+    mix takes too much of each constraint, its second derivatives the words that two constraints share, below the cap. Each
+    Newton step is one aggregation; a step is halved until the dual falls. Targets that no rates up to the cap can meet are an error.
+    """
+    spark = cells.sparkSession
+    cells = stored(spark, cells.groupBy("__source").agg(F.sum("n").alias("words")).where("words > 0"), "mix-cells")
+    count = len(targets)
+    met = [F.substring("__source", j + 1, 1) == "1" for j in range(count)]
+
+    def tilt(m: list[float]) -> Column:
+        return sum((F.when(met[j], F.lit(m[j])).otherwise(F.lit(0.0)) for j in range(count)), F.lit(0.0))
+
+    def sums(m: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        s, top = tilt(m), math.log(cap)
+        rate = F.exp(F.least(s, F.lit(top)))
+        value = rate + cap * F.greatest(s - top, F.lit(0.0))
+        bend = F.when(s < top, F.col("words") * rate).otherwise(F.lit(0.0))
+        firsts = [F.sum(F.when(x, F.col("words") * rate).otherwise(F.lit(0.0))) for x in met]
+        seconds = [F.sum(F.when(met[j] & met[k], bend).otherwise(F.lit(0.0))) for j in range(count) for k in range(j + 1)]
+        row = cells.agg(*[c.alias(f"c{i}") for i, c in enumerate([F.sum(F.col("words") * value), *firsts, *seconds])]).first()
+        total, flat = row[0] or 0.0, [x or 0.0 for x in row[1 + count :]]
+        gradient = [(row[1 + j] or 0.0) - targets[j] for j in range(count)]
+        bends = [[flat[max(j, k) * (max(j, k) + 1) // 2 + min(j, k)] for k in range(count)] for j in range(count)]
+        return total - sum(t * x for t, x in zip(targets, m, strict=True)), gradient, bends
+
+    m = [0.0] * count
+    value, gradient, bends = sums(m)
+    enough = 1e-9 * max(1.0, *targets)
+    for _ in range(NEWTON_STEPS):
+        if max(map(abs, gradient), default=0.0) <= enough:
+            break
+        step, far = _solved(bends, gradient), 1.0
+        far = min(1.0, 4.0 / max(1e-9, *map(abs, step)))
+        while far > 1e-6:
+            tried = [x - far * d for x, d in zip(m, step, strict=True)]
+            found = sums(tried)
+            if found[0] <= value - 1e-4 * far * sum(g * d for g, d in zip(gradient, step, strict=True)) or max(map(abs, found[1])) < 0.5 * max(map(abs, gradient)):
+                break
+            far /= 2
+        m, (value, gradient, bends) = tried, found
+    if max(map(abs, gradient), default=0.0) > 1e-3 * max(1.0, *targets):
+        raise ValueError("no rates up to the cap meet these targets")
+    rate = F.round(F.exp(F.least(tilt(m), F.lit(math.log(cap)))), 12)
+    return cells.select("__source", "words", (rate * F.col("words")).alias("target"), rate.alias("rate"))
+
+
+def _solved(rows: list[list[float]], right: list[float]) -> list[float]:
+    """x of rows x = right, for a few rows; a little is added to the diagonal, so that constraints that repeat each other do no harm."""
+    n, most = len(right), max(1e-300, *(abs(rows[k][k]) for k in range(len(right))))
+    a = [[x + (1e-12 * most if i == k else 0.0) for k, x in enumerate(row)] + [b] for i, (row, b) in enumerate(zip(rows, right, strict=True))]
+    for k in range(n):
+        p = max(range(k, n), key=lambda i: abs(a[i][k]))
+        a[k], a[p] = a[p], a[k]
+        for i in range(n):
+            if i != k:
+                f = a[i][k] / a[k][k]
+                a[i] = [x - f * y for x, y in zip(a[i], a[k], strict=True)]
+    return [a[k][n] / a[k][k] for k in range(n)]
+
+
+def plan_constrained(docs: DataFrame, constraints: list[tuple[Column, float]], cap: float = 3.0, id_col: str = "doc_id", size: str = "size") -> DataFrame:
+    """docs with __rate and __copies such that each constraint's documents have about its target of words together.
+
+    A constraint is a condition on documents and a number of words: a source, a language, a size band, the whole. Documents
+    may meet several or none; those that meet none have the rate 1. A null condition is not met. Columns of docs named __rate and
+    __copies are replaced. The pattern of constraints
+    takes the place of the source in what follows.
+    """
+    pattern = F.concat(*[F.when(F.coalesce(c, F.lit(False)), "1").otherwise("0") for c, _ in constraints])
+    packed = docs.select(F.struct("*").alias("__row"), docs[id_col].alias("__id"), docs[size].cast("long").alias("__size"), pattern.alias("__pattern"))
+    planned = _planned(packed, lambda sizes: constrained_rates(sizes, [t for _, t in constraints], cap), cap, "__id", "__pattern", "__size")
+    return planned.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in ("__rate", "__copies")], "__rate", "__copies")
+
+
 def _band(size: Column) -> Column:
     return F.least(F.lit(BANDS - 1), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
 
@@ -100,7 +184,8 @@ def _last_taken(sizes: DataFrame, rates: DataFrame) -> DataFrame:
         # sums of floats may leave as much owed as there is: then it is the last range
         found = found.where((F.col("upto") - F.col("n") <= F.col("owed")) & ((F.col("owed") < F.col("upto")) | (F.col("upto") == F.col("total"))) & (F.col("n") > 0))
         found = found.select("s", "b", (F.col("owed") - F.col("upto") + F.col("n")).alias("owed"), "n", "h", (F.col("h") == F.col("last")).alias("single"))
-        state = stored(spark, state.where("single").unionByName(found), "mix-state")
+        older, state = state, stored(spark, state.where("single").unionByName(found), "mix-state")
+        dropped(older)
     return state
 
 
@@ -122,11 +207,19 @@ def _rounding(sizes: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, id_col: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
-    """docs, which need a column of sizes, with __words and __target of their source, __rate, and __copies, at most cap rounded down."""
+    """docs, which need a column of sizes, with __words and __target of their source, __rate, and __copies, at most cap rounded down. Columns of docs with these four names are replaced."""
+    packed = docs.select(F.struct("*").alias("__row"), docs[id_col].alias("__id"), docs[source].alias("__src"), docs[size].alias("__size"))
+    planned = _planned(packed, lambda sizes: balanced_rates(source_targets(sizes, weights, "__source", "n", cap), cap), cap, "__id", "__src", "__size")
+    added = ["__words", "__target", "__rate", "__copies"]
+    return planned.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in added], *added)
+
+
+def _planned(docs: DataFrame, solve: Callable[[DataFrame], DataFrame], cap: float, id_col: str, source: str, size: str) -> DataFrame:
     spark, band, place = docs.sparkSession, _band(F.col(size)), _hash(F.col(id_col), F.col(size))
     sizes = stored(spark, docs.select(F.col(source).alias("__source"), band.alias("band"), place.alias("h"), F.col(size).cast("long").alias("n")), "mix-sizes")
-    rates = stored(spark, balanced_rates(source_targets(sizes, weights, "__source", "n", cap), cap), "mix-rates")
+    rates = stored(spark, solve(sizes), "mix-rates")
     table = stored(spark, _rounding(sizes, rates), "mix-table")
+    dropped(sizes, rates)
     extra = (place <= F.element_at("__bounds", band)).cast("int")
     copies = F.least(F.lit(int(cap)), F.floor("__rate").cast("int") + F.coalesce(extra, F.lit(0)))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:

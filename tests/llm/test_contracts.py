@@ -543,3 +543,37 @@ def test_planted_entropy_tokens_are_found(spark, docs):
         assert sum(where[n][1:] in found[n] for n in own) >= 0.97 * len(own), name
     extra = sum(len(found[n] - {where[n][1:]}) for n in where)
     assert extra <= 0.02 * len(rows)
+
+
+def test_overlapping_constraints_are_balanced(spark):
+    """Languages, long texts and the whole at once: targets are met, rates are products of one factor per constraint, and no other rates that meet them are nearer to 1."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice(["en", "en", "de", "fr"]), int(rng.lognormvariate(5, 1.2)), "x") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, size long, __rate string")
+    tests = [lambda r: r[1] == "en", lambda r: r[1] == "de", lambda r: r[2] > 300, lambda r: True]
+    words = [sum(r[2] for r in rows if t(r)) for t in tests]
+    targets = [0.4 * words[0], 2.0 * words[1], 0.7 * words[2], 0.8 * words[3]]
+    conditions = [F.col("lang") == "en", F.col("lang") == "de", F.col("size") > 300, F.lit(True)]
+    found = {r.doc_id: (r["__rate"], r["__copies"]) for r in mixing.plan_constrained(docs, list(zip(conditions, targets))).collect()}
+    assert len(found) == len(rows)
+    for t, target in zip(tests, targets):
+        assert sum(r[2] * found[r[0]][0] for r in rows if t(r)) == pytest.approx(target, rel=1e-6)
+        assert sum(r[2] * found[r[0]][1] for r in rows if t(r)) == pytest.approx(target, rel=0.02)
+    assert max(c for _, c in found.values()) <= 3
+    rate = {tuple(t(r) for t in tests): found[r[0]][0] for r in rows}
+    log = lambda lang, long: math.log(rate[lang == "en", lang == "de", long, True])
+    assert max(rate.values()) < 3 and log("en", True) - log("en", False) == pytest.approx(log("fr", True) - log("fr", False)) == pytest.approx(log("de", True) - log("de", False))
+    with pytest.raises(ValueError):
+        mixing.plan_constrained(docs, [(F.lit(True), 4.0 * words[3])])
+    capped = mixing.plan_constrained(docs, [(F.col("lang") == "de", 3.0 * words[1]), (F.lit(True), 1.2 * words[3])]).where("lang = 'de'").select("__rate").distinct().collect()
+    assert [r[0] for r in capped] == [pytest.approx(3.0)]
+    assert mixing.plan_constrained(docs.limit(0), [(F.lit(True), 0.0)]).count() == 0
+
+
+def test_a_plan_replaces_columns_of_its_own_names(spark):
+    rows = [(i, "ab"[i % 2], 10 + i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("__words", "__target", "__rate", "__copies", "__bounds", "__source", "h", "band")])
+    plain, other = mixing.plan_mix(docs), mixing.plan_mix(more)
+    assert sorted(other.select(plain.columns).collect()) == sorted(plain.collect())
+    assert {tuple(r) for r in other.select("__bounds", "__source", "h", "band").collect()} == {("x",) * 4}
