@@ -19,7 +19,9 @@ overlap by more than a match.
 
 Defined results: null, empty and wordless documents or items match nothing; an item of fewer than
 three words, or too short for an edit, matches whole words only; repeated rows match alike; of matches
-of one item in one document the nearest is reported, ties by the first end.
+of one item in one document the nearest is reported, ties by the first end. Tables without rows give no matches, and
+without items every document stays; other columns, whatever their names, are not read by find_passages and kept by
+drop_contaminated.
 """
 
 from __future__ import annotations

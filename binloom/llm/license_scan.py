@@ -11,7 +11,8 @@ documents are not shuffled.
 
 Defined results: null and empty texts match nothing; a text of several canonical forms is impossible,
 as the rules run in one order; repeated rows match alike; a known text that two licences share is
-reported for both.
+reported for both, and that is the only tie. Long texts are made canonical whole; an empty table gives
+an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

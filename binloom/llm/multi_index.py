@@ -80,13 +80,15 @@ class Index:
     def cells(self) -> int:
         return len(self.halves[0]) * len(self.halves[1])
 
-    def distances(self, x: np.ndarray) -> list[np.ndarray]:
-        return [squares(x[:, : self.cut], self.halves[0]), squares(x[:, self.cut :], self.halves[1])]
-
     def cell_of(self, x: np.ndarray) -> np.ndarray:
-        one, other = self.distances(x)
+        one, other = squares(x[:, : self.cut], self.halves[0]), squares(x[:, self.cut :], self.halves[1])
         return one.argmin(axis=1) * len(self.halves[1]) + other.argmin(axis=1)
 
+    def order(self, q: np.ndarray) -> Iterator[int]:
+        """The cells in a query's order. Distances are summed vector by vector, so that they don't depend on what is searched along with it."""
+        one, other = (((c - half) ** 2).sum(axis=1) for c, half in zip(self.halves, (q[: self.cut], q[self.cut :]), strict=True))
+        return cells_from(one, other)
+
 
 def _entries(index: Index, keep: int):
     """(cell, h, v, ids): the vectors of a task, each once, with its least ids. h is a hash of the vector."""
@@ -175,9 +177,9 @@ def _true_neighbours(ids: np.ndarray, q: np.ndarray, k: int):
 def depth(index: Index, sizes: np.ndarray, q: np.ndarray, wanted_cells: list[list[int]], share: float) -> int:
     """How many entries a search must see to open the cells of this share of the wanted ones."""
     need: list[int] = []
-    for one, other, cells in zip(*index.distances(q), wanted_cells, strict=True):
+    for vector, cells in zip(q, wanted_cells, strict=True):
         left, seen = list(cells), 0
-        for cell in cells_from(one, other):
+        for cell in index.order(vector):
             while cell in left:
                 left.remove(cell)
                 need.append(seen)
@@ -206,9 +208,9 @@ def _probes(index: Index, cells, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, first, many = cells.value
         for batch in batches:
-            for k, (one, other) in enumerate(zip(*index.distances(matrix(batch.column(1), index.length)), strict=True)):
+            for k, vector in enumerate(matrix(batch.column(1), index.length)):
                 opened, seen = [], 0
-                for cell in cells_from(one, other):
+                for cell in index.order(vector):
                     if sizes[cell]:
                         opened.append(cell)
                         seen += int(sizes[cell])

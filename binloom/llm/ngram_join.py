@@ -22,7 +22,9 @@ size and not its square. Verification compares the hashed sets whole.
 
 Defined results: null, empty or wordless texts have no set, link with nothing, and are their own
 component; texts shorter than n words are one shingle of all their words; rows that repeat an id or a
-text are members of one class; a null id is nobody's least id unless all ids of a component are null.
+text are members of one class; a null id is nobody's least id unless all ids of a component are null; very long texts are
+read whole, their sets travel as 8 bytes a shingle; an empty table gives an empty one; other columns, whatever their
+names, are not read by near_duplicates and are kept by keep_one.
 """
 
 from __future__ import annotations

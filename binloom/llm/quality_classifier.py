@@ -11,7 +11,9 @@ drawn by a hash of id and text), and then scores every document. It generalises
 look at.
 
 Defined results: null, empty and wordless texts get votes like any other and the score of the bias
-alone; ties have equal posteriors and scores; without any documents the result is empty.
+alone; ties and repeated rows have equal posteriors and scores, and count each in the patterns; very long texts are
+read whole, by the labellers and by the scorer; without any documents the result is empty; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

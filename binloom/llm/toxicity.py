@@ -23,7 +23,8 @@ shuffle, with the same result.
 Defined results: null, empty and wordless texts have the difference 0; several labels of one document
 count as toxic if one is; null labels and ids are left out of learning; without toxic or ordinary
 documents to count every score is the share of toxic ones, 0 if there are none. Two imagined documents, one of each class,
-keep the curve finite where few are left to fit it.
+keep the curve finite where few are left to fit it. Repeated rows count each and score alike; very long texts are taken apart
+whole; an empty table of documents gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
