@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) that works on all that the stage before kept. All but the last
 return the columns of their input; the last adds `copy`, the number of a document's copy.
+
+Odd rows: a null, empty or wordless text fails the quality rules, so it goes in the first stage; texts are read whole,
+however long; a null source is a source of its own; documents without an id stay unless a rule speaks against them, and
+of rows that repeat an id one stays after the second stage; rows that tie or repeat each other are judged alike. Without
+documents each stage gives none; without labels the built-in references hold; without benchmark items none goes for
+them. Other columns are kept whatever their names, but for one named `copy`, which the last stage replaces.
 """
 
 from __future__ import annotations
