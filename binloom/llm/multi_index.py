@@ -135,12 +135,13 @@ def _first_k(row: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> np.nd
 def _ranked(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int, opened: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, id, squared distance, place of the entry) of each query's k nearest of the entries opened to it, its own id left out.
 
-    The matrix product finds who may be among the k + 1 nearest entries; their distances are then summed component by component.
+    The matrix product finds who may be among the k + 1 nearest entries of different ids; their distances are then summed component by component.
     """
     far = squares(q, x)
     if opened is not None:
         far[~opened] = np.inf
-    at = min(k, len(x) - 1)
+    held = np.concatenate([np.array(i, np.int64) for i in ids])
+    at = min(k + len(held) - len(np.unique(held)), len(x) - 1)  # entries that share an id count once
     most = np.partition(far, at, axis=1)[:, at]
     slack = 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max())
     row, entry = np.nonzero((far <= (most + slack)[:, None]) & (far < np.inf))
@@ -296,17 +297,30 @@ def nearest_neighbours(vectors: DataFrame, asked: Column, k: int = 10, share: fl
             cells[r.q].append(r.cell)
         least = depth(index, sizes, q, cells, share)
 
+    best = stored(spark, _searched(index, entries, sizes, queries, max(least, k + 1), k), "neighbours")
+    # entries that share an id may leave a query with less than it could have; it goes through all cells then
+    full = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stored(spark, queries.join(full, "id", "left_anti"), "short")
+    if short.limit(1).count():
+        older, again = best, _searched(index, entries, sizes, short, n + 1, k)
+        best = stored(spark, older.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again), "neighbours")
+        dropped(older)
+    dropped(entries, queries, short)
+    return best
+
+
+def _searched(index: Index, entries: DataFrame, sizes: np.ndarray, queries: DataFrame, least: int, k: int) -> DataFrame:
+    """The k nearest of each query among the entries of the cells that it opens until they hold `least`."""
+    spark = entries.sparkSession
     first, many = blocks_of(sizes)
     counted = spark.sparkContext.broadcast((sizes, first, many))
-    probes = stored(spark, queries.mapInArrow(_probes(index, counted, max(least, k + 1)), "id long, v array<double>, block int, cells array<int>"), "probes")
-    # a row per cell and block of a full cell, at most MOST_CENTROIDS squared and n / ROWS; the second by a join that Spark chooses
+    probes = stored(spark, queries.mapInArrow(_probes(index, counted, least), "id long, v array<double>, block int, cells array<int>"), "probes")
+    # a row per cell that has entries, at most MOST_CENTROIDS squared; blocks are joined as Spark chooses
     held = np.flatnonzero(sizes)
     by_cell = F.broadcast(spark.createDataFrame(pa.table({"cell": held.astype(np.int32), "first": first[held], "many": many[held]})))
     by_block = probes.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
     placed = entries.join(by_cell, "cell").select("v", "ids", "cell", (F.col("first") + F.pmod("h", F.col("many")).cast("int")).alias("block"))
     asked_blocks = probes.join(by_block, "block").select("id", "v", "cells", "block", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("qb"))
     entry_blocks = placed.join(by_block, "block").select("v", "ids", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"))
-    found = asked_blocks.groupBy("block", "qb").cogroup(entry_blocks.groupBy("block", "qb")).applyInArrow(_reranked(length, k), "query_id long, vec_id long, score double")
-    result = stored(spark, _best(found, "query_id", "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "neighbours")
-    dropped(entries, queries, probes)
-    return result
+    found = asked_blocks.groupBy("block", "qb").cogroup(entry_blocks.groupBy("block", "qb")).applyInArrow(_reranked(index.length, k), "query_id long, vec_id long, score double")
+    return _best(found, "query_id", "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
