@@ -7,8 +7,8 @@ and on repeated five-word windows come first.
 
 References and limits are parameters. `measured_rules` measures both on documents that are known to be good, with partial
 sums and a row per language; the built-in ones weigh in like so many words and documents, less and less the more there are.
-Texts are taken apart once: what is counted in them is stored, a few hundred bytes a document, and references, limits and
-verdicts are drawn from that, without a shuffle of documents.
+What is counted in texts is stored, a few hundred bytes a document; a report draws references, limits and verdicts from that,
+so texts are taken apart once. Documents are not shuffled.
 
 Defined results: tables without rows give none, and the built-in rules; very long texts are counted whole, in n log n; a
 null or empty text has no words and fails the base rules; a null or unknown
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.shared import shared_dir, stored, text_or_empty, words
+from binloom.llm.shared import dropped, shared_dir, stored, text_or_empty, words
 
 # Frequent words of each language, the most frequent first.
 COMMON_WORDS = {
@@ -136,21 +136,23 @@ def _word_histogram(listed: list[str]) -> Column:
     return F.array(*counts, F.col("__n") - seen)
 
 
-def measures(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
-    """docs packed in __row (of the columns `keep` alone, if given) with all that is counted in a text: what references are fitted on and documents are judged by. Only the rules' lists and lengths count here, not their references or limits.
-
-    A table in the shared folder: a plan that goes on from there would write the measures out in terms of the text, many times over.
-    """
-    rules = rules or Rules()
-    shared_dir(docs.sparkSession)
+def _counted(docs: DataFrame, rules: Rules, text: str, lang: str | None, keep: list[str] | None = None) -> DataFrame:
     frame = _measured(docs, rules, text, lang)
     frame = frame.withColumn("__failed", (F.col("__n") < rules.min_words) | (100 * F.col("__repeat") > rules.max_repeat_percent * F.col("__n")))
     listed = list(rules.common_words)
     needed = lambda k: F.col("__lang").eqNullSafe(k) | ~F.coalesce(F.col("__lang").isin(listed), F.lit(False))
     frame = frame.withColumns({f"__hist_{i}": F.when(needed(k), _word_histogram(ws)) for i, (k, ws) in enumerate(rules.common_words.items())})
     row = F.struct(*[F.col("__row")[c].alias(c) for c in keep]) if keep else F.col("__row")
-    counted = frame.select(row.alias("__row"), "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", "__repeat", "__failed", "__classes", *[f"__hist_{i}" for i in range(len(listed))])
-    return stored(docs.sparkSession, counted, "measures")
+    return frame.select(row.alias("__row"), "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", "__repeat", "__failed", "__classes", *[f"__hist_{i}" for i in range(len(listed))])
+
+
+def measures(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
+    """docs packed in __row (of the columns `keep` alone, if given) with all that is counted in a text: what references are fitted on and documents are judged by. Only the rules' lists and lengths count here, not their references or limits.
+
+    A table in the shared folder: a plan that goes on from there would write the measures out in terms of the text, many times over.
+    """
+    shared_dir(docs.sparkSession)
+    return stored(docs.sparkSession, _counted(docs, rules or Rules(), text, lang, keep), "measures")
 
 
 def _judged(measured: DataFrame, rules: Rules) -> DataFrame:
@@ -177,9 +179,14 @@ def quality_report(docs: DataFrame, rules: Rules | None = None, id_col: str = "d
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    The row number keeps the filter above the measures: pushed below them, it would be written out in terms of the text, each
+    measure many times over. A stored table would do as well, but would hold all texts once more.
+    """
     rules = rules or Rules()
-    return _judged(measures(docs, rules, text, lang), rules).where("__kept").select("__row.*")
+    frame = _judged(_counted(docs, rules, text, lang), rules).withColumn("__at", F.monotonically_increasing_id())
+    return frame.where(F.col("__kept") & (F.col("__at") >= 0)).select("__row.*")
 
 
 def report_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
@@ -189,9 +196,11 @@ def report_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
-    """keep_good by rules that are measured on the documents labelled good. Texts are taken apart once."""
-    measured = measures(docs, None, text, lang)
-    return _judged(measured, measured_rules(_good(measured, labels, id_col, label))).where("__kept").select("__row.*")
+    """keep_good by rules that are measured on the documents labelled good. These documents' texts are taken apart twice, since only counts are stored."""
+    measured = measures(known_good(docs, labels, id_col, label), None, text, lang, [id_col])
+    rules = measured_rules(measured)
+    dropped(measured)
+    return keep_good(docs, rules, text, lang)
 
 
 def _good(measured: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:

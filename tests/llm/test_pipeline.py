@@ -33,7 +33,7 @@ def place(spark, tmp_path_factory):
         around = base[k % len(base)][1].split(" ")
         added.append((2000 + k, f"{' '.join(around[:20])} {_spoiled(item, int(len(item) * 0.08), rng)} {' '.join(around[20:45])}", base[k % len(base)][2], "leaks"))
     for k, d in enumerate(base[8:12]):
-        added.append((3000 + k, f"{d[1]} password = hunter2hunter2{k} {KEY} end", d[2], None))
+        added.append((3000 + k, f"{' '.join(reversed(d[1].split()))} password = hunter2hunter2{k} {KEY} end", d[2], None))
     odd = [(4000, None, None, None), (4001, "", "en", "a"), (4002, " \n\t", "en", "a"), (4003, "same words " * 400, "en", "a"), (None, base[0][1] + " without an id", "en", "a")]
     rows = [(*d, len(d[1]) if d[1] is not None else None) for d in docs + added + odd]
     spark.createDataFrame(rows, CODE).repartition(3).write.parquet(f"{where}/documents.parquet")
