@@ -155,8 +155,8 @@ def key_at(df: DataFrame, order: Sequence[str | Column], rank: int, rows: int |
     return part.orderBy("key").limit(rank).collect()[-1].key
 
 
-def _literal(df: DataFrame, key) -> Column:
-    fields = df.schema["key"].dataType.fields
+def _literal(df: DataFrame, key, name: str = "key") -> Column:
+    fields = df.schema[name].dataType.fields
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, fields, strict=True)])
 
 
@@ -171,18 +171,20 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int | None = None, rate:
     if wanted <= 0:
         return df.where(F.lit(False))
     keys = [*_columns(order), F.xxhash64(*[F.col(c) for c in df.columns])]
-    held = df.select("*", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keys)]).alias("key"))
+    key = "__scan_key"
+    held = df.select("*", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keys)]).alias(key))
     bound = key_at(df, keys, wanted, rows)
     if isinstance(order[0], str) and bound[0] is not None:
         # says of the first column alone what the scan can skip
         held = held.where(F.col(order[0]).isNull() | (F.col(order[0]) <= F.lit(bound[0]).cast(df.schema[order[0]].dataType)))
-    last = _literal(held, bound)
-    under, same = held.where(F.col("key") < last).drop("key"), held.where(F.col("key") == last).drop("key")
-    counts = held.agg(F.count_if(F.col("key") < last).alias("under"), F.count_if(F.col("key") == last).alias("same")).first()
+    last = _literal(held, bound, key)
+    under, same = held.where(F.col(key) < last).drop(key), held.where(F.col(key) == last).drop(key)
+    counts = held.agg(F.count_if(F.col(key) < last).alias("under"), F.count_if(F.col(key) == last).alias("same")).first()
     left = wanted - counts.under
     if left == counts.same:
-        return held.where(F.col("key") <= last).drop("key")
-    return under.unionAll(df.sparkSession.range(left).crossJoin(F.broadcast(same.limit(1))).drop("id"))
+        return held.where(F.col(key) <= last).drop(key)
+    again = df.sparkSession.range(left).select(F.col("id").alias("__scan_copy"))
+    return under.unionAll(again.crossJoin(F.broadcast(same.limit(1))).drop("__scan_copy"))
 
 
 def seeded_hash(key: Column, seed: int) -> Column:

@@ -66,6 +66,8 @@ def test_first_rows_of_ties_and_repeats(spark):
     for n in (1, 2, 5, 9, 10, 100, 211, 212):
         found = scans.first_rows(frame, ["a"], n).collect()
         assert len(found) == n and sum(r.a is None for r in found) == min(n, 2) and sum(r.a == 4 for r in found) == max(0, min(n - 2, 7))
+    named = frame.select("a", F.col("b").alias("id"), F.lit("k").alias("key"))
+    assert scans.first_rows(named, ["a"], 100).columns == ["a", "id", "key"] and {r.key for r in scans.first_rows(named, ["a"], 100).collect()} == {"k"}
     assert scans.first_rows(frame, ["a"], rate=0.5).count() == 106 and scans.first_rows(frame.limit(0), ["a"], rate=0.5).count() == 0
 
 
