@@ -142,3 +142,41 @@ def test_stream_is_matched_with_a_table(spark, tmp_path):
     out = linkage.matched(stream, spark.range(3, 5), "id").writeStream.format("memory").queryName("matched").trigger(availableNow=True).start()
     out.awaitTermination(60)
     assert sorted(r.id for r in spark.table("matched").collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("at_once", [5, 64, 1 << 20])
+def test_signatures_are_plain_minima(spark, monkeypatch, at_once):
+    """Texts in parts and together, many kinds of characters, null and repeated ids, against minima one shingle at a time."""
+    from hashlib import md5
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é\U0001f600") for _ in range(rng.randint(0, 40))) for _ in range(30)] + [None, "", "abc", "".join(map(chr, rng.sample(range(0x100, 0xD000), 3000)))]
+    rows = [(i // 2 if i else None, t) for i, t in enumerate(texts)]
+    expected: dict[int | None, list[int]] = {}
+    for i, t in rows:
+        hashes = [int(md5(t[k : k + 4].encode()).hexdigest()[:7], 16) for k in range(len(t or "") - 3)]
+        least = [min([(h * a + b) % minhash.MODULUS for h in hashes], default=minhash.MODULUS - 1) for a, b in P.coefficients]
+        expected[i] = list(map(min, least, expected.get(i, least)))
+    found = minhash.Minima(P)
+    monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+    assert found.of_texts([t and t.encode() for t in texts]).T.tolist() == [[min([(int(md5(t[k : k + 4].encode()).hexdigest()[:7], 16) * a + b) % minhash.MODULUS for k in range(len(t or "") - 3)], default=minhash.MODULUS - 1) for a, b in P.coefficients] for t in texts]
+    signed = minhash.signature(spark.createDataFrame(rows, "rec_id long, text string"), P).collect()
+    assert {r[0]: list(r[1:]) for r in signed} == expected and len(signed) == len(expected)
+
+
+def test_numbers_of_shingles_of_many_characters():
+    """More kinds of characters than fit in one number: shingles are numbered anew on the way."""
+    import numpy as np
+
+    points = np.random.default_rng(1).integers(0, 0x110000, 20_000).astype(np.uint32)
+    points[10_000:] = points[:10_000]
+    run = minhash._numbered(points, 4)
+    assert (run[: 10_000 - 3] == run[10_000:]).all() and len(np.unique(run[: 10_000])) == 10_000
+    first, which = minhash._places(run)
+    assert (run[first][which] == run).all()
+
+
+def test_tokens_that_are_null_say_nothing(spark):
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, ["b", "a"]), (3, [None]), (4, []), (5, None)], "rec_id int, text array<string>")
+    signed = {r[0]: r[1:] for r in minhash.signature(rows, P).collect()}
+    assert signed[1] == signed[2] and signed[3] == signed[4] == signed[5] == (minhash.MODULUS - 1,) * P.permutations
