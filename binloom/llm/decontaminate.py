@@ -1,7 +1,8 @@
 """Benchmark decontamination: passages of a benchmark found in documents in spite of edits.
 
 Texts are compared in lower case with single spaces. A document holds an item if some part of it is
-within max_edit_rate edits per character of the item, wherever the edits fall. The search loses none of these:
+within max_edit_rate edits per character of the item, wherever the edits fall. Places are found by pieces, which lose
+none of these, and then by walks, which reach a target recall:
 
 * an item of L characters that may take k edits is cut into L // q pieces of q characters. An edit
   spoils one piece at most, so need = L // q - k pieces stand unchanged in any match;
@@ -10,10 +11,14 @@ within max_edit_rate edits per character of the item, wherever the edits fall. T
   item and every place in a word; q is the largest that leaves LEAST_PIECES pieces, if any does;
 * each edit spoils at most GRAM of the item's strings of GRAM characters; a candidate without the
   others, counted with and without repeats, is left;
-* a candidate is verified exactly: the least edit distance of the item to any part of the document
+* at what is left, windows of the item's length are embedded by CGK walks: a walk copies a character a step and moves
+  on, or stays, by a random bit of step and character, so that texts within few edits soon walk in step again and
+  differ in few places. Bit sampling hashes some places of a walk, several times a walk; a candidate of which no window
+  shares a hash with the item is left. Walks and tables are independent repetitions, by which the target recall is met;
+* what remains is verified exactly: the least edit distance of the item to any part of the document
   around it, by bit-parallel dynamic programming.
 
-Pieces are compared by hash, which may add candidates but loses none. Items go to the executors in
+Pieces are compared by hash, which may add candidates but loses none; walks lose what their recall lacks. Items go to the executors in
 blocks of bounded size, one pass each; documents are never shuffled, long ones are read in parts that
 overlap by more than a match.
 
@@ -44,13 +49,64 @@ LONGEST_PIECE, LEAST_PIECES = 6, 4
 GRAM = 4
 SLOT_BITS = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of walks, and windows of candidates, that are held at once.
+WALK_CHARS, WINDOWS = 1 << 22, 1 << 16
 
 
 @dataclass(frozen=True)
 class Search:
-    """Largest edits per character of an item."""
+    """Largest edits per character of an item; CGK walks of a window, hash tables of a walk, and places that a table samples."""
 
     max_edit_rate: float = 0.15
+    walks: int = 8
+    tables: int = 48
+    places: int = 4
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """64 mixed bits of each number, always the same."""
+    x = (x + np.uint64(1)) * FACTOR
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Walks:
+    """CGK embeddings of windows, sampled: equal texts get equal hashes, texts within few edits some equal ones."""
+
+    def __init__(self, search: Search) -> None:
+        self.walks, self.tables, self.places = search.walks, search.tables, search.places
+        draws = _scattered(np.arange(search.walks * search.tables * search.places, dtype=np.uint64) + np.uint64(1 << 40))
+        #: where a table samples, as a share of a walk
+        self.shares = ((draws >> np.uint64(11)).astype(np.float64) / 2.0**53).reshape(search.walks, -1)
+
+    def batches(self, lengths: list[int]) -> Iterator[list[int]]:
+        """Places of windows held against items of these lengths, in lists whose walks and samples are WALK_CHARS at most."""
+        return _within([max(2 * n, self.tables * self.places) for n in lengths], WALK_CHARS // self.walks)
+
+    def hashes(self, windows: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """One row of walks x tables hashes per window of code points; lengths are those of the items that they are held against.
+
+        A walk has two steps a character, which takes it about to the end of the window; beyond the end it reads zeros.
+        """
+        longest, steps = int(lengths.max()), 2 * int(lengths.max())
+        text = np.zeros((len(windows), longest + 1), np.uint64)
+        for row, w in enumerate(windows):
+            text[row, : len(w)] = w[:longest]
+        text, first = text.ravel(), np.arange(len(windows))[:, None] * (longest + 1)
+        at = np.broadcast_to(first, (len(windows), self.walks)).copy()
+        coins = _scattered(np.arange(2 * steps * self.walks, dtype=np.uint64)).reshape(steps, 2, self.walks)
+        walked = np.empty((steps, len(windows), self.walks), np.uint32)
+        for k in range(steps):
+            walked[k] = c = text[at]
+            at += ((c * (coins[k, 0] | np.uint64(1)) + coins[k, 1]) >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, first + longest, out=at)
+        step = (self.shares[None] * (2 * lengths)[:, None, None]).astype(np.int64)
+        drawn = walked[step, np.arange(len(windows))[:, None, None], np.arange(self.walks)[None, :, None]].reshape(len(windows), -1, self.places).astype(np.uint64)
+        out = np.zeros(drawn.shape[:2], np.uint64)
+        for k in range(self.places):
+            out = (out + drawn[:, :, k] + np.uint64(1)) * FACTOR
+        return out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -152,6 +208,7 @@ class Index:
         sizes = [piece_length(int(n), int(k)) for n, k in zip(self.lengths, self.most, strict=True)]
         self.need = np.array([int(n) // q - int(k) if k else 1 for n, k, q in zip(self.lengths, self.most, sizes, strict=True)], np.int64)
         self.grams: dict[int, set[str]] = {}
+        self.walks, self.walked = Walks(search), {}
         #: More than any match or shift of pieces reaches.
         self.reach = int((self.lengths + self.most).max()) + 1 if kept else 0
         self.sizes = sorted(set(sizes))
@@ -181,6 +238,36 @@ class Index:
         most = int(self.lengths[item] + self.most[item]) - GRAM
         return any(b - a <= most for a, b in zip(at, at[least - 1 :], strict=False))
 
+    def _walks_meet(self, found: list[tuple[int, str, int]]) -> np.ndarray:
+        """Of (item, text, how far windows may begin in it), whether some window of the item's length shares a hash with the item.
+
+        Windows begin at words, at the first place and at the place where the item begins if nothing was put in or left out.
+        """
+        met = np.zeros(len(found), bool)
+        new = sorted({item for item, _, _ in found} - self.walked.keys())
+        for some in self.walks.batches(self.lengths[new].tolist()):
+            of = [new[k] for k in some]
+            for item, row in zip(of, self.walks.hashes([_points(self.texts[k]) for k in of], self.lengths[of]), strict=True):
+                self.walked[item] = row
+        windows = []
+
+        def walk() -> None:
+            for some in self.walks.batches([int(self.lengths[item]) for _, item, _ in windows]):
+                of = [windows[k] for k in some]
+                hashes = self.walks.hashes([w for _, _, w in of], self.lengths[[item for _, item, _ in of]])
+                same = (hashes == np.stack([self.walked[item] for _, item, _ in of])).any(axis=1)
+                met[[k for (k, _, _), s in zip(of, same.tolist(), strict=True) if s]] = True
+            windows.clear()
+
+        for k, (item, text, upto) in enumerate(found):
+            points, length = _points(text), int(self.lengths[item])
+            for b in np.unique([0, min(int(self.most[item]), upto), upto, *(np.flatnonzero(points[:upto] == 32) + 1)]).tolist():
+                windows.append((k, item, points[b : b + length]))
+                if len(windows) >= WINDOWS:
+                    walk()
+        walk()
+        return met
+
     def candidates(self, parts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(part, item, first, last diagonal): all matches' pieces lie on one of those diagonals or at most `most` above."""
         length = np.array([len(p) for p in parts], np.int64)
@@ -226,6 +313,7 @@ class Index:
         parts = [(d, a) for d, line in enumerate(lines) for a in range(0, max(len(line) - self.reach, 1), SLICE_CHARS) if line]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for some in _slices(parts, [min(len(lines[d]) - a, SLICE_CHARS + self.reach) for d, a in parts]):
+            left = []
             for part, item, low, high in self.candidates([lines[d][a : a + SLICE_CHARS + self.reach] for d, a in some]):
                 d, a = some[part]
                 line, length, most = lines[d], int(self.lengths[item]), int(self.most[item])
@@ -234,9 +322,13 @@ class Index:
                     # out to whole words, with one more character than a word within reach has
                     begin = line.rfind(" ", 0, begin + 1) + 1
                     end = len(line) if (at := line.find(" ", end)) < 0 else at
-                    m = best_words(self.texts[item], line[begin:end], most)
-                else:
-                    m = best_match(self.texts[item], line[begin:end], most) if self._shares_grams(item, line[begin:end]) else None
+                elif not self._shares_grams(item, line[begin:end]):
+                    continue
+                left.append((d, item, begin, end, min(max(0, a + high + most - begin), end - begin)))
+            met = self._walks_meet([(item, lines[d][begin:end], upto) for d, item, begin, end, upto in left])
+            for k in np.flatnonzero(met).tolist():
+                d, item, begin, end, _ = left[k]
+                m = (best_words if self.whole[item] else best_match)(self.texts[item], lines[d][begin:end], int(self.most[item]))
                 if m is not None:
                     m = (m[0], m[2] + begin, m[1] + begin)
                     best[d, item] = min(m, best.get((d, item), m))
@@ -256,6 +348,15 @@ def _slices(rows: list, sizes: list[int]) -> Iterator[list]:
         yield rows[begin:]
 
 
+def _within(lengths: list[int], most: int) -> Iterator[list[int]]:
+    """Places of lengths, the longest first, in lists whose number times their longest is `most` at most, or of one."""
+    order, begin = sorted(range(len(lengths)), key=lambda k: -lengths[k]), 0
+    while begin < len(order):
+        n = max(1, most // max(1, lengths[order[begin]]))
+        yield order[begin : begin + n]
+        begin += n
+
+
 def _blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks that a task can hold."""
     items = items.select(F.col(id_col).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")

@@ -295,6 +295,33 @@ def test_decontamination_equals_brute_force_up_to_the_largest_edit_rate():
         assert _distance(items[i][1], lines[d][start:end]) == n
 
 
+def test_walks_reach_their_recall_and_leave_unlike_windows(monkeypatch):
+    """Of places that pieces and strings leave, walks keep 97 in 100 true ones at the largest edit rate and all unedited ones, in batches of any size."""
+    rng = random.Random(8)
+    letters = "etaoinshrdlu"
+
+    def words(n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    def edited(text, rate):
+        out = list(text)
+        for _ in range(int(len(out) * rate)):
+            at = rng.randrange(len(out))
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", *letters])
+        return "".join(out)
+
+    index = decontaminate.Index([(k, words(rng.randint(8, 60))) for k in range(60)], decontaminate.Search())
+    regions = [(k, text, 12) for rate in (0, 0.05, 0.1, 0.15) for k, t in enumerate(index.texts) for text in [f"{words(2)[:7]} {edited(t, rate)} {words(3)}"]]
+    met = index._walks_meet(regions)
+    assert met[:60].all() and met[60:180].mean() > 0.99 and met[180:].mean() >= 0.97
+    others = [((k + 1) % 60, text, 12) for k, text, _ in regions]
+    assert index._walks_meet(others).mean() < 0.5
+    monkeypatch.setattr(decontaminate, "WALK_CHARS", 20_000)
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    index.walked.clear()
+    assert (index._walks_meet(regions) == met).all()
+
+
 def test_decontamination_finds_passages_across_parts_of_a_long_document(monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_CHARS", 50)
     rng = random.Random(8)
