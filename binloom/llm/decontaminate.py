@@ -58,7 +58,7 @@ class Search:
     """Largest edits per character of an item; CGK walks of a window, hash tables of a walk, and places that a table samples."""
 
     max_edit_rate: float = 0.15
-    walks: int = 8
+    walks: int = 12
     tables: int = 48
     places: int = 4
 
