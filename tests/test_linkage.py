@@ -180,3 +180,14 @@ def test_tokens_that_are_null_say_nothing(spark):
     rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, ["b", "a"]), (3, [None]), (4, []), (5, None)], "rec_id int, text array<string>")
     signed = {r[0]: r[1:] for r in minhash.signature(rows, P).collect()}
     assert signed[1] == signed[2] and signed[3] == signed[4] == signed[5] == (minhash.MODULUS - 1,) * P.permutations
+
+
+def test_full_bins_of_candidates_meet_by_blocks(spark, monkeypatch):
+    """A full bin is joined by blocks, not whole, and null ids are kept."""
+    monkeypatch.setattr(blocking, "IDS", 16)
+    left = spark.createDataFrame([(i, 0 if i < 200 else i) for i in range(300)] + [(None, 5)], "rec_id long, bin long")
+    right = spark.createDataFrame([(i, 0 if i < 90 else i) for i in range(250)] + [(None, 5), (7, 5)], "rec_id long, bin long")
+    found = blocking.candidates(left, right)
+    want = left.withColumnRenamed("rec_id", "left_id").join(right.withColumnRenamed("rec_id", "right_id"), "bin").select("left_id", "right_id")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert "__lb" in found._jdf.queryExecution().toString()
