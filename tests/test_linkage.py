@@ -191,3 +191,19 @@ def test_full_bins_of_candidates_meet_by_blocks(spark, monkeypatch):
     want = left.withColumnRenamed("rec_id", "left_id").join(right.withColumnRenamed("rec_id", "right_id"), "bin").select("left_id", "right_id")
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
     assert "__lb" in found._jdf.queryExecution().toString()
+
+
+def _copies(spark):
+    """Two sides of few different texts, one of them in more rows than a pack holds."""
+    rows = [(i, ["abcdef", "abcdeg", "xyzxyzxy", ""][i % 4] if i < 90 else "abcdef") for i in range(300)]
+    left = spark.createDataFrame(rows, "rec_id long, text string")
+    right = spark.createDataFrame([(i, t + "x") for i, t in rows if i % 3], "rec_id long, text string")
+    return left, right, minhash.minhash_bins(left, P), minhash.minhash_bins(right, P)
+
+
+def test_copies_meet_once(spark):
+    left, right, a, b = _copies(spark)
+    met = blocking.met_once(a, b, left, right)
+    pairs = a.join(b.withColumnRenamed("rec_id", "right_id"), "bin").select(F.col("rec_id").alias("left_id"), "right_id").distinct()
+    assert sorted(blocking.expanded(met).collect()) == sorted(pairs.collect())
+    assert met.count() < pairs.count() / 100
