@@ -215,3 +215,17 @@ def test_listed_pairs_are_linked_without_the_others(spark):
     found, every = blocking.linked_among(a, b, left, right, text.close, known), blocking.linked(a, b, left, right, text.close)
     assert sorted(found.collect()) == sorted(every.join(known, ["left_id", "right_id"], "left_semi").collect())
     assert 0 < found.count() < known.count() and evaluate.false_negatives(found, known).count() == known.count() - found.count()
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_scores_count_pairs_without_making_them(spark, again):
+    """With an id there twice too, whose pairs count once."""
+    left, right, a, b = _copies(spark)
+    left = left.unionAll(left.where("rec_id = 4")) if again else left
+    known = evaluate.truth(left, right).distinct()
+    row, pairs = evaluate.scored(a, b, left, right, text.close, known).first(), blocking.linked(a, b, left, right, text.close).distinct()
+    scores = evaluate.jaccard(pairs, known).first()
+    assert evaluate.repeats(left, right) == again
+    assert (row.both, row.linked + row.known - row.both) == (scores.both, scores.either) and row.linked == pairs.count()
+    if not again:
+        assert blocking.linked_count(a, b, left, right, text.close).first().linked == row.linked
