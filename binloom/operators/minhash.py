@@ -23,8 +23,10 @@ from binloom.plans.params import MODULUS, LinkageParams
 AT_ONCE = 1 << 20
 #: Bits of a place among them; numbers of shingles have what 64-bit integers leave.
 PLACE_BITS = 21
-#: Hashes of shingles that a task remembers.
-REMEMBERED = 1 << 20
+#: Ready tokens that are taken at once, and records; each token is an object of its own for a while.
+TOKENS, RECORDS = 1 << 17, 256
+#: Hashes of shingles that a task remembers, and those of the last ones beyond; about 200 bytes each.
+REMEMBERED = 1 << 17
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -116,12 +118,16 @@ class Minima:
     def of_tokens(self, lists: pa.ListArray) -> np.ndarray:
         """Permutations by lists of ready tokens; null tokens say nothing."""
         out = np.full((len(self.coefficients), len(lists)), MODULUS - 1, np.int64)
-        tokens, owner = lists.flatten(), lists.value_parent_indices().to_numpy()
-        kept = np.flatnonzero(tokens.is_valid().to_numpy(zero_copy_only=False))
-        for at in range(0, len(kept), AT_ONCE):
-            some = kept[at : at + AT_ONCE]
-            coded = tokens.take(pa.array(some)).dictionary_encode()
-            self._lower(out, self._hashes(coded.dictionary.to_pylist()), coded.indices.to_numpy(), owner[some])
+        for first in range(0, len(lists), RECORDS):
+            some = lists.slice(first, RECORDS)
+            tokens, lengths = some.flatten(), some.value_lengths().fill_null(0).to_numpy()
+            owner = first + np.repeat(np.arange(len(some)), lengths)
+            for at in range(0, len(tokens), TOKENS):
+                part = tokens.slice(at, TOKENS)
+                kept = part.is_valid().to_numpy(zero_copy_only=False)
+                if kept.any():
+                    coded = part.drop_null().dictionary_encode()
+                    self._lower(out, self._hashes(coded.dictionary.to_pylist()), coded.indices.to_numpy(), owner[at : at + TOKENS][kept])
         return out
 
 

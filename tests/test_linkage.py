@@ -229,3 +229,22 @@ def test_scores_count_pairs_without_making_them(spark, again):
     assert (row.both, row.linked + row.known - row.both) == (scores.both, scores.either) and row.linked == pairs.count()
     if not again:
         assert blocking.linked_count(a, b, left, right, text.close).first().linked == row.linked
+
+
+def test_tokens_are_remembered_in_bounds():
+    """Many different tokens in one batch, over several slices of records and of tokens: memory stays, minima are plain."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [0, 3, *[700] * 600, 180_000]
+    tokens = [str(k).encode() for k in range(sum(sizes))]
+    ends = np.cumsum([0, *sizes])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.binary()))
+    found = minhash.Minima(P)
+    least = found.of_tokens(lists)
+    assert len(found.known) <= 1 << 18
+    hashes = np.array([minhash.shingle_hash(x) for x in tokens])
+    for row in (1, 2, 300, 601, 602):
+        own = hashes[ends[row] : ends[row + 1]]
+        assert least[:, row].tolist() == [int(((own * a + b) % minhash.MODULUS).min()) for a, b in P.coefficients]
+    assert (least[:, 0] == minhash.MODULUS - 1).all()
