@@ -13,12 +13,19 @@ A document's set is its distinct word n-grams, hashed to 64 bits. Hash groups do
   set therefore goes to one shard per group, named by the group's content, for its own size class and
   the next smaller one. No link is lost, and only sets that share a whole group meet.
 
-Equal sets are one class throughout, so exact copies, however many, cost one member. Shards whose members are in
-different components go to trees, in blocks, ROUNDS times. The first time a block gives a forest: of the pairs that
-its tree allows, the most alike ones that join its components, fewer than it has members. Verified, they make new
-components; if none has failed, that is all. Else the blocks give all pairs of different components that their trees
-still allow. Nodes whose members are all in one component are not searched, so a shard of many near copies costs its
-size and not its square. Verification compares the hashed sets whole.
+Equal sets are one class throughout, so exact copies, however many, cost one member. Pairs are asked for in three steps,
+and those that verification leaves make components for the next one:
+
+* **Stars.** The least member of a shard with each other one. Near copies share many shards and few least members, so
+  most of them are one component before any tree is searched, and a pair is not found again in each of its shards.
+* **Forests.** Shards of three members or more that are in different components go to trees, in blocks. A block gives, of
+  the pairs that its tree allows, the most alike ones that join its components, fewer than it has members. If none of
+  them fails, what the block may link is linked.
+* **The rest.** Else its shard gives all pairs of different components that its trees still allow.
+
+Nodes whose members are all in one component are not searched, so a shard of many near copies costs its size and not its
+square. Verification compares the hashed sets whole; they are made again from the texts of the classes that are asked
+for, and of no others, since all of them are as large as the texts.
 
 Defined results: null, empty or wordless texts have no set, link with nothing, and are their own
 component; texts shorter than n words are one shingle of all their words; rows that repeat an id or a
@@ -43,7 +50,7 @@ from binloom.llm.components import connected
 from binloom.llm.shared import dropped, shared_dir, stored
 
 DIMENSIONS, MOST_DIMENSIONS = 64, 4096
-BLOCK, ROUNDS = 1024, 2
+BLOCK = 1024
 #: Rows of an open shard that are held back to see whether its members are those of another one.
 HELD_ROWS = 1 << 16
 #: Ids up to this many go to each executor whole (at 24 bytes a row, 24 MB); more are joined by shuffle.
@@ -295,32 +302,66 @@ def _with_end(batches: Iterable) -> Iterator:
     yield None
 
 
-def _sets(n: int):
+def _points(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for t in batch.column(0).to_pylist() if len(s := shingle_set(t, n))]
             classes = [_class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.binary()), pa.array([_short(x) for x in classes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cls", "c", "n", "vec", "set"],
+                [pa.array(classes, pa.binary()), pa.array([_short(x) for x in classes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())],
+                ["cls", "c", "n", "vec"],
             )
 
     return run
 
 
+def _sets(n: int):
+    """(class, short class, hashed set), each class once per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                hashes = shingle_set(t, n)
+                if len(hashes) and (cls := _class_of(hashes)) not in seen:
+                    seen.add(cls)
+                    out.append((cls, hashes.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([_short(x) for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cls", "c", "set"])
+
+    return run
+
+
+def _bounded(num: int, den: int):
+    """Of pairs with both points, those that sizes and count vectors allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for n, m, u, v in zip(*(batch.column(k).to_pylist() for k in ("n_a", "n_b", "vec_a", "vec_b")), strict=True):
+                least = needed_overlap(n, m, num, den)
+                width = min(dimensions(n), dimensions(m))
+                fits.append(least <= min(n, m) and int(np.minimum(folded(u, n, width), folded(v, m, width)).sum(dtype=np.int64)) >= least)
+            yield batch.select(["x", "y"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
+
+
 def _verified(num: int, den: int):
-    """Of pairs with both sets, the classes that link."""
+    """Of pairs with both sets, those that link, with their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, sa, sb in zip(*(batch.column(k).to_pylist() for k in ("cls_a", "cls_b", "set_a", "set_b")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("x", "y", "cls_a", "cls_b", "set_a", "set_b")), strict=True):
+                sa, sb = row[4:]
                 both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
                 both.sort(kind="stable")
                 if int((both[1:] == both[:-1]).sum()) >= needed_overlap(len(sa) // 8, len(sb) // 8, num, den):
-                    out.append((a, b))
+                    out.append(row[:4])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["x", "y", "a", "b"])
 
     return run
 
@@ -376,7 +417,10 @@ def block_pairs(c: np.ndarray, n: np.ndarray, vec: list[bytes], label: list[byte
 
 
 def _tree_pairs(num: int, den: int, sparse: bool):
-    """block_pairs of members sorted by (shard, i, j): rows with part 0 are block i, those with part 1 block j; where i = j there is part 0 only."""
+    """block_pairs of members sorted by (shard, i, j): rows with part 0 are block i, those with part 1 block j; where i = j there is part 0 only.
+
+    sparse: with the shard, since a pair that fails leaves it open; else shard is null and pairs of several shards are there once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -395,9 +439,12 @@ def _tree_pairs(num: int, den: int, sparse: bool):
             vec, label = now.column("vec").to_pylist(), now.column("label").to_pylist()
             ends = [*starts[1:].tolist(), len(rows)]
             found = [block_pairs(c[s:e], n[s:e], vec[s:e], label[s:e], part[s:e], num, den, sparse) for s, e in zip(starts.tolist(), ends, strict=True) if e <= upto]
-            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            names = np.repeat(keys[starts[: len(found)], 0], [len(f) for f in found])
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+            if not sparse:
+                pairs = np.unique(pairs, axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(names) if sparse else pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["shard", "x", "y"])
 
     return run
 
@@ -418,16 +465,30 @@ def _sides(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataF
     return pairs.join(side("b", "y"), "y").join(side("a", "x"), "x")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of short classes that pass verification, as whole classes (a, b)."""
-    return _sides(pairs, sets, ("cls", "set")).drop("x", "y").mapInArrow(_verified(num, den), "a binary, b binary")
+def _stars(met: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of the least member of a shard and another one, each once, if their points allow a link."""
+    stars = met.select(F.col("head").alias("x"), F.col("c").alias("y")).distinct()
+    return _sides(stars, points, ("n", "vec")).select("x", "y", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(_bounded(num, den), "x long, y long")
+
+
+def _links(pairs: DataFrame, keys: DataFrame, source: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of short classes that pass verification, with the whole classes (a, b), each once. Only their sets are made and moved."""
+    spark = pairs.sparkSession
+    asked = stored(spark, pairs.select(F.col("x").alias("__key")).union(pairs.select("y")).distinct(), "asked")
+    ids = stored(spark, _semi(keys, asked, "left_semi", "c").select("__key").distinct(), "ids")
+    sets = _semi(source, ids, "left_semi", "id").select("text").mapInArrow(_sets(n), "cls binary, c long, set binary")
+    # dealt by what they are joined by, so that to have each once takes no other exchange
+    sets = _semi(sets, asked, "left_semi", "c").repartition("c").dropDuplicates(["c", "cls"])
+    links = stored(spark, _sides(pairs, sets, ("cls", "set")).mapInArrow(_verified(num, den), "x long, y long, a binary, b binary").distinct(), "links")
+    dropped(asked, ids)
+    return links
 
 
-def _members(met: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(shard, c, n, vec, label) of the shards whose members are in different components."""
-    light = sets.select("cls", "c", "n", "vec").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("c", "n", "vec", F.coalesce("label", "cls").alias("label"))
+def _members(met: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, c, n, vec, label) of the shards whose members are in different components; those of two members have had their star."""
+    light = points.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("c", "n", "vec", F.coalesce("label", "cls").alias("label"))
     members = met.select("shard", "c").union(met.select("shard", F.col("head").alias("c")).distinct()).join(light.select("c", "label"), "c")
-    apart = members.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
+    apart = members.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi and held > 2")
     return members.drop("label").join(apart.select("shard", "held"), "shard").join(light, "c")
 
 
@@ -456,25 +517,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     met = stored(spark, spread.repartition("shard").sortWithinPartitions("shard", "c").mapInArrow(_meetings, "shard long, head long, c long"), "met")
     wanted = met.select("c").union(met.select("head")).distinct()
     short = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    keys = stored(spark, classes.withColumn("c", short).join(wanted, "c", "left_semi").select(F.col("least").alias("__key")).distinct(), "keys")
-    sets = _semi(source, keys, "left_semi", "id").select("text").mapInArrow(_sets(shingle_words), "cls binary, c long, n long, vec binary, set binary")
-    sets = stored(spark, sets.dropDuplicates(["cls"]), "sets")
-
-    dropped(keys)
-    labels = connected(spark, spark.createDataFrame([], "a binary, b binary"))
-    for k in range(ROUNDS):
-        members = stored(spark, _members(met, sets, labels), "members")
-        pairs = stored(spark, _blocks(members).mapInArrow(_tree_pairs(num, den, k < ROUNDS - 1), "x long, y long").distinct(), "pairs")
-        links = stored(spark, _links(pairs, sets, num, den), "links")
-        asked, linked = pairs.count(), links.count()
-        if linked:
+    keys = stored(spark, classes.withColumn("c", short).join(wanted, "c", "left_semi").select("c", F.col("least").alias("__key")), "keys")
+    points = _semi(source, keys.select("__key").distinct(), "left_semi", "id").select("text").mapInArrow(_points(shingle_words), "cls binary, c long, n long, vec binary")
+    points = stored(spark, points.dropDuplicates(["cls"]), "points")
+
+    labels, still = connected(spark, spark.createDataFrame([], "a binary, b binary")), met
+    for step in ("stars", "forests", "rest"):
+        if step == "stars":
+            found = stored(spark, _stars(met, points, num, den), "found")
+        else:
+            found = stored(spark, _blocks(_members(still, points, labels)).mapInArrow(_tree_pairs(num, den, step == "forests"), "shard long, x long, y long"), "found")
+        pairs = stored(spark, found.select("x", "y").distinct(), "pairs")
+        links = _links(pairs, keys, source, shingle_words, num, den)
+        if links.limit(1).count():
             # what a component is so far, as edges of a star
-            older, labels = labels, connected(spark, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
+            older, labels = labels, connected(spark, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links.select("a", "b")))
             dropped(older)
-        dropped(members, pairs, links)
-        if asked == linked:
+        if step == "forests":
+            failed = pairs.join(links.select("x", "y"), ["x", "y"], "left_anti")
+            open_ = stored(spark, found.join(failed, ["x", "y"]).select(F.col("shard").alias("__key")).distinct(), "open")
+            still = stored(spark, _semi(met, open_, "left_semi", "shard"), "still")
+            left = open_.limit(1).count()
+            dropped(open_)
+        dropped(found, pairs, links)
+        if step == "forests" and not left:
             break
-    dropped(met, sets)
+    dropped(met, still, points, keys)
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls")
     lowest = joined.groupBy("label").agg(F.min("least").alias("low"))

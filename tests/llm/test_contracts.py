@@ -67,6 +67,42 @@ def test_ngram_join_at_the_threshold(spark, n, num):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == _components(rows, n, num, 100)
 
 
+def test_near_copies_are_joined_before_trees(spark, monkeypatch):
+    """Near copies are linked by the least member of their shards, so none of them goes to trees, and no table of all sets is stored."""
+    words, members, columns = [f"w{i}" for i in range(120)], [], []
+    rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(120)] + [(500, "alone in the world")]
+    blocks, stored = ngram_join._blocks, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "_blocks", lambda m: members.append(m.count()) or blocks(m))
+    monkeypatch.setattr(ngram_join, "stored", lambda s, df, name: columns.extend(df.columns) or stored(s, df, name))
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (80, 100)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: 0 if k < 500 else 500 for k, _ in rows}
+    assert members and sum(members) == 0 and "set" not in columns
+
+
+def test_pairs_about_the_threshold_are_all_compared(spark, monkeypatch):
+    """What fails in a forest leaves its shards open; copies without an id and of one id are members of their class."""
+    rng, words, sparse = random.Random(11), [f"w{i}" for i in range(70)], []
+    rows = []
+    for k in range(90):
+        own = list(words)
+        for i in rng.sample(range(70), rng.randint(0, 4)):
+            own[i] = f"x{rng.randint(0, 3)}"
+        rows.append((k, " ".join(own)))
+    rows += [(None, rows[0][1])] * 5 + [(7, rows[7][1])] * 5 + [(7, rows[8][1])]
+    trees = ngram_join._tree_pairs
+    monkeypatch.setattr(ngram_join, "_tree_pairs", lambda num, den, s: sparse.append(s) or trees(num, den, s))
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    low = {}
+    for i, _, c in _components([r for r in rows if r[0] is not None], 3, 90, 100):
+        low.setdefault(i, set()).add(c)
+    got = {}
+    for r in found:
+        if r.doc_id is not None:
+            got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == low and len(found) == len(rows) and len({c for x in low.values() for c in x}) > 1
+    assert sparse == [True, False]
+
+
 def test_quality_rules(spark, docs):
     found = {r.doc_id: r for r in queries.op10_quality_rules(spark, SF).collect()}
     for i, text, _ in docs:
