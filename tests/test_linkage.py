@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import numbers, text
 from binloom.operators import blocking, evaluate, minhash, sets, staged
+from binloom.plans import catalogue
 from binloom.plans.params import LinkageParams, SetParams
 from binloom.sources import records
 from binloom.streaming import linkage
@@ -209,6 +210,19 @@ def test_copies_meet_once(spark):
     assert met.count() < pairs.count() / 100
 
 
+def test_candidates_are_given_out_at_their_first_band(spark, monkeypatch):
+    """Pairs are those of a join by band and bin, each once, and no list of bins is searched per pair."""
+    monkeypatch.setattr(blocking, "IDS", 16)
+    monkeypatch.setattr(blocking, "PACK", 8)
+    rows = [(i, i % 3, i % 7 if i < 100 else 1, 0 if i < 60 else i) for i in range(160)]
+    left = spark.createDataFrame(rows, "rec_id long, b0 int, b1 int, b2 int")
+    right = spark.createDataFrame([(1000 + i, b, c, d) for i, b, c, d in rows if i % 4 and b], left.schema)
+    found = blocking.candidates_once(left, right, ["b0", "b1", "b2"])
+    want = sorted((x.rec_id, y.rec_id) for x in left.collect() for y in right.collect() if x.b0 == y.b0 or x.b1 == y.b1 or x.b2 == y.b2)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "arrays_overlap" not in catalogue.QUERIES["candidate_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_listed_pairs_are_linked_without_the_others(spark):
     left, right, a, b = _copies(spark)
     known = evaluate.truth(left, right)
